@@ -45,6 +45,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(T.StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """NFC; NULL in, NULL out."""
+    return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+
 # Blocks whose characters the JVM-side table may cover.
 _BLOCKS = ((0x0000, 0x024F), (0x0300, 0x036F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0x1EFF), (0x2010, 0x2022))
 

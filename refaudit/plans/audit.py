@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from refaudit.operators import citations as C
+from refaudit.operators import edits as E
 from refaudit.session import stage_table
 
 
@@ -26,3 +27,16 @@ def analyze(paragraphs: DataFrame, refs: DataFrame | None = None, ranges: DataFr
     cites = stage_table(C.citation_context(C.extract_citations(body, refs), history), "citations")
     audited = stage_table(C.audit_citations(cites, refs, paragraphs), "audited")
     return Audit(refs, limits, audited, C.findings(audited, refs))
+
+
+def reanalyze(paragraphs: DataFrame, refs: DataFrame, patches: DataFrame, matches: DataFrame, ranges: DataFrame | None = None) -> Audit:
+    """Audit of the edited text on the original anchors, with the user's matches on top.
+
+    Accepted entry texts enter through ``refs.raw``; orphans are recomputed at the end.
+    """
+    base = analyze(paragraphs, refs, ranges)
+    edited = E.apply_patches(paragraphs, patches)
+    effective = analyze(edited, C.with_identity(refs), ranges)
+    linked = E.refresh_result_links(base.citations, effective.citations, patches)
+    final = stage_table(E.apply_manual_matches(linked, matches, refs, paragraphs), "reanalyzed")
+    return Audit(refs, base.limits, final, C.findings(final, refs))
