@@ -13,6 +13,10 @@ MONTH_LABELS = ("January", "February", "March", "April", "May", "June", "July",
 NO_DATE = "(?iu)©|copyright|telif|all rights reserved"
 
 
+def _one_of(names: list[str]):
+    return lambda w: w.isin(names)
+
+
 def date_parts(c: Column) -> Column:
     """struct<year,month,day> or NULL: ISO, dd.mm.yyyy, or a year with an EN/TR month name.
 
@@ -25,27 +29,32 @@ def date_parts(c: Column) -> Column:
 
         def group(pattern: str, g: int) -> Column:
             return F.nullif(F.regexp_extract(t, pattern, g), F.lit("")).cast("int")
-        tokens = F.split(normalize_simple(t), " ")
-        month = F.lit(0)
-        for i in range(11, -1, -1):
-            names = [MONTHS_EN[i], MONTHS_EN[i][:3], MONTHS_TR[i]]
-            month = F.when(F.exists(tokens, lambda w: w.isin(names)), F.lit(i + 1)).otherwise(month)
+
+        def month_of(tokens: Column) -> Column:
+            month = F.lit(0)
+            for i in range(11, -1, -1):
+                names = [MONTHS_EN[i], MONTHS_EN[i][:3], MONTHS_TR[i]]
+                month = F.when(F.exists(tokens, _one_of(names)), F.lit(i + 1)).otherwise(month)
+            return month
+        month = F.when(~is_iso & ~is_dmy & t.rlike(r"\p{L}"), let(F.split(normalize_simple(t), " "), month_of)).otherwise(F.lit(0))
         free_year = group(f"{NOT_AFTER_WORD}((?:19|20)[0-9]{{2}}){NOT_BEFORE_WORD}", 1)
         no_year = F.regexp_replace(t, f"(?i){NOT_AFTER_WORD}(?:19|20)[0-9]{{2}}[a-z]?{NOT_BEFORE_WORD}", "")
         free_day = F.nullif(F.regexp_extract(no_year, f"{NOT_AFTER_WORD}([0-9]{{1,2}}){NOT_BEFORE_WORD}", 1), F.lit("")).cast("int")
 
         def check(d: Column) -> Column:
-            y, m, dd = d["year"], d["month"], d["day"]
+            y, m = d["year"], d["month"]
+            # Without a month name a free-form date has no day either.
+            dd = F.when(d["strict"] | (m > 0), d["day"]).otherwise(F.lit(0))
             full = F.lpad(y.cast("string"), 4, "0")
             real = F.try_to_date(F.concat(full, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(dd.cast("string"), 2, "0"))).isNotNull()
-            strict_ok = ~(is_iso | is_dmy) | ((m > 0) & (dd > 0))
+            strict_ok = ~d["strict"] | ((m > 0) & (dd > 0))
             ok = (F.coalesce(y, F.lit(0)) > 0) & (m <= 12) & (dd <= 31) & strict_ok & ((m == 0) | (dd == 0) | real) & ~t.rlike(NO_DATE)
             return F.when(F.coalesce(ok, F.lit(False)), F.struct(y.alias("year"), F.nullif(m, F.lit(0)).alias("month"), F.nullif(dd, F.lit(0)).alias("day")))
         return let(F.struct(
             F.when(is_iso, group(iso, 1)).when(is_dmy, group(dmy, 3)).otherwise(free_year).alias("year"),
             F.when(is_iso, group(iso, 2)).when(is_dmy, group(dmy, 2)).otherwise(month).alias("month"),
             F.when(is_iso, group(iso, 3)).when(is_dmy, group(dmy, 1)).otherwise(
-                F.when(month > 0, F.coalesce(free_day, F.lit(0))).otherwise(0)).alias("day")), check)
+                F.coalesce(free_day, F.lit(0))).alias("day"), (is_iso | is_dmy).alias("strict")), check)
     return let(clean_ws(c), body)
 
 

@@ -62,28 +62,36 @@ def parse_reference(c: Column) -> Column:
     no_doi = trim_ws(F.regexp_replace(
         raw, r"(?is)^(.*?)(?:(?:https?://(?:dx\.)?doi\.org/|doi:\s*)?10\.[0-9]{4,9}/\S+)", "$1"))
 
+    # Every intermediate is bound once: inside a lambda nothing else removes common subexpressions.
     def fields(rest: Column) -> Column:
-        before = F.regexp_extract(rest, _ENTRY_YEAR, 1)
-        year = F.regexp_extract(rest, _ENTRY_YEAR, 2)
-        after = F.substring(rest, F.length(before) + 5, F.length(rest))
-        after = F.when(before.rlike(f"\\([{WS}]*$"), F.regexp_replace(after, r"^[^)]{0,64}\)", "")).otherwise(after)
-        tail = F.regexp_replace(after, f"^[a-z]?[{WS}]*\\)?[.,:]?[{WS}]*", "")
-        dated = (year != "") & (tail != "") & ~tail.rlike(f"^[{WS}]*[;:0-9]")
-        dated_title = trim_ws(F.regexp_replace(F.split(tail, f"\\.[{WS}]+", 2)[0], r"[.]+$", ""))
-        title1 = F.when(dated, dated_title).otherwise(F.lit(""))
-        authors1 = F.when(dated, trim_ws(F.regexp_replace(before, f"\\([{WS}]*$", ""))).otherwise(F.lit(""))
-
-        parts = F.split(rest, f"\\.[{WS}]+")
-        listed = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))),
-                          lambda p: (F.size(F.split(normalize_simple(p), " ")) >= 3) & ~p.rlike("^[0-9]"))
-        title2 = trim_ws(F.regexp_replace(F.coalesce(F.try_element_at(listed, F.lit(1)), F.lit("")), r"[.?!]+$", ""))
-        several = F.size(parts) > 1
-        title = F.when(title1 != "", title1).when(several, title2).otherwise(F.lit(""))
-        authors = F.when(title1 != "", authors1).when(several, parts[0]).otherwise(authors1)
-        return F.struct(
-            F.when(year != "", year.cast("int")).alias("year"),
-            title.alias("title"),
-            let(F.when(authors != "", authors).otherwise(rest), _first_author).alias("first_author"))
+        return let(F.struct(rest.alias("rest"), F.regexp_extract(rest, _ENTRY_YEAR, 1).alias("before"),
+                            F.regexp_extract(rest, _ENTRY_YEAR, 2).alias("year")), dated_fields)
+
+    def dated_fields(s: Column) -> Column:
+        after = F.substring(s["rest"], F.length(s["before"]) + 5, F.length(s["rest"]))
+        after = F.when(s["before"].rlike(f"\\([{WS}]*$"), F.regexp_replace(after, r"^[^)]{0,64}\)", "")).otherwise(after)
+        tail = F.when(s["year"] != "", F.regexp_replace(after, f"^[a-z]?[{WS}]*\\)?[.,:]?[{WS}]*", "")).otherwise(F.lit(""))
+
+        def dated(t: Column) -> Column:
+            ok = (t != "") & ~t.rlike(f"^[{WS}]*[;:0-9]")
+            title = trim_ws(F.regexp_replace(F.split(t, f"\\.[{WS}]+", 2)[0], r"[.]+$", ""))
+            authors = trim_ws(F.regexp_replace(s["before"], f"\\([{WS}]*$", ""))
+            return let(F.struct(F.when(ok, title).otherwise(F.lit("")).alias("title"), F.when(ok, authors).otherwise(F.lit("")).alias("authors")),
+                       lambda d: F.when(d["title"] != "", chosen(s, d["title"], d["authors"])).otherwise(listed_fields(s, d["authors"])))
+        return let(tail, dated)
+
+    def listed_fields(s: Column, authors: Column) -> Column:
+        def pick(parts: Column) -> Column:
+            rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))),
+                            lambda p: ~p.rlike("^[0-9]") & (F.size(F.split(normalize_simple(p), " ")) >= 3))
+            title = trim_ws(F.regexp_replace(F.coalesce(F.try_element_at(rest, F.lit(1)), F.lit("")), r"[.?!]+$", ""))
+            several = F.size(parts) > 1
+            return chosen(s, F.when(several, title).otherwise(F.lit("")), F.when(several, parts[0]).otherwise(authors))
+        return let(F.split(s["rest"], f"\\.[{WS}]+"), pick)
+
+    def chosen(s: Column, title: Column, authors: Column) -> Column:
+        return F.struct(F.when(s["year"] != "", s["year"].cast("int")).alias("year"), title.alias("title"),
+                        let(F.when(authors != "", authors).otherwise(s["rest"]), _first_author).alias("first_author"))
 
     def result(ids: Column) -> Column:
         f = ids["fields"]

@@ -58,8 +58,15 @@ def _paragraphs(spark, sf):
     return view(spark, sf, "paragraphs")
 
 
+_AUDITS: dict = {}
+
+
 def _audit(spark, sf) -> A.Audit:
-    return A.analyze(_paragraphs(spark, sf))
+    """One staged audit per session and input; the queries below read different parts of it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _AUDITS:
+        _AUDITS[key] = A.analyze(_paragraphs(spark, sf))
+    return _AUDITS[key]
 
 
 def is_heading(spark, sf):
@@ -123,7 +130,7 @@ def check_author_group(spark, sf):
 
 
 def analyze(spark, sf):
-    a = _audit(spark, sf)
+    a = A.analyze(_paragraphs(spark, sf))
     return a.citations.select("doc_id", "paragraph_id", "start", "reference", "candidate", _code(F.col("kind")).alias("kind"),
                               F.col("issue").isNotNull().alias("reported"), F.col("patch").isNotNull().alias("has_patch"))
 
