@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from refaudit.functions.retrieval import STOP_WORDS
 from refaudit.functions import retrieval as RT
+from refaudit.functions.labels import REJECTED_SUFFIX, VERDICT_EXPLANATION
+from refaudit.functions.retrieval import STOP_WORDS
 from refaudit.operators import evidence as E
 from refaudit.operators import reports as R
 from refaudit.plans import evidence as P
@@ -242,6 +243,8 @@ _ASSESS = _MERGE + f""",
 sc2 AS (SELECT c.* FROM chk c JOIN scan USING (citation_id, batch)),
 ans AS (SELECT d.doc_id, {_GATE} AS gate, CASE WHEN ({_GATE}) IS NULL THEN coalesce(m.verdict, 'unassessable') ELSE 'unassessable' END AS verdict FROM documents d LEFT JOIN {_merged('scan', 'sc2')} m ON m.citation_id = d.doc_id)"""
 
+_LABELS = ' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in VERDICT_EXPLANATION.items())
+
 ORACLES = {
     "strip_bibliography": "SELECT doc_id, l AS location, md5(CASE l WHEN 'A' THEN text WHEN 'B' THEN '' ELSE 'APPENDIX\nkept ' || doc_id END) AS digest FROM documents, (SELECT 'A' AS l UNION ALL SELECT 'B' UNION ALL SELECT 'C') x",
     "chunk_passages": _sql("SELECT pub_id, idx, 'P' || (idx + 1) AS passage_id, length(text) AS n_chars, md5(text) AS digest FROM pass", _CHUNK),
@@ -255,7 +258,7 @@ ORACLES = {
     "passage_evidence": _sql("SELECT c.citation_id, c.batch, CASE WHEN p.pub_id IS NOT NULL THEN 'Text' END AS location, length(p.text) AS n_chars FROM claimed c LEFT JOIN pass p ON p.pub_id = c.pub_id AND p.idx = 0", _CHUNK),
     "verify_quotes": _sql("SELECT citation_id, batch, v AS verdict, rejected, located FROM chk", _OK),
     "rollup_verdict": _sql(_roll("citation_id") + " GROUP BY 1", _OK),
-    "explain_verdict": _sql(f"SELECT citation_id, CASE verdict WHEN 'supported' THEN 53 WHEN 'partial' THEN 61 WHEN 'contradicted' THEN 58 WHEN 'unassessable' THEN 62 ELSE 75 END + CASE WHEN rejected > 0 THEN 1 + length(cast(rejected AS varchar)) + 39 ELSE 0 END AS n FROM ({_roll('citation_id')} GROUP BY 1)", _OK),
+    "explain_verdict": _sql(f"SELECT citation_id, length(CASE verdict {_LABELS} END || CASE WHEN rejected > 0 THEN ' ' || rejected || '{REJECTED_SUFFIX}' ELSE '' END) AS n FROM ({_roll('citation_id')} GROUP BY 1)", _OK),
     "early_stop": _sql("SELECT citation_id, batch, verdict FROM scan", _OK, _MERGE),
     "evidence_union": _sql("SELECT DISTINCT citation_id, 'P1' AS passage_id FROM chk WHERE located", _OK),
     "merge_batches": _sql(f"SELECT citation_id, verdict, evidence_batches FROM {_merged('pb', 'chk')}", _OK, _MERGE),
