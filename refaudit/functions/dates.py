@@ -10,7 +10,7 @@ from .text import NOT_AFTER_WORD, NOT_BEFORE_WORD, clean_ws, let, normalize_simp
 MONTHS_EN = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTHS_TR = ("ocak", "subat", "mart", "nisan", "mayis", "haziran", "temmuz", "agustos", "eylul", "ekim", "kasim", "aralik")
 MONTH_LABELS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-NO_DATE = "(?iu)©|copyright|telif|all rights reserved"
+NO_DATE = "(?i)©|copyright|telif|all rights reserved"
 
 
 def _one_of(names: list[str]):

@@ -282,7 +282,7 @@ def is_turkish(c: Column) -> Column:
     en = ["the", "a", "and", "of", "in", "to", "for", "is", "this", "with", "study", "according"]
     n_tr = F.size(F.filter(words, lambda w: w.isin(tr)))
     n_en = F.size(F.filter(words, lambda w: w.isin(en)))
-    return (n_tr > n_en) | ((n_tr == n_en) & _text(c).rlike("(?iu)[çğıöşü]"))
+    return (n_tr > n_en) | ((n_tr == n_en) & _text(c).rlike("[çğıöşüÇĞÖŞÜ]"))
 
 
 def describe_error(provider: Column, status: Column, message: Column) -> Column:

@@ -145,7 +145,7 @@ def clean_name(c: Column) -> Column:
     v = F.regexp_replace(F.coalesce(c, F.lit("")), f"(?i)['’]s{NOT_BEFORE_WORD}", "")
     v = F.regexp_replace(
         v,
-        f"(?iu){NOT_AFTER_WORD}et[{WS}]+al\\.?|{NOT_AFTER_WORD}vd\\.|{NOT_AFTER_WORD}ve[{WS}]+ark\\.?|{NOT_AFTER_WORD}ve[{WS}]+diğerleri",
+        f"(?i){NOT_AFTER_WORD}et[{WS}]+al\\.?|{NOT_AFTER_WORD}vd\\.|{NOT_AFTER_WORD}ve[{WS}]+ark\\.?|{NOT_AFTER_WORD}ve[{WS}]+di[ğĞ]erleri",
         "",
     )
     return trim_ws(F.regexp_replace(v, f"[,.{WS}]+$", ""))

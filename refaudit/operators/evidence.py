@@ -24,7 +24,7 @@ WIDTH, STRIDE = 2400, 2000
 BATCH_CHARACTERS = 12_000
 VERDICTS = ("supported", "partial", "contradicted", "not_found", "unassessable")
 
-_BIB_LINE = f"(?iu)^[{WS}]*(?:(?:[IVX]+|[0-9]+)[.{WS}]+)?(?:REFERENCES|BIBLIOGRAPHY|KAYNAKÇA)[{WS}]*$"
+_BIB_LINE = f"(?i)^[{WS}]*(?:(?:[IVX]+|[0-9]+)[.{WS}]+)?(?:REFERENCES|BIBLIOGRAPHY|KAYNAK[çÇ]A)[{WS}]*$"
 _APPENDIX_LINE = f"(?i)^[{WS}]*(?:APPENDIX|APPENDICES|SUPPLEMENTARY MATERIAL)(?![0-9A-Za-z_])"
 
 
@@ -34,7 +34,7 @@ def strip_bibliography(passages: Column) -> Column:
     The state runs across pages. Only marker lines (a handful) are searched per line, and
     publications without a bibliography heading pass through untouched.
     """
-    marked = F.exists(passages, lambda p: p["text"].rlike(_BIB_LINE.replace("(?iu)", "(?ium)", 1)))
+    marked = F.exists(passages, lambda p: p["text"].rlike(_BIB_LINE.replace("(?i)", "(?im)", 1)))
     lines = F.flatten(F.transform(passages, lambda p, n: F.transform(F.split(p["text"], "\n"), lambda t: F.struct(
         n.alias("page"), t.alias("text"), F.when(t.rlike(_BIB_LINE), 1).when(t.rlike(_APPENDIX_LINE), 2).otherwise(0).alias("mark")))))
 

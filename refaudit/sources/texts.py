@@ -130,7 +130,7 @@ def read_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 # --- positioned lines --------------------------------------------------------------------
 
-_REF_HEADING = f"(?iu)^(?:[0-9]+[.)]?[{WS}]*)?(kaynakça|kaynaklar|references|bibliography|works cited)[{WS}]*[:.]?$"
+_REF_HEADING = f"(?i)^(?:[0-9]+[.)]?[{WS}]*)?(kaynak[çÇ]a|kaynaklar|references|bibliography|works cited)[{WS}]*[:.]?$"
 _END_HEADING = "(?i)^(?:ekler|ek\\s*[0-9]*|appendix|appendices)(?![\\p{L}\\p{N}_])"
 _PAGE_NUMBER = "(?i)^(?:sayfa|page|s\\.)?\\s*[0-9]{1,4}(?:\\s*(?:/|of|-|–)\\s*[0-9]{1,4})?$"
 _ENTRY_YEAR = "(?i)\\(\\s*(?:1[89]|20)[0-9]{2}[a-z]?\\s*[,)]|\\(\\s*(?:t\\.\\s*y\\.|n\\.\\s*d\\.)\\s*\\)"
