@@ -18,7 +18,10 @@ DEFAULTS = {
 
 
 def build_session(app: str = "refaudit", master: str | None = None, **conf: str) -> SparkSession:
-    """Create a session with the library defaults; keyword ``conf`` uses ``_`` for ``.``."""
+    """Create a session with the library defaults; keyword ``conf`` uses ``_`` for ``.``.
+
+    For instance ``spark_sql_shuffle_partitions="64"``.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
