@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 # Whitespace as the audited texts define it: Java's \s alone misses NBSP and friends.
 WS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Whitespace runs that are not already one plain blank: most blanks need no replacement.
+_RUN = f"[{WS.removeprefix(chr(92) + 's')}\\t\\n\\x0B\\f\\r][{WS}]*| [{WS}]+"
 # ASCII word boundary pieces; \b would be Unicode-aware on this JVM.
 NOT_AFTER_WORD = r"(?<![0-9A-Za-z_])"
 NOT_BEFORE_WORD = r"(?![0-9A-Za-z_])"
@@ -23,12 +26,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def clean_ws(c: Column) -> Column:
     """Collapse every run of Unicode whitespace to one blank and trim; NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _RUN, " "))
 
 
 # --- Unicode normalisation ---------------------------------------------------------------
@@ -81,10 +84,14 @@ def _fold_table() -> tuple[str, str, str]:
     return "".join(src), "".join(dst), "[^" + "".join(ranges) + "]"
 
 
+# Plain ASCII has nothing to fold.
+_NON_ASCII = "[^\\x00-\\x7F]"
+
+
 def fold_simple(c: Column) -> Column:
     """JVM-only accent folding; exact for Latin, Greek and Cyrillic letters (usable in lambdas)."""
     src, dst, _ = _fold_table()
-    return F.regexp_replace(F.translate(c, src, dst), r"\p{M}", "")
+    return let(c, lambda v: F.when(v.rlike(_NON_ASCII), F.regexp_replace(F.translate(v, src, dst), r"\p{M}", "")).otherwise(v))
 
 
 def fold_marks(c: Column) -> Column:
@@ -95,12 +102,13 @@ def fold_marks(c: Column) -> Column:
     """
     src, dst, uncovered = _fold_table()
     rare = nfkd(F.when(F.coalesce(c, F.lit("")).rlike(uncovered), c))
-    return F.regexp_replace(F.coalesce(rare, F.translate(c, src, dst)), r"\p{M}", "")
+    folded = F.regexp_replace(F.coalesce(rare, F.translate(c, src, dst)), r"\p{M}", "")
+    return F.when(c.rlike(_NON_ASCII), folded).otherwise(c)
 
 
 def _words_only(folded: Column) -> Column:
     lowered = F.translate(F.lower(folded), "ı", "i")
-    return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N} ][^\p{L}\p{N}]*| [^\p{L}\p{N}]+", " "))
 
 
 def normalize_title(c: Column) -> Column:
