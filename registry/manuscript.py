@@ -287,7 +287,7 @@ def reusable_results(spark, sf):
 
 
 def search_rows(spark, sf):
-    return R.search_rows(_paragraphs(spark, sf), "EFFECT IS STABLE (E", "text").select("doc_id", "paragraph_id")
+    return R.search_rows(_paragraphs(spark, sf), "EFFECT İS STABLE (E", "text").select("doc_id", "paragraph_id")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -349,5 +349,5 @@ ORACLES = {
     "reanalyze": _sql("SELECT doc_id, paragraph_id, s AS start, reference, kind FROM res"),
     "scoped_citations": _sql("SELECT doc_id, paragraph_id, s AS start, reference FROM res WHERE reference IS NOT NULL AND kind IS NULL AND NOT protected"),
     "reusable_results": _sql("SELECT doc_id, count(*) AS n FROM cit WHERE form <> 1 GROUP BY 1"),
-    "search_rows": _sql("SELECT doc_id, paragraph_id FROM paragraphs WHERE contains(lower(text), 'effect is stable (e')"),
+    "search_rows": _sql("SELECT doc_id, paragraph_id FROM paragraphs WHERE contains(lower(translate(text, 'İI', 'iı')), 'effect is stable (e')"),
 }
