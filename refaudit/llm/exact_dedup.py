@@ -49,20 +49,20 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         "_digest", F.when(F.col("_variants") > 1, F.col("_content")).alias("_content"), F.col("_best.id").alias("keep_id"), (-F.col("_best.len")).alias("_keep_len"), "group_size")
     groups = stage_table(groups, "exact-groups")
 
-    keyed = docs.withColumn("_digest", digest(content))
+    keyed = docs.withColumn("_digest", digest(content)).withColumn("text_sha256", F.sha2(content, 256)).withColumn("_len", F.length(F.coalesce(F.col(text), F.lit(""))))
     clear, clashes = groups.filter("_content IS NULL"), groups.filter("_content IS NOT NULL")
     if clashes.limit(1).count() == 0:
         out = keyed.join(clear.drop("_content"), "_digest")
     else:
         keyed = keyed.withColumn("_content", content)
         out = keyed.join(clear.drop("_content"), "_digest").unionByName(keyed.join(clashes, ["_digest", "_content"]).select(*keyed.columns, "keep_id", "_keep_len", "group_size")).drop("_content")
-    stays = F.col(doc_id).eqNullSafe(F.col("keep_id")) & (F.length(F.coalesce(F.col(text), F.lit(""))) == F.col("_keep_len"))
+    stays = F.col(doc_id).eqNullSafe(F.col("keep_id")) & (F.col("_len") == F.col("_keep_len"))
     if docs.groupBy(doc_id).count().filter("count > 1").limit(1).count():  # ids repeat: one row of each stays
         out = out.withColumn("_stays", stays)
-        turn = F.row_number().over(Window.partitionBy("_digest", doc_id, "_stays", content).orderBy(F.length(F.col(text)).desc()))
+        turn = F.row_number().over(Window.partitionBy("_digest", doc_id, "_stays", content).orderBy("_len"))
         out = out.withColumn("_turn", turn)
         stays = F.col("_stays") & (F.col("_turn") == 1)
-    return out.withColumn("kept", stays).withColumn("text_sha256", F.sha2(content, 256)).select(*docs.columns, *added)
+    return out.withColumn("kept", stays).select(*docs.columns, *added)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

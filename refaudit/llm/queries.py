@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "packing", "mixing")
+MODULES = ("simhash", "sharding", "exact_dedup", "packing", "token_files", "warc", "mixing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
