@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "sharding", "exact_dedup", "packing", "token_files", "warc", "mixing")
+MODULES = ("simhash", "sharding", "exact_dedup", "language", "packing", "token_files", "warc", "spotsigs", "mixing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
