@@ -8,7 +8,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from refaudit.llm.common import components, table
 from refaudit.session import stage_table
@@ -16,34 +15,50 @@ from refaudit.session import stage_table
 BITS = 64
 SHINGLE = 3
 RADIUS = 3
+#: Fingerprints per text and radius where near copies are to be dropped: three-word shingles, independent hashes. A pair that shares four fifths of
+#: its five-word shingles lies within five bits in at least one of them nine times in ten.
+DROP_PRINTS, DROP_RADIUS = 3, 5
 #: A bucket with more fingerprints than this is split on further masks instead of being compared in one piece.
 BUCKET = 4096
-#: Buckets with so few free bits hold at most 2^SMALL fingerprints and are always compared in one piece.
+#: Buckets with so few free bits hold at most 2^SMALL different fingerprints and are always compared in one piece.
 SMALL = 12
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles of the lower-cased text; no words: 0."""
+def _mixed(h: np.ndarray, number: int) -> np.ndarray:
+    """Another 64-bit hash of the same shingles: number 0 is the hash itself."""
+    if number == 0:
+        return h
+    h = h + np.uint64((number * 0x9E3779B97F4A7C15) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(text: bytes, width: int = SHINGLE, prints: int = 1) -> list[int]:
+    """Majority bits of the XXH64 (seed 42) of all word shingles of the lower-cased text; no words: 0.
+
+    Further fingerprints take further hashes of the same shingles.
+    """
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return [0] * prints
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
+    width = min(width, len(words))
     starts, ends = (ends - sizes)[:len(words) - width + 1].tolist(), ends[width - 1:].tolist()
-    ones, step = np.zeros(BITS, np.int64), 1 << 16
+    ones, step = np.zeros((prints, BITS), np.int64), 1 << 16
     for at in range(0, len(starts), step):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:at + step], ends[at:at + step], strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > len(starts)).tolist())
+        hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:at + step], ends[at:at + step], strict=True)], np.uint64)
+        for j in range(prints):
+            ones[j] += np.unpackbits(_mixed(hashes, j).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [sum(1 << i for i in np.flatnonzero(2 * row > len(starts)).tolist()) for row in ones]
 
 
-def fingerprints(width: int = SHINGLE):
-    @F.pandas_udf(LongType())
+def _fingerprint_column(width: int, prints: int):
+    @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint((t or "").encode(), width) for t in texts], np.uint64).view(np.int64))
+        return pd.Series([np.array(fingerprints((t or "").encode(), width, prints), np.uint64).view(np.int64) for t in texts], dtype=object)
     return run
 
 
@@ -63,124 +78,138 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _forest(members: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Edges (member, root) that connect what is linked among the members: at most one per member."""
-    ends, roots = [], []
-    left = members
+def _forest(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Edges (node, root) that connect what is linked among the members: fewer than there are members."""
+    order = np.argsort(prints, kind="stable")
+    prints, nodes = prints[order], nodes[order]
+    new = np.concatenate([[True], prints[1:] != prints[:-1]])
+    heads = np.flatnonzero(new)
+    own = heads[np.cumsum(new) - 1]
+    ends, roots = nodes[~new].tolist(), nodes[own[~new]].tolist()  # equal fingerprints
+    left, names = prints[heads], nodes[heads]
     while left.size > 1:
-        root, left = left[0], left[1:]
-        queue = [root]
+        root, queue = names[0], [left[0]]
+        left, names = left[1:], names[1:]
         while queue and left.size:
             near = np.bitwise_count(left ^ queue.pop()) <= radius
-            found, left = left[near], left[~near]
-            ends += found.tolist()
-            roots += [int(root)] * len(found)
-            queue += list(found)
+            ends += names[near].tolist()
+            roots += [int(root)] * int(near.sum())
+            queue += list(left[near])
+            left, names = left[~near], names[~near]
     return ends, roots
 
 
-def _linker(radius: int, limit: int):
+def _linker(masks: list[int], radius: int, limit: int):
+    masks = np.array(masks, np.uint64)
+    free = BITS - np.bitwise_count(masks)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket. A bucket of up to ``limit`` rows is linked here; a larger one goes on to be split.
 
         Holds one bucket's first rows, up to ``limit``; the edges of one batch leave together.
         """
-        bucket, held, size, splitting = None, [], 0, False
-        ends, roots, far, far_kept = [], [], [], []
+        bucket, prints, nodes, size, splitting = None, [], [], 0, False
+        ends, roots, far = [], [], []
 
         def close():
             if size > 1 and not splitting:
-                e, r = _forest(np.concatenate(held), radius)
+                e, r = _forest(np.concatenate(prints), np.concatenate(nodes), radius)
                 ends.extend(e)
                 roots.extend(r)
 
         def frame():
-            linked = pd.DataFrame({"a": np.array(ends, np.uint64).view(np.int64), "b": np.array(roots, np.uint64).view(np.int64), "kept_bits": np.zeros(len(ends), np.int64), "split": False})
-            members = np.concatenate(far).view(np.int64) if far else np.empty(0, np.int64)
-            split = pd.DataFrame({"a": members, "b": np.zeros(len(members), np.int64), "kept_bits": np.concatenate(far_kept) if far else members, "split": True})
-            for x in (ends, roots, far, far_kept):
+            out = pd.DataFrame({"a": np.array(ends, np.int64), "b": np.array(roots, np.int64), "fp": np.int64(0), "t": np.int32(-1)})
+            if far:
+                out = pd.concat([out, *[pd.DataFrame({"a": n, "b": n, "fp": p.view(np.int64), "t": np.int32(t)}) for t, p, n in far]], ignore_index=True)
+            for x in (ends, roots, far):
                 x.clear()
-            return pd.concat([linked, split], ignore_index=True)
+            return out
 
         for rows in batches:
-            kept, key, fp = (rows[c].to_numpy() for c in ("kept_bits", "key", "fp"))
+            t, fp, node = (rows[c].to_numpy() for c in ("t", "fp", "node"))
             if not len(fp):
                 continue
             fp = fp.view(np.uint64)
-            cuts = np.concatenate([[0], np.flatnonzero((kept[1:] != kept[:-1]) | (key[1:] != key[:-1])) + 1, [len(fp)]])
+            key = fp & masks[t]
+            cuts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(fp)]])
             worth = np.flatnonzero(np.diff(cuts) > 1)
             for i in np.unique(np.concatenate([[0], worth, [len(cuts) - 2]])).tolist():  # single rows meet nobody, unless at a batch's edge
                 s, e = int(cuts[i]), int(cuts[i + 1])
-                if bucket != (kept[s], key[s]):
+                if bucket != (t[s], key[s]):
                     close()
-                    bucket, held, size, splitting = (kept[s], key[s]), [], 0, False
-                held.append(fp[s:e])
+                    bucket, prints, nodes, size, splitting = (t[s], key[s]), [], [], 0, False
+                prints.append(fp[s:e])
+                nodes.append(node[s:e])
                 size += e - s
-                if size > limit and BITS - (int(kept[s]) % (1 << BITS)).bit_count() > SMALL:
-                    splitting = True
+                if size > limit:
+                    if free[t[s]] > SMALL:
+                        splitting = True
+                    else:  # few different fingerprints, perhaps many rows of each: link equal ones and go on with one of each
+                        p, n = np.concatenate(prints), np.concatenate(nodes)
+                        ones, first, inverse = np.unique(p, return_index=True, return_inverse=True)
+                        ends.extend(n.tolist())
+                        roots.extend(n[first][inverse].tolist())
+                        prints, nodes, size = [ones], [n[first]], len(ones)
                 if splitting:
-                    far += held
-                    far_kept.append(np.full(sum(map(len, held)), kept[s]))
-                    held = []
+                    far += [(int(t[s]), p, n) for p, n in zip(prints, nodes, strict=True)]
+                    prints, nodes = [], []
             yield frame()
         close()
         yield frame()
     return run
 
 
-def links(points: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> DataFrame:
-    """Edges ``(a, b)`` that connect all distinct fingerprints ``points(fp)`` within ``radius`` bits of each other, as forests.
+def links(points: DataFrame, radius: int = RADIUS, prints: int = 1, limit: int = BUCKET) -> DataFrame:
+    """Edges ``(a, b)`` that connect all ``points(node, fps)`` with a fingerprint within ``radius`` bits of each other, as forests.
 
     Each fingerprint enters one table per covering mask, so every pair within the radius meets in one. A bucket of a mask is
-    linked in memory, giving at most one edge per member. A bucket of more than ``limit`` fingerprints is split: its members
-    enter a covering of the bits that the mask leaves free, which again loses no pair. Each split about halves the free bits,
-    and a bucket with f free bits holds at most 2^f distinct fingerprints; one with ``SMALL`` free bits or fewer is not split
+    linked in memory, giving fewer edges than members. A bucket of more than ``limit`` rows is split: its members enter a
+    covering of the bits that the mask leaves free, which again loses no pair. Each split about halves the free bits, and a
+    bucket with f free bits holds at most 2^f different fingerprints; one with ``SMALL`` free bits or fewer is not split
     further, so this ends for any input.
     """
-    bits = list(range(BITS))
-    level = points.select("fp", F.lit(0).cast("long").alias("kept_bits"))
-    kept = [0]
+    covering = covering_masks(radius, list(range(BITS)))
+    masks = covering * prints
+    t = F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t")
+    level = points.select("node", "fps", t).select("t", F.element_at("fps", F.expr(f"t div {len(covering)} + 1").cast("int")).alias("fp"), "node")
     found = None
     while True:
-        masks = [(k, m | k) for k in kept for m in covering_masks(radius, [b for b in bits if not k >> b & 1])]
-        entry = F.explode(F.array(*[F.struct(F.lit(_signed(k)).alias("was"), F.lit(_signed(m)).alias("mask")) for k, m in masks])) if len(kept) == 1 else None
-        if entry is not None:
-            spread = level.select("fp", entry.alias("_m")).select("fp", F.col("_m.mask").alias("kept_bits"))
-        else:
-            choice = level.sparkSession.createDataFrame([(_signed(k), _signed(m)) for k, m in masks], "kept_bits long, mask long")
-            spread = level.join(F.broadcast(choice), "kept_bits").select("fp", F.col("mask").alias("kept_bits"))  # radius masks per mask: a fixed number of rows
-        spread = spread.withColumn("key", F.col("fp").bitwiseAND(F.col("kept_bits")))
-        ordered = spread.repartition("kept_bits", "key").sortWithinPartitions("kept_bits", "key", "fp")
-        out = stage_table(ordered.mapInPandas(_linker(radius, limit), "a long, b long, kept_bits long, split boolean"), "simhash-links")
-        edges = out.filter("NOT split").select("a", "b")
+        key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("t") + 1))
+        ordered = level.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key)
+        out = stage_table(ordered.mapInPandas(_linker(masks, radius, limit), "a long, b long, fp long, t int"), "simhash-links")
+        edges = out.filter("t < 0 AND a <> b").select("a", "b")
         found = edges if found is None else found.union(edges)
-        level = out.filter("split").select(F.col("a").alias("fp"), "kept_bits").distinct()
-        kept = [row[0] % (1 << BITS) for row in level.select("kept_bits").distinct().collect()]  # at most the masks of this level
-        if not kept:
+        full = [row[0] for row in out.filter("t >= 0").select("t").distinct().collect()]  # table numbers: as many as there are masks at most
+        if not full:
             return found.distinct()
+        finer = [(old, masks[old] | m) for old in full for m in covering_masks(radius, [b for b in range(BITS) if not masks[old] >> b & 1])]
+        choice = out.sparkSession.createDataFrame([(old, new) for new, (old, _) in enumerate(finer)], "t int, finer int")
+        level = out.filter("t >= 0").join(F.broadcast(choice), "t").select(F.col("finer").alias("t"), "fp", F.col("a").alias("node"))  # as many rows per row as masks
+        masks = [m for _, m in finer]
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS, limit: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(one row per input row ``doc_id, sig, fp, component_id``, one row per component ``root, keep``).
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS, prints: int = 1, limit: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(one row per input row ``doc_id, sig, fps, component_id``, one row per component ``root, component_id, keep``).
 
     ``sig`` is a hash of the text and ``keep`` the (doc_id, sig) of the row that stands for the component. Fingerprints are
-    computed once and written with the ids; only distinct fingerprints are linked, so copies never meet as pairs.
+    computed once and written with the ids; only rows with different fingerprints are linked, so copies never meet as pairs.
     NULL text counts as empty (fingerprint 0); NULL ids are the largest and are returned as they are; repeated rows share a
     component; an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    coded = stage_table(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("sig"), fingerprints(width)(F.col(text)).alias("fp")), "simhash-codes")
-    points = coded.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "sig")).alias("first"))
-    points = stage_table(points, "simhash-points")
-    joined = components(links(points.select("fp"), radius, limit), "simhash-cc")
-    rooted = points.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sig = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    coded = stage_table(docs.select(F.col(doc_id).alias("doc_id"), sig.alias("sig"), _fingerprint_column(width, prints)(F.col(text)).alias("fps")), "simhash-codes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "sig")).alias("first")
+    points = stage_table(coded.groupBy("fps").agg(F.min("doc_id").alias("low"), first).withColumn("node", F.monotonically_increasing_id()), "simhash-points")
+    joined = components(links(points.select("node", "fps"), radius, prints, limit), "simhash-cc")
+    rooted = points.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("keep"))
-    names = rooted.select("fp", "root").join(groups.select("root", "component_id"), "root").select("fp", "component_id")
-    return coded.join(names, "fp"), groups
+    names = rooted.select("fps", "root").join(groups.select("root", "component_id"), "root").select("fps", "component_id")
+    return coded.join(names, "fps"), groups
 
 
-def near_deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def near_deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = DROP_RADIUS, prints: int = DROP_PRINTS, **options) -> DataFrame:
     """One row of each component (its smallest id) with the columns of ``docs``."""
-    _, groups = near_groups(docs, text, doc_id, **options)
+    _, groups = near_groups(docs, text, doc_id, radius=radius, prints=prints, **options)
     keep = stage_table(groups.select(F.col("keep.id").alias("_id"), F.col("keep.sig").alias("_sig")), "simhash-keep")
     sig = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     kept = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_id")) & (sig == F.col("_sig")), "left_semi")
@@ -191,7 +220,7 @@ def near_deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     rows, _ = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op1_simhash": op1_simhash}
