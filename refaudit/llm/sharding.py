@@ -12,6 +12,8 @@ SHARD_BYTES = 1 << 20
 #: Hash bits in use, and bits looked at in one pass over the sizes.
 HASH_BITS = 60
 CHUNK = 20
+#: Levels whose prefixes are broadcast in the first pass: below 2^BROAD rows.
+BROAD = 10
 
 
 def key_hash(*columns: Column) -> Column:
@@ -41,7 +43,10 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
         levels = fine.select("*", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("d"))
         levels = levels.withColumn("q", F.call_function("shiftright", F.col("p"), (F.lit(top) - F.col("d")).cast("int")))
         large = levels.groupBy("d", "q").agg(F.sum("bytes").alias("total"), F.min("first").alias("first"), F.max("last").alias("last")).filter((F.col("total") > limit) & (F.col("first") < F.col("last")))
-        deep = levels.join(large.select("d", "q"), ["d", "q"]).groupBy("p").agg(F.count("*").alias("over"))
+        large = stage_table(large.select("d", "q"), "shard-large")
+        wide, narrow = F.col("d") < base + BROAD, F.col("d") >= base + BROAD  # few wide prefixes, each over many rows: at most 2^BROAD per bucket split
+        met = levels.filter(wide).join(F.broadcast(large.filter(wide)), ["d", "q"]).select("p") if base == 0 else levels.filter(wide).join(large.filter(wide), ["d", "q"]).select("p")
+        deep = met.union(levels.filter(narrow).join(large.filter(narrow), ["d", "q"]).select("p")).groupBy("p").agg(F.count("*").alias("over"))
         leaf = fine.select("p").join(deep, "p", "left").select("p", (F.lit(base) + F.coalesce("over", F.lit(0))).alias("depth"))
         leaf = stage_table(leaf, "shard-leaf")
         found = rest.withColumn("p", _prefix("h", F.lit(top))).join(leaf, "p")
