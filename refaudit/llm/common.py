@@ -2,10 +2,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,12 +17,23 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def fresh_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not hold yet, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def shield(docs: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """Hide a table's column names while an operator works, so that none can clash with the operator's own.
+
+    Returns the table with plain numbered names, the new name of an old one, and the way back: all old columns under their
+    names, then ``added`` (old columns of those names are left out).
+    """
+    docs = docs.drop(*added)
+    inner = [f"in{i}" for i in range(len(docs.columns))]
+    lookup = dict(zip(map(str.lower, docs.columns), inner, strict=True))
+    back = [F.col(i).alias(n) for i, n in zip(inner, docs.columns, strict=True)]
+    return docs.toDF(*inner), lambda name: lookup[name.lower()], lambda df: df.select(*back, *added)
+
+
+def shielded(docs: DataFrame, work: Callable[..., DataFrame], **names: str) -> DataFrame:
+    """``work`` on the table under plain names (given the new names of ``names``), then its rows with the old columns only."""
+    plain, named, restore = shield(docs, ())
+    return restore(work(plain, **{k: named(v) for k, v in names.items()}))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,7 +118,3 @@ def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]
         words += own
     coded = pa.array(words, pa.binary()).dictionary_encode()
     return np.asarray(coded.indices).astype(np.int64), counts, coded.dictionary.to_pylist()
-
-
-def empty_frame(schema: dict[str, str]) -> pd.DataFrame:
-    return pd.DataFrame({k: pd.Series(dtype=v) for k, v in schema.items()})

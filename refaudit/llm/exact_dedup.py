@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refaudit.llm.common import BLANKS, table
+from refaudit.llm.common import BLANKS, shield, shielded, table
 from refaudit.session import stage_table
 
 SALTS = 32
@@ -37,7 +37,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     row; an empty table gives an empty result; a column of the input with one of the added names is replaced.
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
-    docs = docs.drop(*added)
+    docs, named, restore = shield(docs, added)
+    text, doc_id = named(text), named(doc_id)
     content = normal_content(F.col(text))
     rows = docs.select(F.col(doc_id).alias("_id"), content.alias("_content"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("_len"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"))
     rows = rows.withColumn("_digest", digest(F.col("_content")))
@@ -62,12 +63,12 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         turn = F.row_number().over(Window.partitionBy("_digest", doc_id, "_stays", content).orderBy("_len"))
         out = out.withColumn("_turn", turn)
         stays = F.col("_stays") & (F.col("_turn") == 1)
-    return out.withColumn("kept", stays).select(*docs.columns, *added)
+    return restore(out.withColumn("kept", stays))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
-    return exact_duplicates(docs, text, doc_id).filter("kept").select(*docs.columns)
+    return shielded(docs, lambda d, text, doc_id: exact_duplicates(d, text, doc_id).filter("kept"), text=text, doc_id=doc_id)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refaudit.llm.common import table
+from refaudit.llm.common import shield, shielded, table
 from refaudit.session import stage_table
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -152,9 +152,13 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, labe
     input with one of the added names is replaced.
     """
     added = ("language", "probability", "grams", "accepted")
-    docs = docs.drop(*added)
+    plain, _, restore = shield(docs, added)
+    own = [c for c in docs.columns if c.lower() not in added]
+    used = (("_text", text), ("_declared", declared), ("_named", host), ("_label", declared if label is None else label))
+    docs = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(own, plain.columns, strict=True)], *[c.alias(n) for n, c in used])
+    text, declared, host, label = (F.col(n) for n, _ in used)
     spark, classes = docs.sparkSession, len(languages) + 1
-    labelled = docs.select(text.alias("text"), declared_language(declared if label is None else label).alias("label"))
+    labelled = docs.select(text.alias("text"), declared_language(label).alias("label"))
     model = spark.sparkContext.broadcast(fit_text_model(labelled, languages, sample))
 
     @F.pandas_udf("int")
@@ -193,12 +197,15 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, labe
         salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
         rows = rows.withColumn("_salt", salt).join(priors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_salt"], "left")
     prior = F.coalesce("prior", F.array(*[F.lit(float(x)) for x in world]))
-    return rows.withColumn("_fused", fuse(text, F.col("_said"), prior)).select(*docs.columns, *[F.col(f"_fused.{a}").alias(a) for a in added])
+    fused = rows.withColumn("_fused", fuse(text, F.col("_said"), prior))
+    return restore(fused.select("*", *[F.col(f"_fused.{a}").alias(a) for a in added]))
 
 
 def known_language(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", **options) -> DataFrame:
     """The accepted rows, with the columns of ``docs``."""
-    return identify(docs, F.col(text), F.col(declared), F.col(host), **options).filter("accepted").select(*docs.columns)
+    def work(plain: DataFrame, text: str, declared: str, host: str) -> DataFrame:
+        return identify(plain, F.col(text), F.col(declared), F.col(host), **options).filter("accepted")
+    return shielded(docs, work, text=text, declared=declared, host=host)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

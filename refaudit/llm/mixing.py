@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refaudit.llm.common import WORD, global_index, table
+from refaudit.llm.common import WORD, global_index, shield, shielded, table
 from refaudit.session import stage_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -101,10 +101,11 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     rows count each. An empty table gives an empty result; a column of the input with one of the added names is replaced.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*added)
-    named = F.when(F.col(source).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source)))  # NULL last by code point
+    docs, named, restore = shield(docs, added)
+    text, source, doc_id = named(text), named(source), named(doc_id)
+    group = F.when(F.col(source).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source)))  # NULL last by code point
     part = F.pmod(F.xxhash64(F.col(doc_id), F.lit(1)), F.lit(salts))
-    rows = docs.withColumn("_source", named).withColumn("size", word_count(F.col(text))).withColumn("_part", part)
+    rows = docs.withColumn("_source", group).withColumn("size", word_count(F.col(text))).withColumn("_part", part)
     parts = stage_table(rows.groupBy("_source", "size", "_part").agg(F.count("*").alias("_rows")), "mix-sizes")
     sizes = stage_table(parts.groupBy("_source", "size").agg(F.sum("_rows").alias("docs")), "mix-sizes")
     sources = sizes.groupBy("_source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.max("size").alias("_largest"))
@@ -118,13 +119,15 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     rank = F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy(F.xxhash64(F.col(doc_id), F.lit(2)), F.col(doc_id)))
     out = rows.join(plan, ["_source", "size", "_part"]).withColumn("_rank", rank + F.col("_before"))
     copies = F.col("_each") + F.when(F.col("_rank") <= F.col("_more"), 1).otherwise(0)
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*docs.columns, *added)
+    return restore(out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    out = mix_sources(docs, **options)
-    return out.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*docs.columns)
+    def work(plain: DataFrame, **names: str) -> DataFrame:
+        taken = mix_sources(plain, **names, **options).filter("copies > 0")
+        return taken.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+    return shielded(docs, work, text=text, source=source, doc_id=doc_id)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

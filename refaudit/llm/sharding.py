@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from refaudit.llm.common import table
+from refaudit.llm.common import shield, table
 from refaudit.session import stage_table
 
 #: Bytes of a shard in the registered query.
@@ -71,8 +71,9 @@ def shard(docs: DataFrame, key: list[str], size: Column, limit: int = SHARD_BYTE
     column of the input with one of the added names is replaced.
     """
     added = ("shard", "depth", "shard_bytes", "shard_rows", "page")
-    docs = docs.drop(*added)
-    rows = docs.withColumn("_h", key_hash(*[F.col(c) for c in key])).withColumn("_bytes", F.coalesce(size, F.lit(0)).cast("long"))
+    plain, _, restore = shield(docs, added)
+    own = [c for c in docs.columns if c.lower() not in added]
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(own, plain.columns, strict=True)], key_hash(*[F.col(c) for c in key]).alias("_h"), F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"))
     sizes = stage_table(rows.groupBy(F.col("_h").alias("h")).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("rows"), F.max("_bytes").alias("most")), "shard-sizes")
     leaves = sizes.join(directory(sizes, limit), "h").withColumn("q", _prefix("h", F.col("depth")))
     buckets = leaves.groupBy("depth", "q").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
@@ -82,7 +83,7 @@ def shard(docs: DataFrame, key: list[str], size: Column, limit: int = SHARD_BYTE
     placed = stage_table(placed, "shard-places")
     out = rows.join(placed, "_h")
     if placed.filter("_fit IS NOT NULL AND shard_rows > 1").limit(1).count() == 0:
-        return out.withColumn("page", F.lit(0).cast("long")).select(*docs.columns, *added)
+        return restore(out.withColumn("page", F.lit(0).cast("long")))
     # Overflow pages, for the full keys only.
     single = out.filter("_fit IS NULL OR shard_rows = 1").withColumn("page", F.lit(0).cast("long"))
     over = out.filter("_fit IS NOT NULL AND shard_rows > 1").withColumn("_part", F.spark_partition_id())
@@ -92,7 +93,7 @@ def shard(docs: DataFrame, key: list[str], size: Column, limit: int = SHARD_BYTE
     counts = counts.select("_h", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_h", "_part").orderBy("_bytes")) - 1
     over = over.withColumn("_rank", rank).join(counts, ["_h", "_part"]).withColumn("page", F.floor((F.col("_rank") + F.col("_before")) / F.col("_fit")).cast("long"))
-    return single.select(*docs.columns, *added).unionByName(over.select(*docs.columns, *added))
+    return restore(single).unionByName(restore(over))
 
 
 def write_shards(docs: DataFrame, path: str, key: list[str], size: Column, limit: int = SHARD_BYTES) -> None:
