@@ -12,31 +12,37 @@ ANCHORS = ("the of and to in is that was for it with as be on by are at this fro
            "le la les des et un une du que est dans pour en il au ce qui sur "
            "der die und das den von zu mit sich auf ein eine ist dem nicht im "
            "el los las del se con por su para como al lo").split()
-JOIN = "\x01"
-#: One in so many chains without an anchor is taken as well.
-SAMPLED = 4
+#: A word that begins with one of these letters opens a signature as well, so that texts poor in common words have some too.
+OPENERS = "dmr"
 #: Ids covered by one ordering bucket where ids are dense.
 BUCKET = 2048
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern that matches any of the words, branching once per letter."""
+    branches: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        branches.setdefault(w[:1], []).append(w[1:])
+    ends = branches.pop("", None) is not None
+    inner = "|".join(k + _trie(v) for k, v in branches.items())
+    return f"(?:{inner}){'?' if ends else ''}" if inner else ""
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct 32-bit codes of a text's spot signatures (array of ints).
 
-    Words are runs of letters, lower-cased. A run of anchors is glued to the content word after it; each anchored place
-    gives the chain (last anchor, content word, next content word). The start of a text is an anchor. Of the chains
-    without an anchor (content word, next content word) those whose hash is divisible by ``SAMPLED`` count as well, so texts
-    poor in common words have signatures too; which ones depends on the chain alone, so an edit changes only what is near it.
-    A text without letters is cut at blanks instead. Empty: no codes.
+    Words are runs of letters, lower-cased. The text is cut behind each run of anchors and before each word that begins with
+    an opening letter; each cut gives the chain of the two content words that follow (the second one, if need be, from behind
+    the next cut). The start of a text is a cut. A text without letters is cut into words at blanks instead. Empty: no codes.
     """
     letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
     plain = F.when(letters == "", F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))).otherwise(letters)
-    glued = F.regexp_replace(plain, "(?<![^ ])(" + "|".join(ANCHORS) + ") ", "$1" + JOIN)
-    places = F.split(F.concat(F.lit("^" + JOIN), glued), " ")
-    followers = F.transform(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda x: F.substring_index(x, JOIN, -1))
-    chains = F.zip_with(places, followers, lambda x, y: F.concat(F.substring_index(x, JOIN, -2), F.lit(" "), F.coalesce(y, F.lit(""))))
-    marked = F.filter(chains, lambda x: F.contains(x, F.lit(JOIN)) | (F.pmod(F.hash(x), F.lit(SAMPLED)) == 0))
-    codes = F.array_sort(F.array_distinct(F.transform(marked, lambda x: F.hash(x))))
-    return F.when(plain == "", F.array().cast("array<int>")).otherwise(codes)
+    cut = f"(?: {_trie(ANCHORS)}(?= |$))++(?: |$)| (?=[{OPENERS}])|^ "
+    places = F.filter(F.split(F.concat(F.lit(" "), plain), cut), lambda x: x != "")
+    chains = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda x, y: F.hash(
+        F.when(F.contains(x, F.lit(" ")), F.substring_index(x, " ", 2)).otherwise(F.concat(x, F.lit(" "), F.coalesce(F.substring_index(y, " ", 1), F.lit(""))))))
+    codes = F.when(F.size(places) == 0, F.array(F.hash(plain))).otherwise(chains)  # anchors alone
+    return F.when(plain == "", F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(codes)))
 
 
 def fingerprint(codes: Column) -> Column:

@@ -149,7 +149,7 @@ def test_more_fingerprints_catch_near_copies(spark):
 
 
 def test_fingerprints_of_edits(spark):
-    texts = ["The cat of the house sat on a mat and the dog slept.", "the cat of the house sat on a mat and the dog slept", None, "", "12 34", "12 34", "x", "The cat of the house sat on a mat and the dog slept.", "Ünï çödé der Hund und die Katze " * 300]
+    texts = ["The cat of the house sat on a mat and the dog slept.", "the cat of the house sat on a mat and the dog slept", None, "", "12 34", "12 34", "x", "The cat of the house sat on a mat and the dog slept.", "Ünï çödé der Hund und die Katze " * 300, "the " * 100_000, "of"]
     df = spark.createDataFrame([(10 * i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, next_text string").repartition(3)
     rows = {r["doc_id"] // 10: r for r in spotsigs.compare_with_edits(df).collect()}
     plain = [t or "" for t in texts]
