@@ -23,6 +23,8 @@ OTHER = 0.001
 #: Hosts up to this number are broadcast; more are joined by shuffle, salted.
 FEW_HOSTS = 100_000
 SALTS = 16
+#: Parts that each language's rows are split into when the sample is drawn.
+PARTS = 64
 BLOCK = 1 << 21
 
 
@@ -60,8 +62,9 @@ def fit_text_model(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES,
     ``labelled(text, label)``: the ``sample`` rows per language with the smallest text hashes are counted; what reaches the
     driver is one count per trigram code and language. A language without labels is uniform as well.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"))
-    chosen = labelled.filter(F.col("label").isin(*languages) & F.col("text").isNotNull()).withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= sample)
+    chosen = labelled.filter(F.col("label").isin(*languages) & F.col("text").isNotNull()).withColumn("_hash", F.xxhash64("text")).withColumn("_salt", F.pmod("_hash", F.lit(PARTS)))
+    for keys in (["label", "_salt"], ["label"]):  # the first of each part, then of those: no task orders a whole language
+        chosen = chosen.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))).filter(F.col("_turn") <= sample)
 
     def count(batches):
         for rows in batches:
