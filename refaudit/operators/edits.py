@@ -17,8 +17,11 @@ from .shaping import with_computed
 
 
 def suggest_patches(audited: DataFrame) -> DataFrame:
-    """Patches of the audit, one group per citation."""
-    return audited.where(F.col("patch").isNotNull()).select("doc_id", "paragraph_id", "patch.*", F.col("citation_id").alias("group_id"))
+    """Patches of the audit, one group per citation; a manual match may bring two (year and author)."""
+    patch = "struct<start:int,end:int,original:string,replacement:string>"
+    one = F.when(F.col("patch").isNotNull(), F.array(F.col("patch").cast(patch)))
+    both = F.coalesce(F.col("manual_patches").cast(f"array<{patch}>"), one) if "manual_patches" in audited.columns else one
+    return audited.select("doc_id", "paragraph_id", F.col("citation_id").alias("group_id"), F.inline(both)).select("doc_id", "paragraph_id", "start", "end", "original", "replacement", "group_id")
 
 
 def entry_patches(refs: DataFrame, paragraphs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -60,9 +63,17 @@ def _fold_patches(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
     return with_computed(joined, accepted=accepted).drop("_fits")
 
 
+def _whole_groups(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches of the groups that can be applied whole; one stale, protected or overlapping member refuses its group."""
+    taken = _fold_patches(paragraphs, patches).select("doc_id", F.explode("accepted.group_id").alias("group_id")).groupBy("doc_id", "group_id").agg(F.count("*").alias("taken"))
+    asked = patches.groupBy("doc_id", "group_id").agg(F.count("*").alias("asked"))
+    whole = asked.join(taken, ["doc_id", "group_id"]).where("asked = taken").select("doc_id", "group_id")
+    return patches.join(whole, ["doc_id", "group_id"], "left_semi")
+
+
 def apply_patches(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Paragraph texts with the valid, non-overlapping patches applied from right to left."""
-    folded = _fold_patches(paragraphs, patches)
+    """Paragraph texts with the patches applied from right to left, group by group or not at all."""
+    folded = _fold_patches(paragraphs, _whole_groups(paragraphs, patches))
     text = F.aggregate(F.reverse("accepted"), F.col("text"), lambda t, x: F.concat(
         F.substring(t, F.lit(1), x["start"]), x["replacement"], F.substring(t, x["end"] + 1, F.length(t))))
     out = with_computed(folded, _new=F.coalesce(text, F.col("text")))
@@ -70,10 +81,9 @@ def apply_patches(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def rejected_patches(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches whose original text is not there, whose paragraph is protected, or that overlap."""
-    folded = _fold_patches(paragraphs, patches).select("doc_id", "paragraph_id", F.explode("accepted").alias("a"))
-    done = folded.select("doc_id", "paragraph_id", F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.group_id").alias("group_id"))
-    return patches.join(done, ["doc_id", "paragraph_id", "start", "end", "group_id"], "left_anti")
+    """Patches of refused groups: a member's original text is not there, its paragraph is protected, or it overlaps another patch."""
+    done = _whole_groups(paragraphs, patches).select("doc_id", "group_id").distinct()
+    return patches.join(done, ["doc_id", "group_id"], "left_anti")
 
 
 def undo(patches: DataFrame, groups: DataFrame) -> DataFrame:

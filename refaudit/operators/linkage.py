@@ -17,9 +17,7 @@ from refaudit.functions.text import normalize_simple, normalize_title
 from .shaping import with_computed
 
 FLOOR_NUM, FLOOR_DEN = 9, 20          # reported matches share at least .45 of the longer title
-FREQUENT_LIMIT = 20_000               # size bound of the broadcast token table
-FREQUENT_MIN_DF = 100                 # rarer tokens need no ordering and no salt
-HOT_TOKEN_ROWS = 50_000               # rows of one token per join cell before the grid grows
+HOT_TOKEN_ROWS = 50_000               # rows of one signature per join cell before the grid grows
 HOT_TITLE_WORKS = 256                 # works of one title before they are indexed by author/year/DOI
 
 SCORING = ("work_id", "provider", "provider_rank", "row_rank", "title_norm", "author_norms", "year", "doi", "requires_review")
@@ -117,63 +115,70 @@ def _question_columns(qs: DataFrame) -> DataFrame:
                      F.col("year").alias("q_year"), F.col("doi").alias("q_doi"))
 
 
-def frequent_tokens(*titles: DataFrame, limit: int = FREQUENT_LIMIT, min_df: int = FREQUENT_MIN_DF) -> DataFrame:
-    """The most frequent title words with their document frequency; at most ``limit`` rows."""
+def word_counts(*titles: DataFrame) -> DataFrame:
+    """Document frequency of every title word."""
     both = reduce(DataFrame.union, [t.select("title_norm") for t in titles])
-    return (both.select(F.explode(F.array_distinct(F.split("title_norm", " "))).alias("token"))
-            .groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-            .orderBy(F.desc("df"), "token").limit(limit))
+    return both.select(F.explode(F.array_distinct(F.split("title_norm", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def _ordered(titles: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Distinct titles with their words from rare to frequent (ties by spelling) and the prefix."""
+def _ordered(titles: DataFrame, counts: DataFrame) -> DataFrame:
+    """Distinct titles with their words from rare to frequent (ties by spelling) and the prefix that signatures come from.
+
+    A title of n words shares at least t = max(2, ceil(.45 n)) words with any partner of three words or more, so the two
+    rarest shared words are among its first n - t + 2.
+    """
     words = titles.select("title_norm", F.explode(F.array_distinct(F.split("title_norm", " "))).alias("token"))
-    # ``frequent`` is bounded by its LIMIT, so the broadcast cannot grow with the data.
-    ranked = words.join(F.broadcast(frequent), "token", "left")
-    grouped = ranked.groupBy("title_norm").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("t"))
+    grouped = words.join(counts, "token").groupBy("title_norm").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     n = F.size("t")
-    prefix = n - F.floor((n * FLOOR_NUM + FLOOR_DEN - 1) / FLOOR_DEN).cast("int") + 1
-    return grouped.select("title_norm", F.col("t.token").alias("tokens"), F.slice(F.col("t"), F.lit(1), prefix).alias("prefix"))
+    share = F.greatest(F.lit(2), F.floor((n * FLOOR_NUM + FLOOR_DEN - 1) / FLOOR_DEN)).cast("int")
+    return grouped.select("title_norm", F.col("t.token").alias("tokens"), F.slice(F.col("t"), F.lit(1), F.least(n, n - share + 2)).alias("prefix"))
 
 
 def _signatures(ordered: DataFrame, side: str) -> DataFrame:
-    """One row per prefix word and grid cell.
+    """One row per signature and grid cell: two prefix words, or one where the title has at most two.
 
-    A word frequent on both sides is spread over a cells x cells grid: each side fixes one
-    coordinate by hash and is repeated along the other, so no task sees the whole word.
+    A signature whose rarer word is frequent on both sides is spread over a cells x cells grid: each side fixes
+    one coordinate by hash and is repeated along the other, so no task sees the whole signature.
     """
+    p, n = F.col("prefix"), F.size("prefix")
+    first = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    two = F.flatten(F.transform(first, lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.struct(
+        F.get(p, i - 1)["df"].alias("df"), F.get(p, i - 1)["token"].alias("w1"), F.get(p, j - 1)["token"].alias("w2")))))
+    one = F.when(F.size("tokens") <= 2, F.transform(p, lambda x: F.struct(x["df"].alias("df"), x["token"].alias("w1"), F.lit("").alias("w2")))).otherwise(F.slice(two, 1, 0))
     rows = ordered.select(F.col("title_norm").alias(f"{side}_title"), F.col("tokens").alias(f"{side}_tokens"),
-                          F.col("prefix.token").alias(f"{side}_prefix"), F.explode("prefix").alias("p"))
-    rows = rows.withColumn("cells", F.ceil(F.greatest(F.col("p.df"), F.lit(1)) / HOT_TOKEN_ROWS).cast("int"))
+                          F.col("prefix.token").alias(f"{side}_prefix"), F.explode(F.concat(two, one)).alias("p"))
+    rows = rows.withColumn("cells", F.ceil(F.col("p.df") / HOT_TOKEN_ROWS).cast("int"))
     own = F.pmod(F.xxhash64(f"{side}_title"), F.col("cells")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     row, col = ("own", "other") if side == "a" else ("other", "own")
-    return rows.select(F.col("p.token").alias("token"), F.col(row).alias("cell_row"), F.col(col).alias("cell_col"),
-                       f"{side}_title", f"{side}_tokens", f"{side}_prefix")
+    return rows.select("p.w1", "p.w2", F.col(row).alias("cell_row"), F.col(col).alias("cell_col"), f"{side}_title", f"{side}_tokens", f"{side}_prefix")
+
+
+def title_candidates(entry_titles: DataFrame, work_titles: DataFrame) -> DataFrame:
+    """Pairs that share a signature and are close enough in length, each once."""
+    counts = word_counts(entry_titles, work_titles)
+    a = _signatures(_ordered(entry_titles, counts), "a")
+    b = _signatures(_ordered(work_titles, counts), "b")
+    na, nb = F.size("a_tokens"), F.size("b_tokens")
+    longer, shorter = F.greatest(na, nb), F.least(na, nb)
+    shared = F.array_intersect("a_prefix", "b_prefix")
+    # Two shared words where one of the titles has three or more, one otherwise; a pair is kept at its first ones only.
+    first = F.when(longer > 2, (F.get(shared, F.lit(0)) == F.col("w1")) & (F.get(shared, F.lit(1)) == F.col("w2"))).otherwise((F.col("w2") == "") & (F.get(shared, F.lit(0)) == F.col("w1")))
+    return a.join(b, ["w1", "w2", "cell_row", "cell_col"]).where((shorter * FLOOR_DEN >= longer * FLOOR_NUM) & first).select("a_title", "a_tokens", "b_title", "b_tokens", longer.alias("longer"))
 
 
 def title_pairs(entry_titles: DataFrame, work_titles: DataFrame) -> DataFrame:
     """All (entry title, work title) pairs that reach the floor, with ``title_match``.
 
-    Exact set-similarity join with a prefix filter: a match at .45 shares at least
-    ceil(.45 n) words with a title of n words, so two matching titles share a word among
-    their first n - ceil(.45 n) + 1 words in any common order; the rare-first order keeps the
-    candidates few. A pair is kept only at its first common prefix word, so no
-    de-duplication is needed. Pairs that score 1 because the work's title opens the entry's
-    come from :func:`title_prefix_pairs`.
+    Exact set-similarity join with a prefix filter: a match at .45 shares at least ceil(.45 n) words with a title of n words,
+    two or more once either title has three. So the two rarest shared words lie in both prefixes, and titles meet on pairs
+    of words, which few titles share however many use each word. A pair is kept only at its first signature, so no
+    de-duplication is needed. Pairs that score 1 because the work's title opens the entry's come from :func:`title_prefix_pairs`.
     """
-    frequent = frequent_tokens(entry_titles, work_titles)
-    a = _signatures(_ordered(entry_titles, frequent), "a")
-    b = _signatures(_ordered(work_titles, frequent), "b")
-    na, nb = F.size("a_tokens"), F.size("b_tokens")
-    longer, shorter = F.greatest(na, nb), F.least(na, nb)
-    candidates = a.join(b, ["token", "cell_row", "cell_col"]).where(
-        (shorter * FLOOR_DEN >= longer * FLOOR_NUM)
-        & (F.array_intersect("a_prefix", "b_prefix")[0] == F.col("token")))
+    candidates = title_candidates(entry_titles, work_titles)
     hits = candidates.select(
         F.col("a_title").alias("q_title_norm"), F.col("b_title").alias("title_norm"),
-        F.size(F.array_intersect("a_tokens", "b_tokens")).alias("overlap"), longer.alias("longer"))
+        F.size(F.array_intersect("a_tokens", "b_tokens")).alias("overlap"), "longer")
     hits = hits.where(F.col("overlap") * FLOOR_DEN >= F.col("longer") * FLOOR_NUM)
     opens = (F.size(F.split("title_norm", " ")) >= 4) & F.col("q_title_norm").startswith(F.concat("title_norm", F.lit(" ")))
     jaccard_like = hits.select("q_title_norm", "title_norm",

@@ -1,12 +1,6 @@
 """Bibliography text, manuscripts and full texts."""
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,95 +33,6 @@ def split_references(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select("doc_id", F.posexplode(entries).alias("pos", "raw"))
 
 
-# --- Word packages -----------------------------------------------------------------------
-
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-PARAGRAPHS = ("path string, paragraph_id string, part string, idx int, text string, protected boolean, paragraph_locked boolean, grp string, style string, error string")
-MAX_FILE, MAX_PARTS, MAX_UNPACKED, MAX_PARAGRAPHS, MAX_TEXT = 20 << 20, 2500, 80 << 20, 25_000, 2_000_000
-_LOCKS = {"bookmarkStart", "bookmarkEnd", "commentRangeStart", "commentRangeEnd", "footnoteReference", "endnoteReference", "hyperlink"}
-_MARKUP = {"fldSimple", "instrText", "del", "ins", "sdt", "drawing", "object"}
-
-
-def _check_package(z: zipfile.ZipFile) -> None:
-    infos = z.infolist()
-    names = [i.filename for i in infos]
-    bad = (len(infos) > MAX_PARTS or sum(i.file_size for i in infos) > MAX_UNPACKED or len(set(names)) < len(names)
-           or any(".." in n.split("/") or n.startswith("/") or "\\" in n for n in names) or any(i.flag_bits & 1 for i in infos)
-           or any("vbaProject" in n for n in names) or "word/document.xml" not in names)
-    if bad:
-        raise ValueError("not an acceptable Word package")
-
-
-def _package_paragraphs(data: bytes) -> list[tuple]:
-    if len(data) > MAX_FILE:
-        raise ValueError("file larger than 20 MB")
-    z = zipfile.ZipFile(io.BytesIO(data))
-    _check_package(z)
-    rows: list[tuple] = []
-    total = 0
-    for part in ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml"):
-        if part not in z.namelist():
-            continue
-        xml = z.read(part)
-        if b"<!DOCTYPE" in xml.upper() or b"<!ENTITY" in xml.upper():
-            raise ValueError("external entities are not supported")
-        depth = 0
-
-        # One walk carries what the ancestors decide: the cell or note, and protection.
-        def walk(node, order, group, shielded, out):
-            order[0] += 1
-            tag = node.tag.removeprefix(_W)
-            if tag in ("tc", "footnote", "endnote"):
-                # The innermost container names the group.
-                group = f"{part}:{order[0] - 1}"
-            shielded = shielded or tag in ("sdt", "ins", "del")
-            if tag == "p":
-                out.append((node, group, shielded))
-            for child in node:
-                walk(child, order, group, shielded, out)
-        found: list[tuple] = []
-        walk(ElementTree.fromstring(xml), [0], part, False, found)
-        for idx, (p, group, shielded) in enumerate(found):
-            inside = depth > 0
-            tags, text = set(), []
-            for n in p.iter():
-                tag = n.tag.removeprefix(_W)
-                tags.add(tag)
-                if tag == "fldChar":
-                    inside = True
-                    kind = n.get(_W + "fldCharType")
-                    depth = depth + 1 if kind == "begin" else max(0, depth - 1) if kind == "end" else depth
-                text.append((n.text or "") if tag == "t" else "\t" if tag == "tab" else "\n" if tag in ("br", "cr") else "")
-            joined = "".join(text)
-            total += len(joined)
-            if len(rows) >= MAX_PARAGRAPHS or total > MAX_TEXT:
-                raise ValueError("document exceeds the text or paragraph limit")
-            style = p.find(f"./{_W}pPr/{_W}pStyle")
-            rows.append((f"{part}:{idx}", part, idx, joined, inside or shielded or bool(tags & _MARKUP), bool(tags & _LOCKS), group,
-                         style.get(_W + "val", "") if style is not None else ""))
-    return rows
-
-
-def _read_packages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split(" ")[0] for c in PARAGRAPHS.split(", ")]
-    for batch in batches:
-        for path, data in zip(batch["path"], batch["content"]):
-            try:
-                rows = [(path, *r, None) for r in _package_paragraphs(bytes(data))]
-            except (ValueError, zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
-                rows = [(path, None, None, None, None, None, None, None, None, str(e))]
-            yield pd.DataFrame(rows, columns=names).astype({"idx": "Int32", "protected": "boolean", "paragraph_locked": "boolean"})
-
-
-def read_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs of body, footnotes and endnotes of every Word file under ``path``.
-
-    Files over 20 MB are filtered before they are read; a refused file gives one row with ``error``.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).where(F.col("length") <= MAX_FILE)
-    return files.select("path", "content").mapInPandas(_read_packages, PARAGRAPHS)
-
-
 # --- positioned lines --------------------------------------------------------------------
 
 _REF_HEADING = f"(?i)^(?:[0-9]+[.)]?[{WS}]*)?(kaynak[çÇ]a|kaynaklar|references|bibliography|works cited)[{WS}]*[:.]?$"
@@ -205,6 +110,7 @@ def lines_to_paragraphs(lines: DataFrame) -> DataFrame:
     closes = t.rlike(_END_HEADING) & (F.length("text") < 60)
     rows = rows.withColumn("mark", F.when(opens, 1).when(closes, 0))
     rows = rows.withColumn("in_refs", F.coalesce(F.last("mark", ignorenulls=True).over(upto), F.lit(0)) == 1).withColumn("section", F.sum(F.when(opens, 1).otherwise(0)).over(upto))
+    rows = rows.withColumn("was_in_refs", F.coalesce(F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1)
     entry = F.col("in_refs") & ~opens & (t != "")
     sect = Window.partitionBy("doc_id", "section")
     rows = rows.withColumn("ref_base", F.first(F.when(entry, F.col("indent")), ignorenulls=True).over(sect.orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -224,7 +130,7 @@ def lines_to_paragraphs(lines: DataFrame) -> DataFrame:
     linked = prev.rlike("(?:,|&|(?<![\\p{L}\\p{N}_])and|(?<![\\p{L}\\p{N}_])ve)$") & ~F.regexp_replace(prev, ",+$", "").rlike(_URLISH)
     plain_entry = _starts_entry(t) & (short | t.rlike("^(?:\\[[0-9]|[0-9]+\\.)") | dated) & ~linked
     ref_break = F.when(F.col("hanging"), F.col("indent") <= F.col("ref_base") + 1).otherwise(plain_entry | (F.col("prev_empty") & dated))
-    heading = opens | closes
+    heading = opens | (closes & F.col("was_in_refs"))  # an appendix title ends the bibliography and is a plain line elsewhere
     text_rows = rows.withColumn("heading", heading).where(t != "")
     text_rows = text_rows.withColumn("brk", F.when(F.col("heading") | F.coalesce(F.lag(F.col("heading").cast("int")).over(w) == 1, F.lit(False)) | (prev == ""), 1)
                                      .when(F.col("in_refs"), ref_break.cast("int")).otherwise(body_break.cast("int")))

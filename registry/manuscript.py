@@ -165,12 +165,13 @@ def count_entries(spark, sf):
 
 
 def _patches(spark, sf) -> DataFrame:
-    """Year of each 'p. 12' citation to 2000, plus a stale and an overlapping patch."""
+    """Two patches of each 'p. 12' citation, a group of its own (one of them stale in every third), and an overlapping patch."""
     c = view(spark, sf, "cited").where(F.col("form") == 4)
     s = F.col("author_start") + F.length("author_text") + 2
-    base = c.select("doc_id", "paragraph_id", s.cast("int").alias("start"), (s + 4).cast("int").alias("end"), F.col("cited_year").cast("string").alias("original"), F.lit("MMXX!").alias("replacement"), F.lit("g1").alias("group_id"))
-    early = c.select("doc_id", "paragraph_id", F.lit(0).alias("start"), F.lit(2).alias("end"), F.when(F.col("k") % 3 == 0, "XX").otherwise("As").alias("original"), F.lit("Like").alias("replacement"), F.lit("g0").alias("group_id"))
-    over = c.where(F.col("k") % 5 == 0).select("doc_id", "paragraph_id", (s + 2).cast("int").alias("start"), (s + 4).cast("int").alias("end"), F.substring(F.col("cited_year").cast("string"), 3, 2).alias("original"), F.lit("zz").alias("replacement"), F.lit("g2").alias("group_id"))
+    group = lambda g: F.concat(F.lit(g + ":"), F.col("paragraph_id")).alias("group_id")
+    base = c.select("doc_id", "paragraph_id", s.cast("int").alias("start"), (s + 4).cast("int").alias("end"), F.col("cited_year").cast("string").alias("original"), F.lit("MMXX!").alias("replacement"), group("g1"))
+    early = c.select("doc_id", "paragraph_id", F.lit(0).alias("start"), F.lit(2).alias("end"), F.when(F.col("k") % 3 == 0, "XX").otherwise("As").alias("original"), F.lit("Like").alias("replacement"), group("g1"))
+    over = c.where(F.col("k") % 5 == 0).select("doc_id", "paragraph_id", (s + 2).cast("int").alias("start"), (s + 4).cast("int").alias("end"), F.substring(F.col("cited_year").cast("string"), 3, 2).alias("original"), F.lit("zz").alias("replacement"), group("g2"))
     return base.unionByName(early).unionByName(over)
 
 
@@ -178,8 +179,7 @@ _PATCH = """, pat AS (SELECT c.doc_id, c.paragraph_id, c.k, c.protected, c.s, m.
 
 
 def apply_patches(spark, sf):
-    out = E.apply_patches(_paragraphs(spark, sf), _patches(spark, sf))
-    return out.where(F.col("text").startswith("Like") | F.col("text").contains("MMXX!")).select("doc_id", "paragraph_id", "text")
+    return E.apply_patches(_paragraphs(spark, sf), _patches(spark, sf)).select("doc_id", "paragraph_id", "text")
 
 
 def rejected_patches(spark, sf):
@@ -187,7 +187,7 @@ def rejected_patches(spark, sf):
 
 
 def running_offsets(spark, sf):
-    return E.running_offsets(_patches(spark, sf)).groupBy("group_id", "offset").agg(F.count("*").alias("n"))
+    return E.running_offsets(_patches(spark, sf)).groupBy(F.substring("group_id", 1, 2).alias("group_id"), "offset").agg(F.count("*").alias("n"))
 
 
 def overlapping_patches(spark, sf):
@@ -196,7 +196,7 @@ def overlapping_patches(spark, sf):
 
 def undo(spark, sf):
     p = _patches(spark, sf)
-    return E.undo(p, p.where("group_id = 'g2'")).groupBy("group_id").agg(F.count("*").alias("n"))
+    return E.undo(p, p.where("group_id like 'g2:%'")).groupBy(F.substring("group_id", 1, 2).alias("group_id")).agg(F.count("*").alias("n"))
 
 
 def suggest_patches(spark, sf):
@@ -214,6 +214,13 @@ def apply_manual_matches(spark, sf):
     return out.where(F.col("manual_patches").isNotNull()).select("doc_id", "paragraph_id", "start", "reference", F.size("manual_patches").alias("n_patches"))
 
 
+def manual_patches(spark, sf):
+    """Both patches (year and author) of citations mapped by hand."""
+    a = _audit(spark, sf)
+    out = E.apply_manual_matches(a.citations, _matches(a), a.references, _paragraphs(spark, sf))
+    return E.suggest_patches(out.where(F.col("manual_patches").isNotNull())).select("doc_id", "paragraph_id", "start", "original", "replacement")
+
+
 def propagate_match(spark, sf):
     """One decision per unknown author and year reaches all its citations."""
     a = _audit(spark, sf)
@@ -232,7 +239,7 @@ def carry_matches(spark, sf):
 def refresh_result_links(spark, sf):
     """After inserting two characters at each form-4 paragraph start, citations are found again."""
     a = _audit(spark, sf)
-    p = _patches(spark, sf).where("group_id = 'g0' and original = 'As'")
+    p = _patches(spark, sf).where("original = 'As'")
     moved = a.citations.join(p.select("doc_id", "paragraph_id").distinct().withColumn("m", F.lit(2)), ["doc_id", "paragraph_id"], "left")
     eff = moved.withColumn("start", F.col("start") + F.coalesce("m", F.lit(0))).withColumn("citation_id", F.concat(F.lit("e"), F.col("paragraph_id"), F.lit(":"), F.col("start"))).drop("m")
     return E.refresh_result_links(a.citations, eff, p).select("doc_id", "paragraph_id", "start", "effective_id")
@@ -266,7 +273,7 @@ def reanalyze(spark, sf):
     """Edited years are no longer citations of the original year; anchors stay."""
     p = _paragraphs(spark, sf)
     refs = stage_table(C.extract_references(p), "refs")
-    patches = _patches(spark, sf).where("group_id = 'g0' and original = 'As'")
+    patches = _patches(spark, sf).where("original = 'As'")
     none = spark.createDataFrame([], "doc_id bigint, citation_id string, ref_id string")
     a = A.reanalyze(p, refs, patches, none)
     return a.citations.select("doc_id", "paragraph_id", "start", "reference", _code(F.col("kind")).alias("kind"))
@@ -293,7 +300,7 @@ def search_rows(spark, sf):
 QUERIES = {f.__name__: f for f in (
     is_heading, bibliography_range, extract_references, extract_citations, narrative_authors, is_citation_segment, citation_context, citation_ordinal,
     resolve_citations, fuzzy_author, check_author_group, analyze, orphan_references, orphan_citations, duplicate_references, findings, findings_summary,
-    count_entries, apply_patches, rejected_patches, running_offsets, overlapping_patches, undo, suggest_patches, apply_manual_matches, propagate_match,
+    count_entries, apply_patches, rejected_patches, running_offsets, overlapping_patches, undo, suggest_patches, apply_manual_matches, manual_patches, propagate_match,
     carry_matches, refresh_result_links, override_context, merge_entries, split_entry, editable_paragraphs, reanalyze, scoped_citations, reusable_results, search_rows)}
 
 # Heading paragraphs are form 3 and hold no citation, so they matter for context only.
@@ -329,15 +336,17 @@ ORACLES = {
     "findings_summary": _sql(f"""SELECT doc_id, finding_group, sum(n) AS n FROM (SELECT doc_id, {_GROUP} AS finding_group, count(*) AS n FROM res WHERE kind IS NOT NULL OR protected GROUP BY 1, 2
         UNION ALL SELECT b.doc_id, 'orphan-references', count(*) FROM bib b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = b.doc_id AND u.reference = 'r' || b.pos) GROUP BY 1) GROUP BY 1, 2""").replace(" SELECT doc_id, finding_group, sum(n)", _USED + " SELECT doc_id, finding_group, sum(n)", 1),
     "count_entries": _sql("SELECT doc_id, count(*) AS n FROM bib GROUP BY 1"),
-    "apply_patches": (_sql("").rstrip() + _PATCH + """ SELECT doc_id, paragraph_id, CASE WHEN k % 3 <> 0 THEN 'Like' || substr(t, 3) ELSE t END AS text FROM (SELECT *, substr(text, 1, s) || 'MMXX!' || substr(text, s + 5) AS t FROM pat WHERE NOT protected)"""),
-    "rejected_patches": (_sql("").rstrip() + _PATCH + """ SELECT doc_id, group_id, count(*) AS n FROM (SELECT doc_id, 'g0' AS group_id FROM pat WHERE protected OR k % 3 = 0 UNION ALL SELECT doc_id, 'g1' FROM pat WHERE protected
-        UNION ALL SELECT doc_id, 'g2' FROM pat WHERE k % 5 = 0) GROUP BY 1, 2"""),
-    "running_offsets": (_sql("").rstrip() + _PATCH + """ SELECT group_id, cast(o AS int) AS "offset", count(*) AS n FROM (SELECT 'g0' AS group_id, 0 AS o FROM pat UNION ALL SELECT 'g1', 2 FROM pat UNION ALL SELECT 'g2', 3 FROM pat WHERE k % 5 = 0) GROUP BY 1, 2"""),
-    "overlapping_patches": (_sql("").rstrip() + _PATCH + """ SELECT doc_id, paragraph_id, 'g2' AS group_id, s + 2 AS start FROM pat WHERE k % 5 = 0"""),
-    "undo": (_sql("").rstrip() + _PATCH + """ SELECT group_id, count(*) AS n FROM (SELECT 'g0' AS group_id FROM pat UNION ALL SELECT 'g1' FROM pat) GROUP BY 1"""),
+    "apply_patches": (_sql("").rstrip() + _PATCH + """ SELECT q.doc_id, q.paragraph_id, CASE WHEN p.k % 3 <> 0 AND NOT p.protected THEN 'Like' || substr(substr(p.text, 1, p.s) || 'MMXX!' || substr(p.text, p.s + 5), 3) ELSE q.text END AS text
+        FROM paragraphs q LEFT JOIN pat p ON p.doc_id = q.doc_id AND p.paragraph_id = q.paragraph_id"""),
+    "rejected_patches": (_sql("").rstrip() + _PATCH + """ SELECT doc_id, 'g1:' || paragraph_id AS group_id, 2 AS n FROM pat WHERE protected OR k % 3 = 0 UNION ALL SELECT doc_id, 'g2:' || paragraph_id, 1 FROM pat WHERE k % 5 = 0"""),
+    "running_offsets": (_sql("").rstrip() + _PATCH + """ SELECT group_id, cast(o AS int) AS "offset", count(*) AS n FROM (SELECT 'g1' AS group_id, 0 AS o FROM pat UNION ALL SELECT 'g1', 2 FROM pat UNION ALL SELECT 'g2', 3 FROM pat WHERE k % 5 = 0) GROUP BY 1, 2"""),
+    "overlapping_patches": (_sql("").rstrip() + _PATCH + """ SELECT doc_id, paragraph_id, 'g2:' || paragraph_id AS group_id, s + 2 AS start FROM pat WHERE k % 5 = 0"""),
+    "undo": (_sql("").rstrip() + _PATCH + """ SELECT group_id, count(*) AS n FROM (SELECT 'g1' AS group_id FROM pat UNION ALL SELECT 'g1' FROM pat) GROUP BY 1"""),
     "suggest_patches": _sql("SELECT res.doc_id, paragraph_id, author_start AS start, author_text AS original, k.family AS replacement FROM res JOIN keys k ON k.doc_id = res.doc_id AND 'r' || k.pos = candidate WHERE NOT protected"),
     "apply_manual_matches": _sql("""SELECT r.doc_id, r.paragraph_id, r.s AS start, 'r0' AS reference, CASE WHEN protected THEN 0 ELSE 1 + CASE WHEN k.y <> r.y THEN 1 ELSE 0 END END AS n_patches
         FROM res r JOIN keys k ON k.doc_id = r.doc_id AND k.pos = 0 WHERE r.kind = 'orphan' AND r.author_text LIKE 'Missing%'"""),
+    "manual_patches": _sql("""SELECT r.doc_id, r.paragraph_id, r.s AS start, r.y AS original, k.y AS replacement FROM res r JOIN keys k ON k.doc_id = r.doc_id AND k.pos = 0 WHERE r.kind = 'orphan' AND r.author_text LIKE 'Missing%' AND NOT protected AND k.y <> r.y
+        UNION ALL SELECT r.doc_id, r.paragraph_id, r.author_start, r.author_text, k.family FROM res r JOIN keys k ON k.doc_id = r.doc_id AND k.pos = 0 WHERE r.kind = 'orphan' AND r.author_text LIKE 'Missing%' AND NOT protected"""),
     "propagate_match": _sql("SELECT doc_id, count(*) AS n FROM res WHERE kind = 'orphan' AND NOT protected GROUP BY 1"),
     "carry_matches": _sql("SELECT doc_id, 'c' || paragraph_id || ':' || (s + 7) AS citation_id, 'r0' AS ref_id FROM res WHERE kind = 'orphan' AND author_text LIKE 'Missing%'"),
     "refresh_result_links": _sql("SELECT doc_id, paragraph_id, s AS start, 'e' || paragraph_id || ':' || (s + CASE WHEN form = 4 AND k % 3 <> 0 THEN 2 ELSE 0 END) AS effective_id FROM cit"),

@@ -55,11 +55,8 @@ def _random_titles(rng, n):
 
 
 def test_title_pairs_are_exact(spark, monkeypatch):
-    """Small thresholds force the frequent-word order and the salted grid."""
+    """A small threshold forces the salted grid; short and long titles, one and two shared words."""
     monkeypatch.setattr(K, "HOT_TOKEN_ROWS", 5)
-    monkeypatch.setattr(K, "FREQUENT_MIN_DF", 3)
-    monkeypatch.setattr(K.frequent_tokens, "__defaults__", None, raising=False)
-    monkeypatch.setattr(K.frequent_tokens, "__kwdefaults__", {"limit": 4, "min_df": 3})
     rng = random.Random(7)
     a, b = sorted(set(_random_titles(rng, 120))), sorted(set(_random_titles(rng, 120)))
     df = lambda xs: spark.createDataFrame([(x,) for x in xs], "title_norm string")
