@@ -4,6 +4,7 @@ requests(request_id, ts, provider, url, status, retry_after)
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +58,37 @@ def retry_due(results: DataFrame, cooldowns: DataFrame, now: Column) -> DataFram
     return at.where(F.col("retry_at") <= now).orderBy("retry_count", "pos")
 
 
+def _fetches(ttl_us: int):
+    def run(batches):
+        """Rows come sorted by run and time; only the run's last kept success is remembered."""
+        run_key, until = None, None
+        for rows in batches:
+            at = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            keep = []
+            for key, t, status in zip(rows["_runs"], at.tolist(), rows["status"].tolist(), strict=True):
+                if key != run_key:
+                    run_key, until = key, None
+                keep.append(until is None or t >= until)
+                if keep[-1] and 200 <= status <= 299:
+                    until = t + ttl_us
+            yield rows[keep].drop(columns="_runs")
+    return run
+
+
 def dedupe_requests(requests: DataFrame, ttl: str = "5 minutes") -> DataFrame:
-    """Requests that reach the network: no equal request in the ``ttl`` before them.
+    """Requests that reach the network: those not served from the cache.
 
-    Every repeat within the interval counts as served from the cache, so a run of requests with
-    smaller gaps is one fetch.
+    A success is kept for ``ttl`` from its own fetch, however often it is asked for meanwhile; failures are not kept. Rows are
+    cut into runs at gaps of ``ttl`` or more, where nothing can be cached any more, so a busy URL is spread over its runs;
+    within a run one pass remembers a single time stamp.
     """
-    rows = look_back(requests, ["provider", "url"], ["ts", "request_id"], F.col("ts"), "_prev")
-    return rows.where(F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev") + F.expr(f"interval {ttl}"))).drop("_prev")
+    keys, order = ["provider", "url"], ["ts", "request_id"]
+    rows = look_back(requests, keys, order, F.col("ts"), "_prev")
+    opens = F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev") + F.expr(f"interval {ttl}"))
+    rows = look_back(rows.withColumn("_open", F.when(opens, F.col("request_id"))), keys, order, F.col("_open"), "_run", strict=False)
+    rows = rows.withColumn("_runs", F.concat_ws("\x01", *keys, F.col("_run").cast("string"))).select(*requests.columns, "_runs")
+    sorted_rows = rows.repartition("_runs").sortWithinPartitions("_runs", *order)
+    return sorted_rows.mapInPandas(_fetches(int(pd.Timedelta(ttl) / pd.Timedelta("1us"))), requests.schema)
 
 
 def spacing_violations(requests: DataFrame, intervals: dict[str, int] | None = None, default: int = DEFAULT_INTERVAL) -> DataFrame:

@@ -163,14 +163,14 @@ def acquire_text(spark, sf):
     """Two sources per document; the empty and the later one lose."""
     d = table(spark, sf, "documents")
     one = lambda src, t: d.select(F.col("doc_id").alias("ref_id"), F.lit(src).alias("source"), F.lit(0).alias("pos"), F.array(F.struct(F.lit("x").alias("location"), t.alias("text"))).alias("passages"))
-    texts = one("abstract", F.substring("text", 1, 200)).unionByName(one("unpaywall", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.lit(" ")))).unionByName(
+    texts = one("abstract", F.col("text")).unionByName(one("unpaywall", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.lit(" ")))).unionByName(
         one("europe_pmc", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.lit(""))))
     return E.acquire_text(texts).select("ref_id", "source", "abstract_only")
 
 
 def oa_locations(spark, sf):
     """Locations of a part: its suppliers' shelves, repeated and in line order."""
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 3")
+    li = table(spark, sf, "lineitem")
     urls = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))), lambda x: F.concat(F.lit("https://s"), x["l_suppkey"] % 20))
     return E.oa_locations(li.groupBy(F.col("l_partkey").alias("ref_id")).agg(urls.alias("urls")))
 
@@ -267,7 +267,7 @@ ORACLES = {
     "verdict_summary": _sql("SELECT CASE WHEN doc_id % 10 = 9 THEN 'pending' ELSE verdict END AS verdict, count(*) AS n FROM ans GROUP BY 1", _OK, _ASSESS),
     "blocker_distribution": _sql("SELECT coalesce(gate, 'quotes') AS cause, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM ans WHERE verdict = 'unassessable' GROUP BY 1", _OK, _ASSESS),
     "acquire_text": "SELECT ref_id, source, source = 'abstract' AS abstract_only FROM (SELECT doc_id AS ref_id, CASE WHEN regexp_replace(text, '\\s+', '', 'g') = '' THEN NULL WHEN doc_id % 5 = 0 THEN 'europe_pmc' WHEN doc_id % 3 = 0 THEN 'unpaywall' ELSE 'abstract' END AS source FROM documents) WHERE source IS NOT NULL",
-    "oa_locations": "SELECT ref_id, url, rank FROM (SELECT l_partkey AS ref_id, 'https://s' || (l_suppkey % 20) AS url, row_number() OVER (PARTITION BY l_partkey ORDER BY min((l_orderkey, l_linenumber, l_suppkey))) AS rank FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_partkey, l_suppkey % 20) WHERE rank <= 8",
+    "oa_locations": "SELECT ref_id, url, rank FROM (SELECT l_partkey AS ref_id, 'https://s' || (l_suppkey % 20) AS url, row_number() OVER (PARTITION BY l_partkey ORDER BY min((l_orderkey, l_linenumber, l_suppkey))) AS rank FROM lineitem GROUP BY l_partkey, l_suppkey % 20) WHERE rank <= 8",
     "prefer_version": "SELECT l_partkey AS ref_id, 'https://h/pdf/' || (l_suppkey % 5) AS url, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey % 5 <> 3, min(l_orderkey * 10 + l_linenumber), 'https://h/pdf/' || (l_suppkey % 5)) AS rank FROM lineitem GROUP BY l_partkey, l_suppkey % 5",
     "abstract_from_inverted_index": "SELECT doc_id AS work_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ') AS t FROM documents) WHERE t <> ''",
 }

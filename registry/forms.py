@@ -48,7 +48,7 @@ evidence_key = _doc("evidence_key", lambda c: F.md5(T.evidence_key(c)))
 escape_html = _doc("escape_html", lambda c: F.md5(T.escape_html(c)))
 is_turkish = _doc("is_turkish", R.is_turkish)
 decode_html_bytes = _doc("decode_html_bytes", lambda c: F.md5(T.decode_html_bytes(F.encode(c, "UTF-8"), L("text/html; charset=utf-8"))))
-preprint_notice = _doc("preprint_notice", lambda c: V.preprint_notice(F.array(F.substring(c, 1, 100), L("Note. This is a non-peer reviewed preprint submitted to X. More."))))
+preprint_notice = _doc("preprint_notice", lambda c: V.preprint_notice(F.array(c, L("Note. This is a non-peer reviewed preprint submitted to X. More."))))
 get_doi = _bib("get_doi", lambda: [R.get_doi(F.concat(C("raw"), L(").,"))).alias("v")])
 get_arxiv = _bib("get_arxiv", lambda: [R.get_arxiv(F.concat(C("raw"), L(" arXiv: 2301."), F.lpad(C("ref_id").cast("string"), 5, "0"), L("v3"))).alias("v")])
 clean_name = _bib("clean_name", lambda: [T.clean_name(F.concat(C("family"), L(" et al.’s, "))).alias("v")])

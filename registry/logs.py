@@ -22,7 +22,9 @@ def quota_state(spark, sf):
 
 
 def dedupe_requests(spark, sf):
-    return Q.dedupe_requests(requests(spark, sf), "12 hours").select("request_id", "provider", "url")
+    """Requests of a provider's path, so that equal ones occur within minutes."""
+    r = requests(spark, sf).withColumn("url", F.regexp_replace("url", "[0-9]+$", ""))
+    return Q.dedupe_requests(r).select("request_id", "provider", "url")
 
 
 def spacing_violations(spark, sf):
@@ -139,10 +141,12 @@ def quota_stream(spark, sf):
 
 
 def rollup_stream(spark, sf):
-    """Windows closed by the watermark (all but the last hours of the log)."""
+    """Every window as last updated."""
     from refaudit.streaming.requests import rollup_stream as s
-    rows = _run(spark, s(_stream(spark, sf)), "append")
-    return rows.where("window_start < timestamp '2024-01-30 20:00:00'").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "provider", "requests", "responses", "waits", "errors")
+    rows = _run(spark, s(_stream(spark, sf)), "update")
+    counts = ("requests", "responses", "waits", "errors")
+    last = rows.groupBy("window_start", "provider").agg(F.max_by(F.struct(*counts), "batch").alias("c"))
+    return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "provider", *[F.col(f"c.{c}").alias(c) for c in counts])
 
 
 def dedupe_stream(spark, sf):
@@ -169,11 +173,13 @@ _BLOCKS = " ".join(
 ORACLES = {
     "quota_state": _q("SELECT * FROM quota", _QUOTA),
     "quota_stream": _q("SELECT * FROM quota", _QUOTA),
-    "dedupe_requests": _q("SELECT request_id, provider, url FROM (SELECT *, lag(ts) OVER (PARTITION BY provider, url ORDER BY ts, request_id) AS p FROM requests) WHERE p IS NULL OR ts >= p + INTERVAL 12 HOUR"),
+    "dedupe_requests": _q("""SELECT request_id, provider, url FROM walk WHERE kept""", """seq AS (SELECT request_id, provider, regexp_replace(url, '[0-9]+$', '') AS url, ts, status = 200 AS ok, row_number() OVER (PARTITION BY provider, regexp_replace(url, '[0-9]+$', '') ORDER BY ts, request_id) AS n FROM requests),
+        walk AS (SELECT request_id, provider, url, n, true AS kept, CASE WHEN ok THEN ts + INTERVAL 5 MINUTE ELSE TIMESTAMP '1970-01-01' END AS until FROM seq WHERE n = 1
+          UNION ALL SELECT s.request_id, s.provider, s.url, s.n, s.ts >= w.until, CASE WHEN s.ts >= w.until AND s.ok THEN s.ts + INTERVAL 5 MINUTE ELSE w.until END FROM walk w JOIN seq s ON s.provider = w.provider AND s.url = w.url AND s.n = w.n + 1)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "dedupe_stream": _q("SELECT DISTINCT provider, url FROM requests"),
     "spacing_violations": _q("SELECT request_id, round((epoch_us(ts) - epoch_us(p)) / 1000, 3) AS gap_ms, 600000 AS interval_ms FROM (SELECT *, lag(ts) OVER (PARTITION BY provider ORDER BY ts, request_id) AS p FROM requests) WHERE epoch_us(ts) - epoch_us(p) < 600000000"),
     "event_rollup": _q("SELECT date_trunc('hour', ts) AS window_start, provider, count(*) AS requests, count(CASE WHEN status = 200 THEN 1 END) AS responses, count(CASE WHEN status = 429 THEN 1 END) AS waits, count(CASE WHEN status = 503 THEN 1 END) AS errors, arg_max(status, (ts, request_id)) AS last_status FROM requests GROUP BY 1, 2"),
-    "rollup_stream": _q("SELECT date_trunc('hour', ts) AS window_start, provider, count(*) AS requests, count(CASE WHEN status = 200 THEN 1 END) AS responses, count(CASE WHEN status = 429 THEN 1 END) AS waits, count(CASE WHEN status = 503 THEN 1 END) AS errors FROM requests WHERE ts < TIMESTAMP '2024-01-30 20:00:00' GROUP BY 1, 2"),
+    "rollup_stream": _q("SELECT date_trunc('hour', ts) AS window_start, provider, count(*) AS requests, count(CASE WHEN status = 200 THEN 1 END) AS responses, count(CASE WHEN status = 429 THEN 1 END) AS waits, count(CASE WHEN status = 503 THEN 1 END) AS errors FROM requests GROUP BY 1, 2"),
     "latest_events": _q("SELECT request_id, provider FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC) AS n FROM requests) WHERE n <= 80"),
     "last_good_snapshot": _q("""SELECT request_id, CASE WHEN status = 503 AND g IS NOT NULL THEN 'ok' WHEN status = 200 THEN 'ok' WHEN status = 429 THEN 'deferred' ELSE 'blocked' END AS effective_state,
         CASE WHEN status = 503 THEN g END AS snapshot_id, status = 503 AND g IS NOT NULL AS stale FROM (SELECT *, last_value(CASE WHEN status = 200 THEN request_id END IGNORE NULLS) OVER (PARTITION BY regexp_replace(url, '/[a-z]+/([0-9]+)$', '/\\1') ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM requests)"""),

@@ -45,8 +45,8 @@ def version_gate(spark, sf):
 def entry_patches(spark, sf):
     p = RM._paragraphs(spark, sf)
     refs = view(spark, sf, "bib").select("doc_id", F.concat(L("r"), C("pos")).alias("ref_id"), F.array(F.concat(L("b"), C("pos"))).alias("paragraphs"))
-    outs = refs.where("ref_id in ('r1', 'r2')").select("doc_id", "ref_id", F.concat(L("New "), C("ref_id")).alias("text"))
-    return E.apply_patches(p, E.entry_patches(refs, p, outs)).where(C("text").startswith("New r")).select("doc_id", "paragraph_id", "text")
+    outs = refs.select("doc_id", "ref_id", F.concat(L("New "), C("ref_id")).alias("text"))
+    return E.apply_patches(p, E.entry_patches(refs, p, outs)).select("doc_id", "paragraph_id", "text")
 
 
 def changed_decisions(spark, sf):
@@ -83,7 +83,7 @@ ORACLES = {
         pos = 6 OR NOT ((pos % 3 = 0 AND contains(lower(true_title), lower(title))) OR (pos % 3 = 1 AND doi <> '')) AS needs_confirmation
         FROM (SELECT *, len(list_intersect({_SPLIT.format(c='title')}, {_SPLIT.format(c='true_title')})) / greatest(len({_SPLIT.format(c='title')}), len({_SPLIT.format(c='true_title')})) AS s FROM bib)""", "bib"),
     "version_gate": with_views("SELECT ref_id, (pos % 4 = 3 OR pos % 5 = 0) AND pos % 7 <> 0 AS gated FROM bib", "bib"),
-    "entry_patches": with_views("SELECT doc_id, 'b' || pos AS paragraph_id, 'New r' || pos AS text FROM bib WHERE pos IN (1, 2)", "bib"),
+    "entry_patches": RM._sql("SELECT q.doc_id, q.paragraph_id, coalesce('New r' || b.pos, q.text) AS text FROM paragraphs q LEFT JOIN bib b ON b.doc_id = q.doc_id AND q.paragraph_id = 'b' || b.pos"),
     "changed_decisions": with_views("SELECT doc_id, ref_id FROM bib WHERE ref_id % 9 = 0 OR (ref_id % 8 = 0 AND damage NOT IN (1, 5))", "bib"),
     "error_summary": with_views("""SELECT cast(floor(request_id / 50) AS bigint) AS ref_id, count(*) AS n_warnings, arg_min(CASE WHEN status = 429 THEN provider || ': sorgu kotası/hız sınırı (HTTP 429)' ELSE 'fault' END, request_id) AS first_warning,
         count(CASE WHEN status = 429 THEN 1 END) AS n_pending, min(CASE WHEN status = 429 THEN ts END) AS pending_retry_at FROM requests WHERE status <> 200 GROUP BY 1""", "requests"),

@@ -10,19 +10,19 @@ CIT = "citation_id int, pub_id int, sentence string, context array<string>"
 
 
 def test_numbers_rank_first(spark):
-    pub = spark.createDataFrame([(1, [("a", "Introduction text."), ("b", "Engagement rose by 42.5% among participants in 2021."), ("c", "Participants were adults.")])], PUB)
-    cit = spark.createDataFrame([(1, 1, "Katılımcılarda bağlılık %42,5 arttı (Smith, 2021).", [])], CIT)
+    pub = spark.createDataFrame([(1, [("a", "Opening words."), ("b", "Depth fell by 17.5% below the datum in 2018."), ("c", "Gauges stood in the creek.")])], PUB)
+    cit = spark.createDataFrame([(1, 1, "Limanda derinlik %17,5 azaldı (Kern, 2018).", [])], CIT)
     ranked = E.rank_passages(E.bm25(pub, E.query_weights(cit))).where("rank = 1").first()
     assert ranked.passage_id == "P2"
 
 
 def test_late_evidence_reaches_the_first_batch(spark):
-    pub = spark.createDataFrame([(1, [("1", "Unrelated background material. " * 1500), ("9", "We review mixture-of-experts routing algorithms."), ("10", "REFERENCES\nSENTINEL")])], PUB)
-    cit = spark.createDataFrame([(1, 1, "The survey covers mixture-of-experts routing algorithms.", [])], CIT)
+    pub = spark.createDataFrame([(1, [("1", "Notes on the weather that day. " * 1500), ("9", "We compare suction-dredge pumping schedules."), ("10", "REFERENCES\nSENTINEL")])], PUB)
+    cit = spark.createDataFrame([(1, 1, "The review compares suction-dredge pumping schedules.", [])], CIT)
     chunks = E.chunk_passages(pub)
     assert chunks.where(F.col("text").contains("SENTINEL")).count() == 0
     rows = P.retrieve(cit, pub).join(chunks.select("passage_id", "text"), "passage_id").collect()
-    assert len({r.batch for r in rows}) > 1 and any("routing" in r.text for r in rows if r.batch == 0) and any(r.idx == 0 for r in rows if r.batch == 0)
+    assert len({r.batch for r in rows}) > 1 and any("pumping" in r.text for r in rows if r.batch == 0) and any(r.idx == 0 for r in rows if r.batch == 0)
     sizes = {}
     for r in rows:
         sizes[r.batch] = sizes.get(r.batch, 0) + r.n_chars
@@ -30,9 +30,9 @@ def test_late_evidence_reaches_the_first_batch(spark):
 
 
 @pytest.mark.parametrize("quote,text,verdict", [
-    ("Çalışmada 120 yetişkin incelendi.", "Çalışmada 120 yetişkin incelendi.", "supported"), ("Nedensellik kanıtlandı.", "Çalışmada 120 yetişkin incelendi.", "unassessable"),
-    ("water efficiency is 1.7 billion litres/day", "water efﬁciency is 1.7\nbillion litres/day", "supported"), ("water efficiency is 17 billion", "water efﬁciency is 1.7\nbillion", "unassessable"),
-    ("x" * 251, "x" * 300, "unassessable"), ("Water", "water", "unassessable"), (" ", "a b", "unassessable")])
+    ("Kıyıda 36 istasyon kuruldu.", "Kıyıda 36 istasyon kuruldu.", "supported"), ("Sebep gösterildi.", "Kıyıda 36 istasyon kuruldu.", "unassessable"),
+    ("sufficient depth of 2.4 metres/tide", "sufﬁcient depth of 2.4\nmetres/tide", "supported"), ("sufficient depth of 24 metres", "sufﬁcient depth of 2.4\nmetres", "unassessable"),
+    ("x" * 251, "x" * 300, "unassessable"), ("Depth", "depth", "unassessable"), (" ", "a b", "unassessable")])
 def test_quotes_must_be_literal(spark, quote, text, verdict):
     claims = spark.createDataFrame([(1, 1, "supported", "P1", quote)], "citation_id int, pub_id int, verdict string, passage_id string, quote string")
     passages = spark.createDataFrame([(1, "P1", "Sayfa 1", text)], "pub_id int, passage_id string, location string, text string")

@@ -6,14 +6,14 @@ from refaudit.functions import apa, dates, reference, retrieval, text, web
 
 
 def test_normal_forms(each):
-    assert each(text.normalize_title, "Türkiye’de turizm", "TURKIYE DE TURIZM", "Mapping the world’s ﬁ½ photos İıé", "") == ["turkiye de turizm"] * 2 + ["mapping the world s fi1 2 photos iie", ""]
-    assert each(text.evidence_key, "water efﬁciency is 1.7\nbillion “x” ’") == ["water efficiency is 1.7 billion \"x\" '"]
-    assert each(text.clean_name, "Han et al.’s", "Kaya ve ark.", "Öz vd.") == ["Han", "Kaya", "Öz"]
+    assert each(text.normalize_title, "İzmir’de gelgit", "IZMIR DE GELGIT", "Charting a coast’s ﬁ½ buoys İıé", "") == ["izmir de gelgit"] * 2 + ["charting a coast s fi1 2 buoys iie", ""]
+    assert each(text.evidence_key, "sufﬁcient depth of 2.4\nmetres “x” ’") == ["sufficient depth of 2.4 metres \"x\" '"]
+    assert each(text.clean_name, "Moss et al.’s", "Toprak ve ark.", "Su vd.") == ["Moss", "Toprak", "Su"]
     assert each(text.year_key, "T. Y.", "2020A") == ["n.d.", "2020a"]
 
 
 def test_sentences(each):
-    got = each(text.split_sentences, "İlk cümle. İkinci J. Smith et al. 3.5 cümle. Üçüncü cümle! Bulgular (Yılmaz, 2019) ile.", "Bu çalışmaya göre Kaplan ve ark. (2020) açıkladı.")
+    got = each(text.split_sentences, "Deniz yükseldi. Ölçen R. Kern et al. 2.5 metre. Sonra durdu! Sonuç (Toprak, 2018) aynı.", "Kıyıya bakan Derya ve ark. (2017) yazdı.")
     assert [len(s) for s in got] == [4, 1]
     assert [tuple(s) for s in each(text.sentence_slices, "One. Two? Three")[0]] == [("One.", 0, 4), ("Two?", 4, 9), ("Three", 9, 15)]
 
@@ -25,26 +25,26 @@ def test_html(each):
 
 
 def test_identifiers(each):
-    assert each(reference.get_doi, "https://doi.org/10.1000/abc(123).", "(https://doi.org/10.1000/abc).", "none") == ["10.1000/abc(123)", "10.1000/abc", ""]
-    keys = each(reference.publication_keys, "R (2025). https://arxiv.org/abs/2505.09598v2", "N. https://www.restofworld.org/2025/example/?a=1", "A https://example.com/")
-    assert keys == [["arxiv:2505.09598"], ["url:restofworld.org/2025/example"], []]
+    assert each(reference.get_doi, "https://doi.org/10.5555/silt(77).", "(https://doi.org/10.5555/silt).", "none") == ["10.5555/silt(77)", "10.5555/silt", ""]
+    keys = each(reference.publication_keys, "R (2025). https://arxiv.org/abs/2401.01234v2", "N. https://www.harbour.example.org/2025/port/?a=1", "A https://sea.example.net/")
+    assert keys == [["arxiv:2401.01234"], ["url:harbour.example.org/2025/port"], []]
 
 
 @pytest.mark.parametrize("raw,year,title,author", [
-    ("van der Zee, E. (2018). Third title.", 2018, "Third title", "van der Zee"),
-    ("Uslu, A. (2021a). Sosyal medya verileri. Dergi.", 2021, "Sosyal medya verileri", "Uslu"),
-    ("Bhat, D. (2025, August 4). Big Tech is building AI in the desert. Rest of World.", 2025, "Big Tech is building AI in the desert", "Bhat"),
-    ("Devlin J, Chang MW. BERT: Pre-training of deep transformers. NAACL. 2019;1:20.", 2019, "BERT: Pre-training of deep transformers", "Devlin")])
+    ("von den Berg, T. (2017). Dune grass.", 2017, "Dune grass", "von den Berg"),
+    ("Derya, K. (2019b). Gelgit ölçümleri. Kıyı Dergisi.", 2019, "Gelgit ölçümleri", "Derya"),
+    ("Kaya, D. (2022, March 9). Small ports dig deeper basins. Harbour Post.", 2022, "Small ports dig deeper basins", "Kaya"),
+    ("Halden M, Moss IR. Silt: slow filling of old basins. Shore Rec. 2016;4:11.", 2016, "Silt: slow filling of old basins", "Halden")])
 def test_entry_fields(each, raw, year, title, author):
     p = each(reference.parse_reference, raw)[0]
     assert (p.year, p.title, p.first_author) == (year, title, author)
 
 
 def test_identity(each):
-    raw = "Le, T., Thai, M. V. T., Nguyen Manh, D., Phan Nhat, H., & Bui, N. D. Q. (2025). SWE-EVO. https://doi.org/10.48550/arXiv.2512.18470"
-    a, b, c = each(reference.reference_identity, raw, "Organization. (n.d.). Report.", "Food & Water Watch. (2026). Report.")
-    assert (a.year_key, a.authors) == ("2025", ["Le", "Thai", "Nguyen Manh", "Phan Nhat", "Bui"])
-    assert (b.year_key, b.author, c.author) == ("n.d.", "Organization", "Food & Water Watch")
+    raw = "Ek, T., Lund, M. V. T., Berg Holm, D., Dal Nord, H., & Roe, N. D. Q. (2025). TIDE-LOG. https://doi.org/10.48550/arXiv.2401.09999"
+    a, b, c = each(reference.reference_identity, raw, "Seaboard. (n.d.). Yearbook.", "Harbour & Coast Watch. (2026). Yearbook.")
+    assert (a.year_key, a.authors) == ("2025", ["Ek", "Lund", "Berg Holm", "Dal Nord", "Roe"])
+    assert (b.year_key, b.author, c.author) == ("n.d.", "Seaboard", "Harbour & Coast Watch")
 
 
 def test_routing(each):
@@ -54,9 +54,9 @@ def test_routing(each):
 
 
 def test_arxiv_authors_follow_the_entry(each):
-    ref = F.lit("Le, T., Thai, M. V. T., & Nguyen Manh, D. (2025). x")
-    got = each(lambda c: reference.align_arxiv_authors(F.split(c, ";"), ref), "Tue Le;Minh V. T. Thai;Dung Nguyen Manh;Foo Bar;Solo")[0]
-    assert [a.family for a in got] == ["Le", "Thai", "Nguyen Manh", "Bar", None] and got[-1].literal == "Solo"
+    ref = F.lit("Ek, T., Lund, M. V. T., & Berg Holm, D. (2025). x")
+    got = each(lambda c: reference.align_arxiv_authors(F.split(c, ";"), ref), "Tor Ek;Mia V. T. Lund;Dag Berg Holm;Udo Ahn;Mono")[0]
+    assert [a.family for a in got] == ["Ek", "Lund", "Berg Holm", "Ahn", None] and got[-1].literal == "Mono"
 
 
 def test_dates(each):
@@ -71,23 +71,23 @@ def test_waits(each):
 
 
 def test_casing(each):
-    got = each(apa.sentence_case, "ATTENTION IS ALL YOU NEED", "Tourism Research — A Spatial Approach", "Mapping Tourism in Los Angeles Using Google Maps and GIS", "Analysis of MDIVis and eDNA Methods",
-               "TÜRKİYE’DE İÇ TURİZMİN GELİŞİMİ", "SWE-agent: Agent-Computer Interfaces Enable Software Engineering")
-    assert got == ["Attention is all you need", "Tourism research — A spatial approach", "Mapping tourism in Los Angeles using Google Maps and GIS", "Analysis of MDIVis and eDNA methods",
-                   "Türkiye’de iç turizmin gelişimi", "SWE-agent: Agent-computer interfaces enable software engineering"]
+    got = each(apa.sentence_case, "SILT IS ALL WE FOUND", "Harbour Research — A Slow Approach", "Charting Silt in Los Angeles Using Google Maps and GIS", "Review of SeaVis and eDNA Gauges",
+               "TÜRKİYE’DE İÇ LİMANLARIN GELİŞİMİ", "SWE-agent: Gauge-Computer Links Improve Harbour Engineering")
+    assert got == ["Silt is all we found", "Harbour research — A slow approach", "Charting silt in Los Angeles using Google Maps and GIS", "Review of SeaVis and eDNA gauges",
+                   "Türkiye’de iç limanların gelişimi", "SWE-agent: Gauge-computer links improve harbour engineering"]
     assert each(lambda c: apa.sentence_case(c, F.lit("en"), ("Atlantis",)), "Mapping Places in Atlantis") == ["Mapping places in Atlantis"]
-    assert each(apa.title_case, "the ai’s role: a study of ai's effects in THE world") == ["The AI’s Role: A Study of AI’s Effects in the World"]
+    assert each(apa.title_case, "the ai’s share: a record of ai's uses in THE port") == ["The AI’s Share: A Record of AI’s Uses in the Port"]
 
 
 def test_retrieval(each):
-    assert each(retrieval.retrieval_terms, "bağlılık %42,5 arttı (Smith, 2021).", "rose by 42.5% among") == [["baglil", "artti", "smith", "#42.5"], ["rose", "among", "#42.5"]]
+    assert each(retrieval.retrieval_terms, "derinlik %17,5 azaldı (Kern, 2018).", "fell by 17.5% below") == [["derinl", "azaldi", "kern", "#17.5"], ["fell", "below", "#17.5"]]
     assert each(retrieval.language, "Bu çalışma ve bir yöntem için", "The method of the study", "12") == ["tr", "en", ""]
     got = each(lambda c: retrieval.parse_model_json(c, "verdict string"), '```json\n{"verdict":"x"}\n```', 'so {"verdict":"y"} z', "none")
     assert [g and g.verdict for g in got] == ["x", "y", None]
 
 
 def test_web_entries(each):
-    a, b = each(web.parse_web_reference, "Bhat, D. (2025, August 4). Water in offices. What comes next? Example News. https://example.org/news/water", "A. (2025). T. https://doi.org/10.1234/test")
-    assert b is None and (a.url, a.author, tuple(a.date), a.title) == ("https://example.org/news/water", "Bhat, D", (2025, 8, 4), "Water in offices. What comes next? Example News")
+    a, b = each(web.parse_web_reference, "Kaya, D. (2022, March 9). Silt in basins. Who digs it? Harbour Post. https://harbour.example.org/news/silt", "A. (2025). T. https://doi.org/10.1234/test")
+    assert b is None and (a.url, a.author, tuple(a.date), a.title) == ("https://harbour.example.org/news/silt", "Kaya, D", (2022, 3, 9), "Silt in basins. Who digs it? Harbour Post")
     assert each(web.valid_http_url, "file:///etc/passwd", "https://u:p@example.org/", "http://example.org:8080/", "https://example.org/x") == [False, False, False, True]
     assert each(lambda c: web.pack_paragraphs(c, 10), "aaaa\n\nbbb\n\ncccc\n\ndddddddddddd\n\ne") == [["aaaa\n\nbbb", "cccc", "dddddddddddd", "e"]]

@@ -14,7 +14,7 @@ def split(spark, text):
 
 
 def test_entries_split_without_merging(spark):
-    values = ["Gutiérrez, J. (2020). First title.", "Gülenç Birsen, A. (2025). Second title.", "van der Zee, E. (2018). Third title.", "Prudencio-Vázquez, J. (2023). Fourth title."]
+    values = ["Núñez, R. (2019). Salt marshes.", "Yıldız Öztürk, S. (2024). Kıyı bitkileri.", "von den Berg, T. (2017). Dune grass.", "Castro-Páez, L. (2022). Sea walls."]
     assert split(spark, "\n".join(values)) == values
     assert split(spark, f"1. {values[0]}\ncontinued journal text\n[1000] {values[1]}") == [values[0] + " continued journal text", values[1]]
     assert split(spark, "One entry\nwrapped\n\n\nOther entry") == ["One entry wrapped", "Other entry"]
@@ -22,27 +22,28 @@ def test_entries_split_without_merging(spark):
 
 
 PAGES = [
-    ["Journal of Testing Studies 12(3) 2024", "", "Introduction", "",
-     "Online learning has been studied widely in recent years and self-regulation is", "reported as a key predictor of achievement (Smith, 2020). Motivation also matters",
-     "for persistence in distance education according to Brown and Green (2019).", "", "A second paragraph describes the method in detail and reports the inter-",
-     "national sample that was drawn from several universities across the region", "and it continues on the next page because the page ends here while the", "1"],
-    ["Journal of Testing Studies 12(3) 2024", "", "sentence is still running (Lee, 2021).", "", "References", "",
-     "Brown, A., & Green, B. (2019). Motivation and persistence in distance education:", ">A longitudinal study. Journal of Online Learning, 10(2), 1-20.",
-     "Lee, C. (2021). Self-regulated learning in international samples. Computers", ">and Education, 45, 100-115. https://doi.org/10.1000/test.2021.1",
-     "Smith, D. (2020). Predictors of achievement in online courses. Learning and", ">Instruction, 30(4), 55-70.", "2"]]
+    ["Coastal Notes 7(1) 2023", "", "Background", "",
+     "Salt marshes protect the shore from waves because their plants slow the water and", "catch the silt that it carries over the flats at high tide (Noor, 2018). Their loss is",
+     "felt in storms, which now reach far inland, as Vance and Webb (2016) have shown.", "", "Ek olarak ölçümler", "", "A further paragraph explains how we set the gauges along the creek and the inter-",
+     "tidal transects that were walked every month by two of us over the whole period and", "it runs on over the page since the last line of this page stops in the middle of a", "1"],
+    ["Coastal Notes 7(1) 2023", "", "clause that ends only here (Orhan, 2020).", "", "References", "",
+     "Noor, F. (2018). Waves and plants on soft shores: a record of ten winters on the", ">open coast. Shore Records, 4(2), 11-30.",
+     "Orhan, G. (2020). Walking the creek: monthly transects and what they tell. Silt", ">and Water, 12, 200-219. https://doi.org/10.5555/silt.2020.7",
+     "Vance, H., & Webb, I. (2016). Storm reach before and after the loss of marsh. Flood", ">Studies, 9(3), 1-18.", "Appendix", "", "Gauge list.", "2"]]
 
 
 def test_lines_become_paragraphs(spark):
     rows = [(1, p + 1, n, 4 if t.startswith(">") else 0, t.lstrip(">")) for p, page in enumerate(PAGES) for n, t in enumerate(page)]
     out = texts.lines_to_paragraphs(spark.createDataFrame(rows, "doc_id bigint, page int, line_no int, indent int, text string")).orderBy("idx").collect()
     got = [r.text for r in out]
-    assert not any("Journal of Testing Studies" in t or t.isdigit() for t in got)
-    assert any("because the page ends here while the sentence is still running (Lee, 2021)." in t for t in got)
-    assert any("international sample" in t for t in got)
-    assert [r.style for r in out if r.text == "References"] == ["Heading"]
-    refs = got[got.index("References") + 1:]
-    assert [r.split(",")[0] for r in refs] == ["Brown", "Lee", "Smith"]
-    assert refs[1].endswith("Computers and Education, 45, 100-115. https://doi.org/10.1000/test.2021.1")
+    assert not any("Coastal Notes" in t or t.isdigit() for t in got)
+    assert any("stops in the middle of a clause that ends only here (Orhan, 2020)." in t for t in got)
+    assert any("the intertidal transects" in t for t in got)
+    # An appendix word opens a heading behind the bibliography only.
+    assert [(r.text, r.style) for r in out if r.text in ("References", "Appendix", "Ek olarak ölçümler")] == [("Ek olarak ölçümler", ""), ("References", "Heading"), ("Appendix", "Heading")]
+    refs = got[got.index("References") + 1:got.index("Appendix")]
+    assert [r.split(",")[0] for r in refs] == ["Noor", "Orhan", "Vance"]
+    assert refs[1].endswith("Silt and Water, 12, 200-219. https://doi.org/10.5555/silt.2020.7")
 
 
 def test_full_text_xml(spark):
@@ -52,21 +53,21 @@ def test_full_text_xml(spark):
 
 
 RECORDS = {
-    "Crossref": {"title": ["T"], "author": [{"family": "Devlin", "given": "Jacob"}], "published": {"date-parts": [[2019]]}, "DOI": "10.18653/v1/n19-1423", "container-title": ["NAACL"], "page": "1-2"},
-    "DataCite": {"data": {"attributes": {"titles": [{"title": "T"}], "creators": [{"familyName": "Devlin", "givenName": "Jacob"}, {"name": "Lee, K."}, {"name": "Org"}], "publicationYear": 2019, "doi": "10.1/x", "publisher": "arXiv"}}},
-    "OpenAlex": {"title": "T", "authorships": [{"author": {"display_name": "Ann Smith"}}], "publication_year": 2020, "doi": "https://doi.org/10.1/X", "biblio": {"first_page": "1", "last_page": "9"}},
-    "Europe PMC": {"title": "T", "pubYear": "2020", "doi": "10.1/test", "authorList": {"author": [{"lastName": "Smith", "firstName": "Alice"}]}, "journalInfo": {"journal": {"title": "Journal"}, "volume": "3"}, "pageInfo": "1-5"},
-    "PubMed": {"uid": "123", "title": "T", "pubdate": "2020 Jan", "authors": [{"name": "Smith A"}], "articleids": [{"idtype": "pii", "value": "x"}, {"idtype": "doi", "value": "10.1/test"}], "fulljournalname": "Journal"},
-    "DBLP": {"info": {"title": "T", "year": "2020", "authors": {"author": [{"text": "Alice Smith"}, "Bo Li"]}, "venue": "Conf", "url": "https://dblp.org/rec/test"}},
-    "ERIC": {"id": "EJ123", "title": "T", "author": ["Smith, Alice"], "publicationdateyear": 2020},
-    "Semantic Scholar": {"title": "T", "year": 2020, "authors": [{"name": "Alice Smith"}], "externalIds": {"DOI": "10.1/test"}, "url": "https://s2/p", "journal": {"name": "J"}},
-    "CORE": {"id": 123, "title": "T", "authors": [{"name": "Smith, Alice"}], "yearPublished": 2020, "journals": [{"title": "J"}]},
-    "TR Dizin": {"_source": {"id": 123, "publicationYear": 2020, "abstracts": [{"title": "Eğitim"}, {"title": "T"}], "authors": [{"order": 2, "name": "Other"}, {"order": 1, "name": "Alice Smith"}],
+    "Crossref": {"title": ["T"], "author": [{"family": "Halden", "given": "Mira"}], "published": {"date-parts": [[2019]]}, "DOI": "10.5555/tide.77", "container-title": ["Tide Days"], "page": "1-2"},
+    "DataCite": {"data": {"attributes": {"titles": [{"title": "T"}], "creators": [{"familyName": "Halden", "givenName": "Mira"}, {"name": "Moss, I."}, {"name": "Org"}], "publicationYear": 2019, "doi": "10.1/x", "publisher": "arXiv"}}},
+    "OpenAlex": {"title": "T", "authorships": [{"author": {"display_name": "Ida Moss"}}], "publication_year": 2020, "doi": "https://doi.org/10.1/X", "biblio": {"first_page": "1", "last_page": "9"}},
+    "Europe PMC": {"title": "T", "pubYear": "2020", "doi": "10.5555/w9", "authorList": {"author": [{"lastName": "Kern", "firstName": "Rosa"}]}, "journalInfo": {"journal": {"title": "Journal"}, "volume": "3"}, "pageInfo": "1-5"},
+    "PubMed": {"uid": "123", "title": "T", "pubdate": "2020 Jan", "authors": [{"name": "Kern R"}], "articleids": [{"idtype": "pii", "value": "x"}, {"idtype": "doi", "value": "10.5555/w9"}], "fulljournalname": "Journal"},
+    "DBLP": {"info": {"title": "T", "year": "2020", "authors": {"author": [{"text": "Rosa Kern"}, "Udo Ahn"]}, "venue": "Conf", "url": "https://dblp.org/rec/test"}},
+    "ERIC": {"id": "EJ123", "title": "T", "author": ["Kern, Rosa"], "publicationdateyear": 2020},
+    "Semantic Scholar": {"title": "T", "year": 2020, "authors": [{"name": "Rosa Kern"}], "externalIds": {"DOI": "10.5555/w9"}, "url": "https://s2/p", "journal": {"name": "J"}},
+    "CORE": {"id": 123, "title": "T", "authors": [{"name": "Kern, Rosa"}], "yearPublished": 2020, "journals": [{"title": "J"}]},
+    "TR Dizin": {"_source": {"id": 123, "publicationYear": 2020, "abstracts": [{"title": "Kıyı"}, {"title": "T"}], "authors": [{"order": 2, "name": "Other"}, {"order": 1, "name": "Rosa Kern"}],
                              "journal": {"name": "Journal"}, "issue": {"number": "36", "volume": "0"}, "startPage": 5, "endPage": 9}},
-    "İSAM": {"metadata": {"dc.title": [{"value": "T"}], "dc.contributor.author": [{"value": "Smith, Alice"}], "dc.date.issued": [{"value": "2020"}], "dc.identifier.uri": [{"value": "https://m/handle/1"}]}},
-    "OpenLibrary": {"key": "/works/OL123W", "title": "T", "subtitle": "S", "author_name": ["Alice Smith"], "first_publish_year": 2020, "publisher": ["P"]},
-    "Google Books": {"id": "1", "volumeInfo": {"title": "T", "authors": ["Alice Smith"], "publishedDate": "2020-01-01", "publisher": "P"}},
-    "arXiv": {"id": "https://arxiv.org/abs/2304.14163v2", "title": "A  study", "published": "2023-04-28T00:00:00Z", "author": [{"name": "Smith, Alice"}]}}
+    "İSAM": {"metadata": {"dc.title": [{"value": "T"}], "dc.contributor.author": [{"value": "Kern, Rosa"}], "dc.date.issued": [{"value": "2020"}], "dc.identifier.uri": [{"value": "https://m/handle/1"}]}},
+    "OpenLibrary": {"key": "/works/OL123W", "title": "T", "subtitle": "S", "author_name": ["Rosa Kern"], "first_publish_year": 2020, "publisher": ["P"]},
+    "Google Books": {"id": "1", "volumeInfo": {"title": "T", "authors": ["Rosa Kern"], "publishedDate": "2020-01-01", "publisher": "P"}},
+    "arXiv": {"id": "https://arxiv.org/abs/2401.01234v2", "title": "A  record", "published": "2023-02-14T00:00:00Z", "author": [{"name": "Kern, Rosa"}]}}
 
 
 def works(spark, provider):
@@ -83,24 +84,24 @@ def test_every_provider_maps(spark):
 
 
 def test_provider_details(spark):
-    assert works(spark, "Crossref")[0].url == "https://doi.org/10.18653/v1/n19-1423"
-    assert [(a.family, a.given, a.literal) for a in works(spark, "DataCite")[0].author] == [("Devlin", "Jacob", None), ("Lee", "K.", None), (None, None, "Org")]
+    assert works(spark, "Crossref")[0].url == "https://doi.org/10.5555/tide.77"
+    assert [(a.family, a.given, a.literal) for a in works(spark, "DataCite")[0].author] == [("Halden", "Mira", None), ("Moss", "I.", None), (None, None, "Org")]
     assert works(spark, "DataCite")[0].container_title == "arXiv"
     assert (works(spark, "OpenAlex")[0].doi, works(spark, "OpenAlex")[0].pages) == ("10.1/X", "1–9")
-    assert works(spark, "PubMed")[0].doi == "10.1/test"
-    assert [a.literal for a in works(spark, "DBLP")[0].author] == ["Alice Smith", "Bo Li"]
+    assert works(spark, "PubMed")[0].doi == "10.5555/w9"
+    assert [a.literal for a in works(spark, "DBLP")[0].author] == ["Rosa Kern", "Udo Ahn"]
     tr = works(spark, "TR Dizin")
-    assert [w.title for w in tr] == ["Eğitim", "T"] and (tr[0].author[0].literal, tr[0].pages, tr[0].issue, tr[0].volume) == ("Alice Smith", "5–9", "36", "")
+    assert [w.title for w in tr] == ["Kıyı", "T"] and (tr[0].author[0].literal, tr[0].pages, tr[0].issue, tr[0].volume) == ("Rosa Kern", "5–9", "36", "")
     assert works(spark, "OpenLibrary")[0].title == "T: S"
     arxiv = works(spark, "arXiv")[0]
-    assert (arxiv.arxiv, arxiv.doi, arxiv.title) == ("2304.14163", "10.48550/arxiv.2304.14163", "A study")
+    assert (arxiv.arxiv, arxiv.doi, arxiv.title) == ("2401.01234", "10.48550/arxiv.2401.01234", "A record")
 
 
 def test_dump_reader_and_plug_in(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(RECORDS["ERIC"]))
     assert K.read_works(spark, str(tmp_path), "ERIC").first().title == "T"
-    (tmp_path / "a.xml").write_text('<feed><entry><id>http://arxiv.org/abs/2304.14163v2</id><title>A study</title><published>2023-04-28</published><author><name>Alice Smith</name></author></entry></feed>')
-    assert K.read_works(spark, str(tmp_path / "a.xml"), "arXiv").first().author[0].family == "Smith"
+    (tmp_path / "a.xml").write_text('<feed><entry><id>http://arxiv.org/abs/2401.01234v2</id><title>A record</title><published>2023-02-14</published><author><name>Rosa Kern</name></author></entry></feed>')
+    assert K.read_works(spark, str(tmp_path / "a.xml"), "arXiv").first().author[0].family == "Kern"
     K.register_provider("Mine", "t string", lambda df: K.base_item(df, "Mine", F.col("t"), F.array(), F.lit("in 2001"), F.lit("")))
     (tmp_path / "m.json").write_text('{"t": "<b>X</b>"}')
     got = K.read_works(spark, str(tmp_path / "m.json"), "Mine").first()
