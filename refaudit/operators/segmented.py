@@ -1,8 +1,8 @@
 """Ordered look-back over keys of any size.
 
 A plain window puts all rows of one key into one task. Here rows are ordered inside
-(key, time bucket) only, and what a bucket hands on is a single row; the carry-over runs over
-those bucket rows, so a key holding a third of the log is spread over all its buckets.
+(key, minute) only, and what a minute hands on is a single row; the carry-over runs over
+those rows, one per minute in use, so a key holding a third of the log is spread over all its minutes.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def look_back(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: str = "day", strict: bool = True,
+def look_back(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: str = "minute", strict: bool = True,
               ts: str = "ts") -> DataFrame:
     """Add ``name``: the latest non-NULL ``value`` of the key before the row (``strict``) or up to it."""
     rows = df.withColumn("_b", F.date_trunc(bucket, F.col(ts))).withColumn("_v", value)

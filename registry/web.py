@@ -1,7 +1,6 @@
 """Web pages, provider dumps and positioned lines: ``pages``, ``works`` as JSON, ``documents`` as lines."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from refaudit.functions import text as T
@@ -181,12 +180,16 @@ DUMPS = {
 _REVIEW = ("CORE", "İSAM", "OpenLibrary", "Google Books")
 
 
-# --- positioned lines: a source is a document, its texts are the pages --------------------
+# --- positioned lines: five lines of a document make a page, between a running header and a page number
 
 def _lines(spark, sf):
     d = table(spark, sf, "documents")
-    rows = d.select(F.col("source").alias("doc_id"), F.dense_rank().over(Window.partitionBy("source").orderBy("doc_id")).cast("int").alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return rows.select("doc_id", "page", "line_no", (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent"), F.trim("raw").alias("text"))
+    rows = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    rows = rows.select("doc_id", F.expr("cast(pos div 5 + 1 as int)").alias("page"), (F.col("pos") % 5 + 1).alias("line_no"), (F.length("raw") - F.length(F.ltrim("raw"))).alias("indent"), F.trim("raw").alias("text"))
+    pages = rows.select("doc_id", "page").distinct()
+    head = pages.select("doc_id", "page", F.lit(0).alias("line_no"), F.lit(0).alias("indent"), F.concat(F.lit("Collected texts, volume "), "doc_id").alias("text"))
+    foot = pages.select("doc_id", "page", F.lit(6).alias("line_no"), F.lit(0).alias("indent"), F.col("page").cast("string").alias("text"))
+    return rows.unionByName(head).unionByName(foot)
 
 
 def page_furniture(spark, sf):
@@ -224,8 +227,9 @@ def _n(body: str, *views: str) -> str:
 
 
 _ENT = "replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&#039;', ''''), '&amp;', '&')"
-_LN = """ln AS (SELECT source AS doc_id, page, cast(i - 1 AS int) AS line_no, length(raw) - length(ltrim(raw, ' ')) AS indent, trim(raw, ' ') AS text FROM (SELECT source, page, unnest(l) AS raw, generate_subscripts(l, 1) AS i
-   FROM (SELECT source, string_split(text, chr(10)) AS l, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents)))"""
+_LN = """l0 AS (SELECT doc_id, cast(floor((i - 1) / 5) AS int) + 1 AS page, cast((i - 1) % 5 AS int) + 1 AS line_no, length(raw) - length(ltrim(raw, ' ')) AS indent, trim(raw, ' ') AS text
+   FROM (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+  ln AS (SELECT * FROM l0 UNION ALL SELECT DISTINCT doc_id, page, 0, 0, 'Collected texts, volume ' || doc_id FROM l0 UNION ALL SELECT DISTINCT doc_id, page, 6, 0, cast(page AS varchar) FROM l0)"""
 ORACLES = {
     "page_title": "SELECT page_id, " + _ENT.format(c="trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g'))") + " AS h1, " + _ENT.format(c="trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g'))") + " AS title FROM pages",
     "noise_blocks": _n("SELECT page_id, 1 AS n FROM newspages"),
