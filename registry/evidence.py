@@ -132,22 +132,28 @@ def evidence_coverage(spark, sf):
     return E.evidence_coverage(batches, scanned).select("citation_id", "passages", "characters", "scanned_batches")
 
 
-def _assessed(spark, sf):
+def _assessed(spark, sf, sentence="s", **options):
     d = table(spark, sf, "documents").select("doc_id", "text", "source")
     refs = d.select("doc_id", F.lit("r0").alias("ref_id"), F.lit("A, B. (2000). T.").alias("raw"), F.when(F.col("doc_id") % 11 == 0, "review").otherwise("verified").alias("status"),
                     (F.col("doc_id") % 22 == 0).alias("accepted"), F.lit(False).alias("confirmed"))
     cites = d.select("doc_id", F.concat(F.lit("c"), F.col("doc_id")).alias("citation_id"), F.lit("r0").alias("reference"),
-                     F.when(F.col("doc_id") % 13 == 0, "Yıl uyuşmazlığı").alias("issue"), F.lit("s").alias("sentence"), F.array(F.lit("s")).alias("context"))
+                     F.when(F.col("doc_id") % 13 == 0, "Yıl uyuşmazlığı").alias("issue"), F.lit(sentence).alias("sentence"), F.array(F.lit(sentence)).alias("context"))
     texts = d.where("doc_id % 17 <> 5").select("doc_id", F.lit("r0").alias("ref_id"), (F.col("doc_id") % 19 == 7).alias("needs_confirmation"),
                                                F.array(F.struct(F.lit("Text").alias("location"), F.col("text").alias("text"))).alias("passages"))
     c = claims(spark, sf).select("doc_id", F.concat(F.lit("c"), F.col("doc_id")).alias("citation_id"), "batch", "claim", "verdict", "passage_id", "quote")
-    return P.assess(cites, refs, texts, c)
+    return P.assess(cites, refs, texts, c, **options)
 
 
 def assess(spark, sf):
     return _assessed(spark, sf).select("doc_id", "citation_id", "verdict")
 
 
+def assess_coverage(spark, sf):
+    """Verdicts with what was planned and read of each publication."""
+    out = _assessed(spark, sf, "harbour records", coverage=True)
+    return out.select("doc_id", "verdict", "passages", "characters", "scanned_batches", "query_expansion")
+
+
 def verdict_summary(spark, sf):
     c = citations(spark, sf).select(F.col("citation_id").alias("doc_id"), F.concat(F.lit("c"), F.col("citation_id")).alias("citation_id"))
     return R.verdict_summary(c, _assessed(spark, sf).where("doc_id % 10 <> 9"))
@@ -191,7 +197,7 @@ def abstract_from_inverted_index(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     strip_bibliography, chunk_passages, retrieval_terms, query_weights, term_statistics, bm25, rank_passages, plan_batches, select_passages, language, cross_language_pairs,
-    passage_evidence, verify_quotes, rollup_verdict, explain_verdict, early_stop, evidence_union, merge_batches, evidence_coverage, assess, verdict_summary, blocker_distribution,
+    passage_evidence, verify_quotes, rollup_verdict, explain_verdict, early_stop, evidence_union, merge_batches, evidence_coverage, assess, assess_coverage, verdict_summary, blocker_distribution,
     acquire_text, oa_locations, prefer_version, abstract_from_inverted_index)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -263,6 +269,8 @@ ORACLES = {
     "evidence_union": _sql("SELECT DISTINCT citation_id, 'P1' AS passage_id FROM chk WHERE located", _OK),
     "merge_batches": _sql(f"SELECT citation_id, verdict, evidence_batches FROM {_merged('pb', 'chk')}", _OK, _MERGE),
     "evidence_coverage": _sql("SELECT r.citation_id, count(*) AS passages, sum(n_chars) AS characters, any_value(s.k) AS scanned_batches FROM rk r LEFT JOIN (SELECT citation_id, count(*) AS k FROM scan GROUP BY 1) s ON s.citation_id = r.citation_id GROUP BY 1", _CHUNK, _W, _BM, _OK, _MERGE),
+    "assess_coverage": _sql("""SELECT a.doc_id, a.verdict, p.passages, p.characters, CASE WHEN p.passages IS NOT NULL THEN coalesce(k.n, 0) END AS scanned_batches, CASE WHEN p.passages IS NOT NULL THEN false END AS query_expansion FROM ans a
+        LEFT JOIN (SELECT pub_id, count(*) AS passages, sum(length(text)) AS characters FROM pass GROUP BY 1) p ON p.pub_id = a.doc_id AND a.gate IS NULL LEFT JOIN (SELECT citation_id, count(*) AS n FROM scan GROUP BY 1) k ON k.citation_id = a.doc_id""", _CHUNK, _OK, _ASSESS),
     "assess": _sql("SELECT doc_id, 'c' || doc_id AS citation_id, verdict FROM ans", _OK, _ASSESS),
     "verdict_summary": _sql("SELECT CASE WHEN doc_id % 10 = 9 THEN 'pending' ELSE verdict END AS verdict, count(*) AS n FROM ans GROUP BY 1", _OK, _ASSESS),
     "blocker_distribution": _sql("SELECT coalesce(gate, 'quotes') AS cause, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM ans WHERE verdict = 'unassessable' GROUP BY 1", _OK, _ASSESS),
