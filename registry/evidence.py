@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from refaudit.functions import retrieval as RT
 from refaudit.functions.labels import REJECTED_SUFFIX, VERDICT_EXPLANATION
-from refaudit.functions.retrieval import STOP_WORDS
+from refaudit.functions.retrieval import EN_WORDS, STOP_WORDS, TR_WORDS
 from refaudit.operators import evidence as E
 from refaudit.operators import reports as R
 from refaudit.plans import evidence as P
@@ -249,6 +249,9 @@ _ASSESS = _MERGE + f""",
 sc2 AS (SELECT c.* FROM chk c JOIN scan USING (citation_id, batch)),
 ans AS (SELECT d.doc_id, {_GATE} AS gate, CASE WHEN ({_GATE}) IS NULL THEN coalesce(m.verdict, 'unassessable') ELSE 'unassessable' END AS verdict FROM documents d LEFT JOIN {_merged('scan', 'sc2')} m ON m.citation_id = d.doc_id)"""
 
+_WORDS = lambda ws: ", ".join(f"'{w}'" for w in ws)
+_LANG = f"""lang AS (SELECT doc_id, n_chars, CASE WHEN tr > en THEN 'tr' WHEN en > tr THEN 'en' ELSE '' END AS language FROM (SELECT doc_id, n_chars, length(regexp_replace(h, '[^ğışİĞŞ]', '', 'g')) + len(list_filter(w, lambda x: x IN ({_WORDS(TR_WORDS)}))) AS tr,
+   len(list_filter(w, lambda x: x IN ({_WORDS(EN_WORDS)}))) AS en FROM (SELECT doc_id, length(text) AS n_chars, substr(text, 1, 6000) AS h, string_split_regex(lower(substr(text, 1, 6000)), '[^\\p{{L}}]+') AS w FROM documents)))"""
 _LABELS = ' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in VERDICT_EXPLANATION.items())
 
 ORACLES = {
@@ -269,6 +272,8 @@ ORACLES = {
     "evidence_union": _sql("SELECT DISTINCT citation_id, 'P1' AS passage_id FROM chk WHERE located", _OK),
     "merge_batches": _sql(f"SELECT citation_id, verdict, evidence_batches FROM {_merged('pb', 'chk')}", _OK, _MERGE),
     "evidence_coverage": _sql("SELECT r.citation_id, count(*) AS passages, sum(n_chars) AS characters, any_value(s.k) AS scanned_batches FROM rk r LEFT JOIN (SELECT citation_id, count(*) AS k FROM scan GROUP BY 1) s ON s.citation_id = r.citation_id GROUP BY 1", _CHUNK, _W, _BM, _OK, _MERGE),
+    "language": "WITH " + _LANG + " SELECT doc_id, language FROM lang",
+    "cross_language_pairs": _sql("SELECT a.citation_id, 'tr' AS source, l.language AS target, 'term' AS term FROM asked a JOIN lang l ON l.doc_id = a.pub_id WHERE l.n_chars > 12000 AND l.language = 'en'", _LANG),
     "assess_coverage": _sql("""SELECT a.doc_id, a.verdict, p.passages, p.characters, CASE WHEN p.passages IS NOT NULL THEN coalesce(k.n, 0) END AS scanned_batches, CASE WHEN p.passages IS NOT NULL THEN false END AS query_expansion FROM ans a
         LEFT JOIN (SELECT pub_id, count(*) AS passages, sum(length(text)) AS characters FROM pass GROUP BY 1) p ON p.pub_id = a.doc_id AND a.gate IS NULL LEFT JOIN (SELECT citation_id, count(*) AS n FROM scan GROUP BY 1) k ON k.citation_id = a.doc_id""", _CHUNK, _OK, _ASSESS),
     "assess": _sql("SELECT doc_id, 'c' || doc_id AS citation_id, verdict FROM ans", _OK, _ASSESS),
