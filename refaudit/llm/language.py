@@ -25,7 +25,7 @@ FEW_HOSTS = 100_000
 SALTS = 16
 #: Parts that each language's rows are split into when the sample is drawn.
 PARTS = 64
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def gram_codes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +170,8 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, labe
         return pd.Series(np.where(n > 0, likely.argmax(axis=1), -1))
 
     said = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in languages]), declared_language(declared)).cast("int"), F.lit(0)) - 1  # -1: nothing usable
-    evidence = docs.select(*[c.alias(n) for n, c in _levels(host)], said.alias("said"), text_class(text).alias("best")).filter("best >= 0")
-    evidence = stage_table(evidence.groupBy("_suffix", "_domain", "_host", "said", "best").agg(F.count("*").alias("n")), "language-evidence")
+    evidence = docs.select(*[c.alias(n) for n, c in _levels(host)], said.alias("said"), text_class(text).alias("best"))
+    evidence = stage_table(evidence.groupBy("_suffix", "_domain", "_host", "said", "best").agg(F.count("*").alias("n")), "language-evidence").filter("best >= 0")  # a filter before would run the model twice
     priors, world = host_priors(evidence, classes)
     priors = stage_table(priors, "language-priors")
 
