@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,11 @@ SEQUENCE = 2048
 END_ID = 2
 #: Sequences in a record batch of the file.
 BATCH = 64
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pieces of words whose ids a worker remembers.
+REMEMBERED = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
+#: Letters that end in an ASCII letter, then ASCII signs (no apostrophe, which the vocabulary may join to letters).
+CUT = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:-@\[-_{-~]*)").fullmatch
 
 
 @functools.lru_cache(maxsize=2)
@@ -33,26 +37,32 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
+def _pieces(word: bytes) -> tuple[bytes, ...]:
+    """A word as parts that the vocabulary never joins: letters in lower case and the signs behind them; else the word itself."""
+    found = None if b"<|" in word else CUT(word)
+    return (found[1].lower(), found[2]) if found and found[2] else (found[1].lower(),) if found else (word,)
+
+
 def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each text closed by ``end_id``; and the number of ids of each text.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text are those of its words: each distinct
-    word goes through the tokenizer once and its ids are copied to every place. Only words are remembered, up to a bound.
+    The vocabulary drops white space, ignores case and never joins across white space or from a letter to a sign, so the ids of
+    a text are those of its words, and a word's those of its pieces: each distinct piece goes through the tokenizer once and its
+    ids are copied to every place. Only pieces are remembered, up to a bound.
     """
     tokenizer, known = _tokenizer(path)
     codes, counts, words = word_codes(texts)
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = words
-    for word, coded in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-        known[word] = coded.ids
-    parts = [known[w] for w in words]
-    if len(known) > REMEMBERED:
+    cut = [_pieces(w) for w in words]
+    needed = {p for x in cut for p in x}
+    if len(known) + len(needed) > REMEMBERED:
         known.clear()
-    parts.append([end_id])
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    pool = np.fromiter((i for p in parts for i in p), np.uint32, int(sizes.sum()))
+    new = [p for p in needed if p not in known]
+    for piece, coded in zip(new, tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+        known[piece] = array("I", coded.ids).tobytes()
+    parts = [known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]] for x in cut]
+    parts.append(array("I", [end_id]).tobytes())
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    pool = np.frombuffer(b"".join(parts), np.uint32)
     starts = np.cumsum(sizes) - sizes
     places = np.insert(codes, np.cumsum(counts), len(parts) - 1)  # the end mark after each text's last word
     lengths = sizes[places]
