@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +32,21 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD_OUT for i in ids], bool)
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _packed(codes: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending token numbers and their counts, as compressed byte planes of the steps between them."""
+    both = np.stack([np.diff(codes, prepend=0), times]).astype("<u4")
+    return zstandard.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-TEXT_ROWS = pa.schema([("blk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("codes", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    steps, times = np.ascontiguousarray(planes.T).view("<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int64), times.astype(np.int64)
+
+
+TEXT_ROWS = pa.schema([("blk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("codes", pa.binary()),
                        ("code", pa.int32()), ("token", pa.binary()), ("trained", pa.int64())])
-TEXT_DDL = "blk long, doc_id long, held_out boolean, n_tokens long, codes array<int>, times array<int>, code int, token binary, trained long"
+TEXT_DDL = "blk long, doc_id long, held_out boolean, n_tokens long, codes binary, code int, token binary, trained long"
 
 
 def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
@@ -53,8 +62,9 @@ def _count_block(blk: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordB
     keys, times = np.unique(np.repeat(np.arange(len(texts)), counts) * size + places, return_counts=True)
     held = held_out(ids)
     trained = np.bincount(keys % size, np.where(held[keys // size], 0, times), size).astype(np.int64)
-    ends = np.cumsum(np.bincount(keys // size, minlength=len(texts)))
-    yield _rows(TEXT_ROWS, len(texts), blk=[blk] * len(texts), doc_id=ids, held_out=held, n_tokens=counts, codes=_lists(keys % size, ends), times=_lists(times, ends))
+    ends = np.cumsum(np.bincount(keys // size, minlength=len(texts))).tolist()
+    packed = [_packed(keys[s:e] % size, times[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    yield _rows(TEXT_ROWS, len(texts), blk=[blk] * len(texts), doc_id=ids, held_out=held, n_tokens=counts, codes=packed)
     yield _rows(TEXT_ROWS, size, blk=[blk] * size, code=np.arange(size, dtype=np.int32), token=[*words, b""], trained=trained)
 
 
@@ -204,9 +214,9 @@ def _text_scores(total: int, distinct: int, weight: float):
         trained, logp = np.zeros(size), np.zeros(size)
         trained[order], logp[order] = np.asarray(words.column("trained")), np.asarray(words.column("logp"))
         base = np.log10((trained + 0.5) / (total + 0.5 * (distinct + 1)))
-        codes, times = texts.column("codes").combine_chunks(), texts.column("times").combine_chunks()
-        at, n = np.asarray(codes.flatten()), np.asarray(times.flatten())
-        starts = np.cumsum(np.asarray(pc.list_value_length(codes))) - np.asarray(pc.list_value_length(codes))
+        at, n = zip(*map(_unpacked, texts.column("codes").to_pylist()), strict=True)
+        sizes = np.fromiter(map(len, at), np.int64, len(at))
+        at, n, starts = np.concatenate(at), np.concatenate(n), np.cumsum(sizes) - sizes
         known = np.add.reduceat(n * (trained[at] > 0), starts)
         # A token's first place in the text is spelled by the trie; at its later ones the text's own counts weigh in.
         again = np.repeat(np.arange(len(at)), n - 1)
@@ -239,7 +249,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wei
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counted = stage_table(rows.mapInArrow(_count, TEXT_DDL), "ppm-texts")
-    texts = counted.filter("codes IS NOT NULL").select("blk", "doc_id", "held_out", "n_tokens", "codes", "times")
+    texts = counted.filter("codes IS NOT NULL").select("blk", "doc_id", "held_out", "n_tokens", "codes")
     words = counted.filter("token IS NOT NULL").select("blk", "code", "token", "trained")
     vocabulary = words.groupBy("token").agg(F.sum("trained").alias("trained"))
     blocks = stage_table(vocabulary.mapInArrow(_steps, "blk long, token binary, trained long, step long, times long"), "ppm-steps")
