@@ -18,7 +18,7 @@ from refaudit.session import stage_table
 #: Longest context in bytes, the blank before the word included.
 ORDER = 6
 #: Bytes of text, and distinct words, that share one dictionary.
-TEXT_BLOCK = 8 << 20
+TEXT_BLOCK = 14 << 20
 WORD_BLOCK = 50_000
 #: Symbols: the 256 bytes and the end of the text.
 END, SYMBOLS = 256, 257
