@@ -1,10 +1,13 @@
 """Document fingerprints (operator 9): SpotSigs signatures and pruned Jaccard, DataFrame functions only."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refaudit.llm.common import table
+from refaudit.operators.shaping import with_computed
 from refaudit.session import stage_table
 
 # Common words of English, French, German and Spanish that anchor a signature. Fixed values.
@@ -28,21 +31,25 @@ def _trie(words: list[str]) -> str:
     return f"(?:{inner}){'?' if ends else ''}" if inner else ""
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct 32-bit codes of a text's spot signatures (array of ints).
+def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the sorted distinct 32-bit codes of the text's spot signatures (array of ints).
 
     Words are runs of letters, lower-cased. The text is cut behind each run of anchors and before each word that begins with
     an opening letter; each cut gives the chain of the two content words that follow (the second one, if need be, from behind
-    the next cut). The start of a text is a cut. A text without letters is cut into words at blanks instead. Empty: no codes.
+    the next cut). The start of a text is a cut. A text without letters is cut into words at blanks instead. NULL and empty texts:
+    no codes. Each step is computed once per row: later steps refer to it several times.
     """
-    letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-    plain = F.when(letters == "", F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))).otherwise(letters)
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    df = with_computed(df, _letters=F.trim(F.regexp_replace(F.lower(text_), r"[^\p{L}]+", " ")))
+    blank_cut = F.trim(F.regexp_replace(text_, r"[\x20\x09-\x0D]+", " "))
+    df = with_computed(df, _plain=F.when(F.col("_letters") == "", blank_cut).otherwise(F.col("_letters")))
     cut = f"(?: {_trie(ANCHORS)}(?= |$))++(?: |$)| (?=[{OPENERS}])|^ "
-    places = F.filter(F.split(F.concat(F.lit(" "), plain), cut), lambda x: x != "")
+    df = with_computed(df, _places=F.filter(F.split(F.concat(F.lit(" "), F.col("_plain")), cut), lambda x: x != ""))
+    places = F.col("_places")
     chains = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda x, y: F.hash(
         F.when(F.contains(x, F.lit(" ")), F.substring_index(x, " ", 2)).otherwise(F.concat(x, F.lit(" "), F.coalesce(F.substring_index(y, " ", 1), F.lit(""))))))
-    codes = F.when(F.size(places) == 0, F.array(F.hash(plain))).otherwise(chains)  # anchors alone
-    return F.when(plain == "", F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(codes)))
+    codes = F.when(F.col("_plain") == "", F.array().cast("array<int>")).when(F.size(places) == 0, F.array(F.hash("_plain"))).otherwise(F.array_sort(F.array_distinct(chains)))  # middle: anchors alone
+    return with_computed(df, **{name: codes}).drop("_letters", "_plain", "_places")
 
 
 def fingerprint(codes: Column) -> Column:
@@ -70,7 +77,8 @@ def near_duplicates(docs: DataFrame, floor: float = 0.8, text: str = "text", doc
     same or neighbouring length partitions on one of their rarest codes: of ``n`` codes in order of frequency the first
     ``n - ceil(floor * n) + 1`` suffice, and only a pair's first common code lets it through. NULL ids are kept apart from pairs.
     """
-    coded = stage_table(docs.select(F.col(doc_id).alias("doc_id"), signatures(F.coalesce(F.col(text), F.lit(""))).alias("codes")).withColumn("key", F.sha2(fingerprint(F.col("codes")), 256)), "spot-codes")
+    rows = with_signatures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "codes").drop("text")
+    coded = stage_table(rows.withColumn("key", F.sha2(fingerprint(F.col("codes")), 256)), "spot-codes")
     classes = coded.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"))
     classes = stage_table(classes.filter("class_id IS NOT NULL AND size(codes) > 0"), "spot-classes")
     placed = classes.select("class_id", F.explode("codes").alias("code"))
@@ -87,9 +95,11 @@ def near_duplicates(docs: DataFrame, floor: float = 0.8, text: str = "text", doc
     return coded.join(coded.groupBy("key").agg(F.min("doc_id").alias("class_id")), "key").select("doc_id", "class_id"), links
 
 
-def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, order: str, carried: list[str], enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add ``next_<c>`` for each carried column: its value in the next row by ``order`` ascending (NULL last); after the last row, the first.
 
+    ``enrich`` adds carried columns that are costly to compute; it runs once, on rows that already know their bucket.
+
     Rows are ordered inside buckets of consecutive ids, ``BUCKET`` rows on average, and at most so many where ids are dense and
     unique. The first row of each bucket is copied behind the rows of the bucket before, so the carried columns are shuffled
     once and no bucket waits for another. Which bucket comes before is read from a table of one row per bucket.
@@ -108,7 +118,7 @@ def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     guards = rows.join(heads, F.col(order).eqNullSafe(heads["_order"]) & (rows["_tie"] == heads["_tie"])).select(*docs.columns, heads["_before"].alias("_bucket"), rows["_tie"], F.lit(1).alias("_guard"))
     both = rows.withColumn("_guard", F.lit(0)).unionByName(guards)
     ahead = Window.partitionBy("_bucket").orderBy("_guard", F.col(order).asc_nulls_last(), "_tie")
-    led = both.select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in carried])
+    led = enrich(both).select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in carried])
     return led.filter("_guard = 0").drop("_bucket", "_tie", "_guard")
 
 
@@ -120,11 +130,10 @@ def compare_with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     last; rows that repeat an id follow each other by a hash of their text; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("codes", signatures(F.col("text"))), "doc_id", ["text", "codes"])
+    rows = with_next(rows, "doc_id", ["text", "codes"], lambda df: with_signatures(df, "text", "codes"))
     tail = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - tail), F.substring(F.col("next_text"), F.lit(1), tail))
-    rows = rows.withColumn("edited", edited)
-    rows = rows.withColumn("edited_codes", signatures(F.col("edited")))
+    rows = with_signatures(with_computed(rows, edited=edited), "edited", "edited_codes")
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("codes")).alias("fingerprint"),
                        fingerprint(F.col("edited_codes")).alias("edited_fingerprint"), pruned_jaccard(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
                        pruned_jaccard(F.col("codes"), F.col("next_codes")).alias("near_next"))

@@ -181,7 +181,7 @@ def test_spot_pairs_lose_no_link(spark):
         texts.append(" ".join(words))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, texts[0])], "doc_id long, text string")
     members, links = spotsigs.near_duplicates(df, 0.7)
-    codes = {r[0]: set(r[1]) for r in df.filter("doc_id < 99").select("doc_id", spotsigs.signatures(F.col("text"))).collect()}
+    codes = {r[0]: set(r[1]) for r in spotsigs.with_signatures(df.filter("doc_id < 99"), "text", "codes").select("doc_id", "codes").collect()}
     classes = {r["doc_id"]: r["class_id"] for r in members.collect()}
     assert classes[99] == 0
     ids = sorted(set(classes.values()))
