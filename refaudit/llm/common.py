@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def slices(values: pa.Array | pa.ChunkedArray, limit: int = 4 << 20) -> Iterator
     """Cut a string column into runs of rows of about ``limit`` bytes: (first row, texts as bytes; NULL as empty)."""
     values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     values = values.cast(pa.large_binary())
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0))
     ends = np.cumsum(sizes)
     at = 0
     while at < len(values):
