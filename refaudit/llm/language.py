@@ -12,7 +12,7 @@ from refaudit.llm.common import shield, shielded, table
 from refaudit.session import stage_table
 
 LANGUAGES = ("en", "fr", "de", "es")
-#: Labelled rows per language that the text model is fitted on, the smallest by a hash of the text. Everything else covers all rows.
+#: Different labelled texts per language that the text model is fitted on, the smallest by hash. Everything else covers all rows.
 SAMPLE = 3000
 #: Hashed character trigrams in the text model.
 GRAMS = 1 << 15
@@ -59,12 +59,18 @@ def _runs(texts: pd.Series):
 def fit_text_model(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
     """Log-probability of each trigram (rows) under each language and, last, under none (uniform).
 
-    ``labelled(text, label)``: the ``sample`` rows per language with the smallest text hashes are counted; what reaches the
+    ``labelled(text, label)``: the ``sample`` different texts per language with the smallest hashes are counted; what reaches the
     driver is one count per trigram code and language. A language without labels is uniform as well.
     """
-    chosen = labelled.filter(F.col("label").isin(*languages) & F.col("text").isNotNull()).withColumn("_hash", F.xxhash64("text")).withColumn("_salt", F.pmod("_hash", F.lit(PARTS)))
+    known = labelled.filter(F.col("label").isin(*languages) & F.col("text").isNotNull()).withColumn("_hash", F.xxhash64("text"))
+    ranked = known.select("label", "_hash", F.pmod("_hash", F.lit(PARTS)).alias("_salt")).distinct()
     for keys in (["label", "_salt"], ["label"]):  # the first of each part, then of those: no task orders a whole language
-        chosen = chosen.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))).filter(F.col("_turn") <= sample)
+        ranked = ranked.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))).filter(F.col("_turn") <= sample)
+    last = ranked.groupBy("label").agg(F.max("_hash")).collect()  # one row per language; only hashes were shuffled so far
+    inside = F.lit(False)
+    for label, limit in last:
+        inside = inside | ((F.col("label") == label) & (F.col("_hash") <= limit))
+    chosen = known.filter(inside).groupBy("label", "_hash").agg(F.first("text").alias("text"))
 
     def count(batches):
         for rows in batches:
