@@ -157,8 +157,9 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, labe
 
     A row is rejected if its text has no trigram of letters, if none of the languages is likelier than not, or if its language is
     not in ``accept`` (all by default). NULL or empty texts are rejected with language NULL; NULL, unknown or malformed
-    declarations and NULL hosts are neutral; repeated rows each count; an empty table gives an empty result; a column of the
-    input with one of the added names is replaced.
+    declarations and NULL hosts are neutral; repeated rows each count; an empty table gives an empty result; without any
+    labelled row no text can be told from another and none is accepted; a column of the input with one of the added names is
+    replaced.
     """
     added = ("language", "probability", "grams", "accepted")
     plain, _, restore = shield(docs, added)
