@@ -22,6 +22,8 @@ DROP_PRINTS, DROP_RADIUS = 10, 4
 BUCKET = 4096
 #: Buckets with so few free bits hold at most 2^SMALL different fingerprints and are always compared in one piece.
 SMALL = 12
+#: Linked nodes that a task remembers before their edges leave.
+REMEMBERED = 500_000
 
 
 def _mixed(h: np.ndarray, number: int) -> np.ndarray:
@@ -80,7 +82,7 @@ def _signed(x: int) -> int:
 
 def _forest(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Edges (node, root) that connect what is linked among the members: fewer than there are members."""
-    order = np.argsort(prints, kind="stable")
+    order = np.lexsort((nodes, prints))
     prints, nodes = prints[order], nodes[order]
     new = np.concatenate([[True], prints[1:] != prints[:-1]])
     heads = np.flatnonzero(new)
@@ -106,24 +108,32 @@ def _linker(masks: list[int], radius: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket. A bucket of up to ``limit`` rows is linked here; a larger one goes on to be split.
 
-        Holds one bucket's first rows, up to ``limit``; the edges of one batch leave together.
+        Holds one bucket's first rows, up to ``limit``, and for up to ``REMEMBERED`` linked nodes the smallest node each is linked to
+        so far: a node that meets the same group in many tables leaves as one edge.
         """
         bucket, prints, nodes, size, splitting = None, [], [], 0, False
-        ends, roots, far = [], [], []
+        far: list = []
+        top: dict[int, int] = {}  # of the nodes linked so far, one that is not larger
+
+        def find(x: int) -> int:
+            while (y := top.get(x, x)) != x:
+                top[x] = x = top.get(y, y)
+            return x
+
+        def link(ends: list[int], roots: list[int]):
+            for a, b in zip(map(find, ends), roots, strict=True):
+                b = find(b)
+                top[max(a, b)] = top[min(a, b)] = min(a, b)
 
         def close():
             if size > 1 and not splitting:
-                e, r = _forest(np.concatenate(prints), np.concatenate(nodes), radius)
-                ends.extend(e)
-                roots.extend(r)
+                link(*_forest(np.concatenate(prints), np.concatenate(nodes), radius))
 
-        def frame():
-            out = pd.DataFrame({"a": np.array(ends, np.int64), "b": np.array(roots, np.int64), "fp": np.int64(0), "t": np.int32(-1)})
-            if far:
-                out = pd.concat([out, *[pd.DataFrame({"a": n, "b": n, "fp": p.view(np.int64), "t": np.int32(t)}) for t, p, n in far]], ignore_index=True)
-            for x in (ends, roots, far):
-                x.clear()
-            return out
+        def linked():
+            ends = list(top)
+            out = pd.DataFrame({"a": np.array(ends, np.int64), "b": np.array(list(map(find, ends)), np.int64), "fp": np.int64(0), "t": np.int32(-1)})
+            top.clear()
+            return out[out["a"] != out["b"]]
 
         for rows in batches:
             t, fp, node = (rows[c].to_numpy() for c in ("t", "fp", "node"))
@@ -147,15 +157,18 @@ def _linker(masks: list[int], radius: int, limit: int):
                     else:  # few different fingerprints, perhaps many rows of each: link equal ones and go on with one of each
                         p, n = np.concatenate(prints), np.concatenate(nodes)
                         ones, first, inverse = np.unique(p, return_index=True, return_inverse=True)
-                        ends.extend(n.tolist())
-                        roots.extend(n[first][inverse].tolist())
+                        link(n.tolist(), n[first][inverse].tolist())
                         prints, nodes, size = [ones], [n[first]], len(ones)
                 if splitting:
                     far += [(int(t[s]), p, n) for p, n in zip(prints, nodes, strict=True)]
                     prints, nodes = [], []
-            yield frame()
+            if far:
+                yield pd.concat([pd.DataFrame({"a": n, "b": n, "fp": p.view(np.int64), "t": np.int32(t)}) for t, p, n in far], ignore_index=True)
+                far.clear()
+            if len(top) > REMEMBERED:
+                yield linked()
         close()
-        yield frame()
+        yield linked()
     return run
 
 
