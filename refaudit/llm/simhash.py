@@ -16,7 +16,7 @@ BITS = 64
 SHINGLE = 3
 RADIUS = 3
 #: Fingerprints per text and radius where near copies are to be dropped: three-word shingles, independent hashes. A pair that shares 0.85 of
-#: its five-word shingles lies within four bits in at least one of them in 95 of 100 cases, one that shares 0.9 in 99.
+#: its five-word shingles lies within four bits in at least one of them in over 90 of 100 cases, one that shares 0.9 in 99 (simulated).
 DROP_PRINTS, DROP_RADIUS = 10, 4
 #: A bucket with more fingerprints than this is split on further masks instead of being compared in one piece.
 BUCKET = 4096
