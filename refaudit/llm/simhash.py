@@ -69,10 +69,12 @@ def covering_masks(radius: int, bits: list[int]) -> list[int]:
 
     Bit i gets a vector of radius + 1 binary digits and mask v holds the bits whose vector has an odd product with v. The
     vectors of ``radius`` bits span at most that many dimensions, so some v is orthogonal to them all: two fingerprints that
-    differ in those bits only agree on mask v.
+    differ in those bits only agree on mask v. The digits' own vectors come first: with more than ``radius`` bits they all occur,
+    so no mask is empty.
     """
-    vectors = (1 << (radius + 1)) - 1
-    code = {bit: place % vectors + 1 for place, bit in enumerate(bits)}
+    digits, vectors = [1 << i for i in range(radius + 1)], (1 << (radius + 1)) - 1
+    codes = digits + sorted(set(range(1, vectors + 1)).difference(digits), key=lambda v: xxhash.xxh64_intdigest(v.to_bytes(8, "little"), 42))
+    code = {bit: codes[place % vectors] for place, bit in enumerate(bits)}
     return [sum(1 << bit for bit in bits if (code[bit] & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
@@ -152,7 +154,7 @@ def _linker(masks: list[int], radius: int, limit: int):
                 nodes.append(node[s:e])
                 size += e - s
                 if size > limit:
-                    if free[t[s]] > SMALL:
+                    if free[t[s]] > max(SMALL, radius):
                         splitting = True
                     else:  # few different fingerprints, perhaps many rows of each: link equal ones and go on with one of each
                         p, n = np.concatenate(prints), np.concatenate(nodes)
@@ -177,9 +179,9 @@ def links(points: DataFrame, radius: int = RADIUS, prints: int = 1, limit: int =
 
     Each fingerprint enters one table per covering mask, so every pair within the radius meets in one. A bucket of a mask is
     linked in memory, giving fewer edges than members. A bucket of more than ``limit`` rows is split: its members enter a
-    covering of the bits that the mask leaves free, which again loses no pair. Each split about halves the free bits, and a
-    bucket with f free bits holds at most 2^f different fingerprints; one with ``SMALL`` free bits or fewer is not split
-    further, so this ends for any input.
+    covering of the bits that the mask leaves free, which again loses no pair. No sub-mask is empty, so each split leaves fewer
+    free bits (about half), and a bucket with f free bits holds at most 2^f different fingerprints; one with ``SMALL`` (or
+    ``radius``) free bits or fewer is not split further, so this ends for any input.
     """
     covering = covering_masks(radius, list(range(BITS)))
     masks = covering * prints

@@ -123,6 +123,20 @@ def test_simhash_dense_bucket(spark):
     assert [roots.get(i, i) for i in range(len(values))] == want
 
 
+def test_simhash_splits_at_the_wider_radius(spark):
+    """Every sub-mask at radius 4 grows and the covering still meets every pair; a bucket over the limit is split to its end."""
+    from itertools import combinations
+    for n in (13, 14, 15, 30, 32):
+        masks = simhash.covering_masks(4, list(range(n)))
+        assert all(masks)
+        assert all(any(not sum(1 << f for f in flips) & m for m in masks) for flips in combinations(range(min(n, 15)), 4))
+    base = int(np.random.default_rng(2).integers(1 << 62))
+    values = [base ^ (3 << i) for i in range(12)]
+    points = spark.createDataFrame([(i, [v]) for i, v in enumerate(values)], "node long, fps array<long>")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(points, 4, limit=4), "t").collect()}
+    assert [roots.get(i, i) for i in range(12)] == brute_components(values, 4)
+
+
 def test_near_deduplicate(spark):
     texts = near_texts(30)
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (None, "alone in the world of words", "s")], "doc_id long, text string, _sig string")
