@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "sharding", "exact_dedup", "language", "ppm", "packing", "token_files", "warc", "spotsigs", "mixing")
+MODULES = ("simhash", "sharding", "exact_dedup", "language", "ppm", "packing", "token_files", "warc", "spotsigs", "mixing", "tokenizer_spans", "decontamination", "fim")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
