@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
+from operator import attrgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +24,8 @@ from refaudit.session import stage_table
 REMEMBERED = 300_000
 #: Id pairs that are broadcast at once (16 bytes each before hashing); more of them are looked up block by block.
 BLOCK = 2_000_000
+#: Chunks that are encoded as one text.
+JOINED = 500
 #: Links of a group above which they are counted by distinct ids.
 WIDE = 4096
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -82,27 +85,40 @@ class Pair:
         self.asked = np.zeros(0, np.int64)
         self.pool: Aligned | None = None
 
-    def align(self, texts: list[str]) -> tuple[np.ndarray, Aligned]:
-        """Each non-empty text aligned as a blank and the text. Also tells which texts the entries' bytes give back; the others are left out."""
+    def _spans(self, texts: list[str]):
+        """Which texts the entries' bytes give back; of those one after another the ids and byte ends of both sides, and each text's bytes and tokens."""
         coded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        protos = [p.pieces for p in self.b.encode(texts, return_type="proto", num_threads=1)]
+        pieces = [p.pieces for p in self.b.encode(texts, return_type="proto", num_threads=1)]
         data = [(" " + t).encode() for t in texts]
-        a_ids, n_a = _flat([e.ids for e in coded])
-        b_ids, n_b = _flat([[x.id for x in own] for own in protos])
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(texts)) for side in (coded, pieces))
+        a_ids = np.fromiter(chain.from_iterable(map(attrgetter("ids"), coded)), np.int64, n_a.sum())
+        chars = np.fromiter(chain.from_iterable(chain.from_iterable(map(attrgetter("offsets"), coded))), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        b_ids, b_to = np.fromiter(chain.from_iterable(map(attrgetter("id", "end"), chain.from_iterable(pieces))), np.int64, 2 * n_b.sum()).reshape(-1, 2).T
         good = given_back(data, a_ids, n_a, self.a_bytes, self.a_sizes) & given_back(data, b_ids, n_b, self.b_bytes, self.b_sizes)
         if not good.all():
-            coded, protos, data = ([x for x, ok in zip(side, good.tolist(), strict=True) if ok] for side in (coded, protos, data))
-            a_ids, b_ids, n_a, n_b = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)], n_a[good], n_b[good]
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
+            in_a, in_b = np.repeat(good, n_a), np.repeat(good, n_b)
+            data = [d for d, ok in zip(data, good.tolist(), strict=True) if ok]
+            a_ids, chars, b_ids, b_to, n_a, n_b, sizes = a_ids[in_a], chars[in_a], b_ids[in_b], b_to[in_b], n_a[good], n_b[good], sizes[good]
         index = ExceptionIndex(np.frombuffer(b"".join(data), np.uint8))
         starts = np.cumsum(sizes) - sizes
-        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in coded)), np.int64, 2 * len(a_ids)).reshape(-1, 2)
-        spans += np.repeat(index.to_chars(starts), n_a)[:, None]
-        a_ends = refined(index.to_bytes(spans[:, 0]), index.to_bytes(spans[:, 1]), self.a_sizes[a_ids])
-        shift = np.repeat(starts + 1, n_b)  # its offsets leave out the blank before the text
-        begins, stops = np.fromiter((x.begin for own in protos for x in own), np.int64, len(b_ids)), np.fromiter((x.end for own in protos for x in own), np.int64, len(b_ids))
-        b_ends = refined(begins + shift, stops + shift, self.b_sizes[b_ids])
-        return good, self._grouped(a_ids, a_ends, b_ids, b_ends, n_a, n_b, starts + sizes)
+        a_ends = refined(index.to_bytes(chars[:, 1] + np.repeat(index.to_chars(starts), n_a)), self.a_sizes[a_ids])
+        b_ends = refined(b_to + np.repeat(starts + 1, n_b), self.b_sizes[b_ids])  # its offsets leave out the blank before the text
+        return good, (a_ids, a_ends, b_ids, b_ends), sizes, n_a, n_b
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, Aligned]:
+        """Each non-empty text aligned as a blank and the text. Also tells which texts the entries' bytes give back; the others are left out."""
+        good, tokens, sizes, n_a, n_b = self._spans(texts)
+        return good, self._grouped(*tokens, n_a, n_b, np.cumsum(sizes))
+
+    def align_chunks(self, chunks: list[str]) -> tuple[np.ndarray, Aligned]:
+        """The same for chunks that begin and end visibly, joined into long texts; all chunks of one that does not come back are left out."""
+        rows = [chunks[i:i + JOINED] for i in range(0, len(chunks), JOINED)]
+        good, tokens, *_ = self._spans([" ".join(r) for r in rows])
+        good = np.repeat(good, [len(r) for r in rows])
+        stops = np.cumsum([len(c.encode()) + 1 for c, ok in zip(chunks, good.tolist(), strict=True) if ok], dtype=np.int64)
+        n_a, n_b = (np.bincount(np.searchsorted(stops, ends), minlength=len(stops)) for ends in tokens[1::2])
+        return good, self._grouped(*tokens, n_a, n_b, stops)
 
     def _grouped(self, a_ids, a_ends, b_ids, b_ends, n_a, n_b, stops) -> Aligned:
         """Cut both sides where they end together; every token of a group is linked to every token of its other side."""
@@ -140,13 +156,19 @@ class Pair:
         if len(self.known) + len(needed) > REMEMBERED and self.pool:
             self._forget()
         new = [p for p in needed if p not in self.known]
+        joined = [p for p in new if not (p[0].isspace() or p[-1].isspace())]
+        apart = [p for p in new if p[0].isspace() or p[-1].isspace()]
         parts = [self.pool] if self.pool else []
         at = len(self.pool.n_a) if self.pool else 0
-        for i in range(0, len(new), 20_000):
-            good, own = self.align(new[i:i + 20_000])
-            self.known.update(zip(new[i:i + 20_000], np.where(good, at + np.cumsum(good) - 1, -1).tolist(), strict=True))
-            at += int(good.sum())
-            parts.append(own)
+        for names, run in ((joined, self.align_chunks), (apart, self.align)):
+            for i in range(0, len(names), 20_000):
+                some = names[i:i + 20_000]
+                good, own = run(some)
+                self.known.update(zip(some, np.where(good, at + np.cumsum(good) - 1, -1).tolist(), strict=True))
+                at += int(good.sum())
+                parts.append(own)
+                if names is joined:
+                    apart += [p for p, ok in zip(some, good.tolist(), strict=True) if not ok]
         if new:
             self.pool = _stacked(parts)
             self.asked = np.append(self.asked, np.zeros(at - len(self.asked), np.int64))
@@ -161,14 +183,9 @@ class Pair:
         self.pool, self.asked = _chosen(self.pool, which), np.zeros(len(which), np.int64)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum()), sizes
-
-
 def given_back(data: list[bytes], ids: np.ndarray, counts: np.ndarray, entries: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """Which texts the bytes of their tokens' entries make up."""
-    joined = b"".join([entries[i] for i in ids.tolist()])
+    joined = b"".join(map(entries.__getitem__, ids.tolist()))
     to = np.append(0, np.cumsum(lengths[ids]))[np.cumsum(counts)]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     if len(joined) == sizes.sum() and (to == np.cumsum(sizes)).all() and joined == b"".join(data):
@@ -186,13 +203,12 @@ def merged(owner: np.ndarray, pairs: np.ndarray, links: np.ndarray, n: int) -> t
     return pairs[first], np.add.reduceat(links[order], first), np.bincount(owner[first], minlength=n)
 
 
-def refined(begins: np.ndarray, stops: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Byte offset behind each token. A span's end is a cut where the next span begins at or behind it and the entries' bytes end
-    there too; tokens that share a character, or have an empty span, are placed by their bytes.
+def refined(stops: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Byte offset behind each token. A span's end is a cut where the spans advance and the entries' bytes end there too; tokens that
+    share a character, or have an empty span, are placed by their bytes.
     """
     by_bytes = np.cumsum(lengths)
-    coarse = np.append(begins[1:] >= stops[:-1], np.ones(min(1, len(stops)), bool))
-    return np.where(coarse & (stops > begins) & (stops == by_bytes), stops, by_bytes)
+    return np.where((np.diff(stops, prepend=0) > 0) & (stops == by_bytes), stops, by_bytes)
 
 
 @functools.lru_cache(maxsize=2)

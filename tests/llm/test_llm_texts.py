@@ -195,7 +195,7 @@ def test_coarse_cuts_are_refined(pair):
     lengths = np.array([len(pair.a_bytes[i]) for i in coded.ids])
     coarse = index.to_bytes(spans[:, 1])
     assert len(set(coarse.tolist())) < len(coarse)  # spans alone are not enough
-    assert tokenizer_spans.refined(index.to_bytes(spans[:, 0]), coarse, lengths).tolist() == np.cumsum(lengths).tolist()
+    assert tokenizer_spans.refined(coarse, lengths).tolist() == np.cumsum(lengths).tolist()
 
 
 def test_alignment_query(spark, pair, tmp_path):
