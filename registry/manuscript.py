@@ -82,16 +82,22 @@ def extract_references(spark, sf):
     return C.extract_references(_paragraphs(spark, sf)).select("doc_id", "ref_id", "raw", "author", "year_key", F.size("authors").alias("n_authors"))
 
 
+def _body(p: DataFrame) -> DataFrame:
+    """Paragraphs outside the bibliography."""
+    limits = C.bibliography_range(p).select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return p.join(limits, "doc_id", "left").where(~F.coalesce(F.col("idx").between(F.col("_s"), F.col("_e")), F.lit(False))).drop("_s", "_e")
+
+
 def extract_citations(spark, sf):
-    p = _paragraphs(spark, sf).where(F.col("idx") < 100000)
-    out = C.extract_citations(p, C.extract_references(_paragraphs(spark, sf)))
+    p = _paragraphs(spark, sf)
+    out = C.extract_citations(_body(p), C.extract_references(p))
     return out.select("doc_id", "paragraph_id", "start", "end", "author_text", "author_start", "year_key", "narrative", "protected", F.array_join("authors", "|").alias("authors"))
 
 
 def narrative_authors(spark, sf):
-    p = _paragraphs(spark, sf).where(F.col("idx") < 100000)
-    cands = C.citation_candidates(p).where("narrative")
-    return C.narrative_authors(cands, C.extract_references(_paragraphs(spark, sf))).select("doc_id", "paragraph_id", "author_text", "author_start")
+    p = _paragraphs(spark, sf)
+    cands = C.citation_candidates(_body(p)).where("narrative")
+    return C.narrative_authors(cands, C.extract_references(p)).select("doc_id", "paragraph_id", "author_text", "author_start")
 
 
 def is_citation_segment(spark, sf):
