@@ -25,6 +25,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def before_each(lengths: Column, block: int = 64) -> Column:
+    """Sum of the lengths before each element: totals of blocks first, so that no element adds up all before it."""
+    def inside(a: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(lengths, a + 1, b - a), F.lit(0), lambda acc, x: acc + x)
+
+    def placed(sums: Column) -> Column:
+        return F.transform(lengths, lambda _, i: sums[(i / block).cast("int")] + inside((i / block).cast("int") * block, i))
+    n = F.size(lengths)
+    totals = F.transform(F.sequence(F.lit(0), (n / block).cast("int")), lambda b: inside(b * block, F.least(n, (b + 1) * block)))
+    return let(let(totals, lambda t: F.transform(t, lambda _, b: F.aggregate(F.slice(t, F.lit(1), b), F.lit(0), lambda acc, x: acc + x))), placed)
+
+
 def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
@@ -299,11 +311,11 @@ def sentence_slices(c: Column) -> Column:
     pieces = F.split(F.coalesce(c, F.lit("")), _SENTENCE_END)
 
     def located(ps: Column) -> Column:
-        ends = F.transform(ps, lambda p: F.length(p))
+        return let(F.transform(ps, F.length), lambda n: let(before_each(n), lambda starts: placed(ps, starts)))
 
+    def placed(ps: Column, starts: Column) -> Column:
         def row(p: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(ends, 1, i), F.lit(0), lambda a, x: a + x)
-            return F.struct(trim_ws(p).alias("text"), start.alias("start"), (start + F.length(p)).alias("end"))
+            return F.struct(trim_ws(p).alias("text"), starts[i].alias("start"), (starts[i] + F.length(p)).alias("end"))
         return F.filter(F.transform(ps, row), lambda s: s["text"] != "")
     return let(pieces, located)
 

@@ -20,12 +20,10 @@ class Audit:
 
 def analyze(paragraphs: DataFrame, refs: DataFrame | None = None, ranges: DataFrame | None = None) -> Audit:
     """Extract, put in context, resolve and report. ``refs`` defaults to the bibliography found in the text."""
-    limits = C.bibliography_range(paragraphs, ranges)
-    refs = stage_table(C.extract_references(paragraphs, ranges) if refs is None else refs, "refs")
-    history = stage_table(C.paragraph_history(paragraphs, limits), "history")
-    body = history.select("doc_id", "paragraph_id", "text", "protected")
-    cites = stage_table(C.citation_context(C.extract_citations(body, refs), history), "citations")
-    audited = stage_table(C.audit_citations(cites, refs, paragraphs), "audited")
+    limits = stage_table(C.bibliography_range(paragraphs, ranges), "limits")
+    refs = stage_table(C.extract_references(paragraphs, limits=limits) if refs is None else refs, "refs")
+    cites = C.citations_in_context(C.paragraph_history(paragraphs, limits), refs)
+    audited = stage_table(C.audit_citations(stage_table(cites, "citations"), refs), "audited")
     return Audit(refs, limits, audited, C.findings(audited, refs))
 
 
