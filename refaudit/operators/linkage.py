@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from refaudit.functions.reference import parse_reference, route_providers
 from refaudit.functions.text import normalize_simple, normalize_title
 
+from refaudit.session import stage_table
+
 from .shaping import with_computed
 
 FLOOR_NUM, FLOOR_DEN = 9, 20          # reported matches share at least .45 of the longer title
+PAIRED = 20                           # titles of up to so many words meet on two words
 HOT_TOKEN_ROWS = 50_000               # rows of one signature per join cell before the grid grows
 HOT_TITLE_WORKS = 256                 # works of one title before they are indexed by author/year/DOI
 
@@ -121,69 +124,92 @@ def word_counts(*titles: DataFrame) -> DataFrame:
     return both.select(F.explode(F.array_distinct(F.split("title_norm", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def _ordered(titles: DataFrame, counts: DataFrame) -> DataFrame:
-    """Distinct titles with their words from rare to frequent (ties by spelling) and the prefix that signatures come from.
-
-    A title of n words shares at least t = max(2, ceil(.45 n)) words with any partner of three words or more, so the two
-    rarest shared words are among its first n - t + 2.
-    """
+def _numbered(entry_titles: DataFrame, work_titles: DataFrame) -> DataFrame:
+    """(id, title_norm, words, n, in_a, in_b): distinct titles of both sides, each with its words ``struct<df,token>`` from rare to frequent."""
+    sides = entry_titles.select("title_norm", F.lit(True).alias("a")).union(work_titles.select("title_norm", F.lit(False)))
+    titles = sides.groupBy("title_norm").agg(F.bool_or("a").alias("in_a"), F.bool_or(~F.col("a")).alias("in_b"))
     words = titles.select("title_norm", F.explode(F.array_distinct(F.split("title_norm", " "))).alias("token"))
-    grouped = words.join(counts, "token").groupBy("title_norm").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    n = F.size("t")
-    share = F.greatest(F.lit(2), F.floor((n * FLOOR_NUM + FLOOR_DEN - 1) / FLOOR_DEN)).cast("int")
-    return grouped.select("title_norm", F.col("t.token").alias("tokens"), F.slice(F.col("t"), F.lit(1), F.least(n, n - share + 2)).alias("prefix"))
+    ordered = words.join(word_counts(titles), "token").groupBy("title_norm").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("words"))
+    out = titles.join(ordered, "title_norm").withColumn("n", F.size("words"))
+    return stage_table(out.withColumn("id", F.monotonically_increasing_id()), "titles")
+
+
+def _band(n: Column) -> Column:
+    """-1 up to ``PAIRED`` words, then 0, 1, ...: a title lies in the band of its longest possible partner or in the one below."""
+    limits = [PAIRED]
+    while limits[-1] < 1 << 30:
+        limits.append(limits[-1] * FLOOR_DEN // FLOOR_NUM)
+    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda t: t < n)) - 1
+
 
+def _signatures(titles: DataFrame, side: str) -> DataFrame:
+    """Thin rows (key, cell, number, position, length): where a title may meet its partners.
 
-def _signatures(ordered: DataFrame, side: str) -> DataFrame:
-    """One row per signature and grid cell: two prefix words, or one where the title has at most two.
+    A match at .45 of the longer title shares at least ceil(.45 n) words with a title of n words, two or more once either title has
+    three; so the rarest shared words lie among its first words. Titles of up to ``PAIRED`` words meet on two of them, which few titles
+    have in common however many use each word, and titles of at most two words on one. Where the longer title has more words, the
+    titles meet on one word within a band of lengths, so that rows grow in proportion to the title.
 
-    A signature whose rarer word is frequent on both sides is spread over a cells x cells grid: each side fixes
-    one coordinate by hash and is repeated along the other, so no task sees the whole signature.
+    A key whose rarer word is frequent is spread over a cells x cells grid: each side fixes one coordinate by hash and is repeated
+    along the other, so no task sees the whole key.
     """
-    p, n = F.col("prefix"), F.size("prefix")
-    first = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    two = F.flatten(F.transform(first, lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.struct(
-        F.get(p, i - 1)["df"].alias("df"), F.get(p, i - 1)["token"].alias("w1"), F.get(p, j - 1)["token"].alias("w2")))))
-    one = F.when(F.size("tokens") <= 2, F.transform(p, lambda x: F.struct(x["df"].alias("df"), x["token"].alias("w1"), F.lit("").alias("w2")))).otherwise(F.slice(two, 1, 0))
-    rows = ordered.select(F.col("title_norm").alias(f"{side}_title"), F.col("tokens").alias(f"{side}_tokens"),
-                          F.col("prefix.token").alias(f"{side}_prefix"), F.explode(F.concat(two, one)).alias("p"))
-    rows = rows.withColumn("cells", F.ceil(F.col("p.df") / HOT_TOKEN_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64(f"{side}_title"), F.col("cells")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    row, col = ("own", "other") if side == "a" else ("other", "own")
-    return rows.select("p.w1", "p.w2", F.col(row).alias("cell_row"), F.col(col).alias("cell_col"), f"{side}_title", f"{side}_tokens", f"{side}_prefix")
-
-
-def title_candidates(entry_titles: DataFrame, work_titles: DataFrame) -> DataFrame:
-    """Pairs that share a signature and are close enough in length, each once."""
-    counts = word_counts(entry_titles, work_titles)
-    a = _signatures(_ordered(entry_titles, counts), "a")
-    b = _signatures(_ordered(work_titles, counts), "b")
-    na, nb = F.size("a_tokens"), F.size("b_tokens")
-    longer, shorter = F.greatest(na, nb), F.least(na, nb)
-    shared = F.array_intersect("a_prefix", "b_prefix")
-    # Two shared words where one of the titles has three or more, one otherwise; a pair is kept at its first ones only.
-    first = F.when(longer > 2, (F.get(shared, F.lit(0)) == F.col("w1")) & (F.get(shared, F.lit(1)) == F.col("w2"))).otherwise((F.col("w2") == "") & (F.get(shared, F.lit(0)) == F.col("w1")))
-    return a.join(b, ["w1", "w2", "cell_row", "cell_col"]).where((shorter * FLOOR_DEN >= longer * FLOOR_NUM) & first).select("a_title", "a_tokens", "b_title", "b_tokens", longer.alias("longer"))
+    w, n = F.col("words"), F.col("n")
+    need = F.floor((n * FLOOR_NUM + FLOOR_DEN - 1) / FLOOR_DEN).cast("int")
+
+    def key(kind: str, *parts: Column) -> Column:
+        return F.xxhash64(F.lit(kind), *parts).alias("key")
+
+    def row(k: Column, at: Column, last: Column, shared: int) -> Column:
+        return F.struct(k, F.get(w, at - 1)["df"].alias("df"), last.cast("int").alias("at"), F.lit(shared).alias("shared"))
+    none = F.expr("cast(array() as array<struct<key:bigint,df:bigint,at:int,shared:int>>)")
+    upto = F.least(n, n - F.greatest(F.lit(2), need) + 2)
+    two = F.flatten(F.transform(F.sequence(F.lit(1), upto - 1), lambda i: F.transform(F.sequence(i + 1, upto), lambda j: row(
+        key("two", F.get(w, i - 1)["token"], F.get(w, j - 1)["token"]), i, j, 2))))
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: row(key("one", F.get(w, i - 1)["token"]), i, i, 1))
+    band = F.col("band")
+    # Two titles meet under the higher one's band: in 'x' if b's is not the higher one, in 'y' if it is.
+    place = lambda up, role: F.struct((band + up).alias("band"), F.lit(role).alias("role"))
+    rises = n * FLOOR_DEN >= FLOOR_NUM * (PAIRED + 1)  # a partner in the band above may be close enough
+    own = [F.when(band >= 0, place(0, "x"))] + ([F.when(band >= 0, place(0, "y"))] if side == "b" else [])
+    bands = F.array_compact(F.array(*own, F.when(rises, place(1, "y" if side == "a" else "x"))))
+    many = F.flatten(F.transform(bands, lambda b: F.transform(F.sequence(F.lit(1), n - need + 1), lambda i: row(key("many", b["band"], b["role"], F.get(w, i - 1)["token"]), i, i, 1))))
+    rows = titles.withColumn("band", _band(n)).select("id", "n", F.explode(F.concat(
+        F.when(n <= 2, one).otherwise(none), F.when((n >= 2) & (n <= PAIRED), two).otherwise(none), many)).alias("p"))
+    rows = rows.select("id", "n", "p.*").withColumn("cells", F.ceil(F.col("df") / HOT_TOKEN_ROWS).cast("int"))
+    mine = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+    rows = rows.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    line, column = ("own", "other") if side == "a" else ("other", "own")
+    return rows.select("key", F.col(line).alias("line"), F.col(column).alias("col"), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.col("at").alias(f"{side}_at"), "shared")
+
+
+def title_candidates(titles: DataFrame) -> DataFrame:
+    """(a_id, b_id): pairs of different titles that share a signature, close enough in length, with enough words behind it."""
+    a = _signatures(titles.where("in_a"), "a")
+    b = _signatures(titles.where("in_b"), "b").drop("shared")
+    longer, shorter = F.greatest("a_n", "b_n"), F.least("a_n", "b_n")
+    # At a pair's first signature nothing is shared before it, so the words behind it must do.
+    most = F.col("shared") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = a.join(b, ["key", "line", "col"]).where((F.col("a_id") != F.col("b_id")) & (shorter * FLOOR_DEN >= longer * FLOOR_NUM) & (most * FLOOR_DEN >= longer * FLOOR_NUM))
+    return met.select("a_id", "b_id").distinct()
 
 
 def title_pairs(entry_titles: DataFrame, work_titles: DataFrame) -> DataFrame:
     """All (entry title, work title) pairs that reach the floor, with ``title_match``.
 
-    Exact set-similarity join with a prefix filter: a match at .45 shares at least ceil(.45 n) words with a title of n words,
-    two or more once either title has three. So the two rarest shared words lie in both prefixes, and titles meet on pairs
-    of words, which few titles share however many use each word. A pair is kept only at its first signature, so no
-    de-duplication is needed. Pairs that score 1 because the work's title opens the entry's come from :func:`title_prefix_pairs`.
+    Exact set-similarity join: prefix and position filters on thin signatures, words only for the pairs that are left. Equal titles
+    need no search. Pairs that score 1 because the work's title opens the entry's come from :func:`title_prefix_pairs`.
     """
-    candidates = title_candidates(entry_titles, work_titles)
-    hits = candidates.select(
-        F.col("a_title").alias("q_title_norm"), F.col("b_title").alias("title_norm"),
-        F.size(F.array_intersect("a_tokens", "b_tokens")).alias("overlap"), "longer")
+    titles = _numbered(entry_titles, work_titles)
+    words = titles.select("id", "title_norm", F.col("words.token").alias("tokens"))
+    side = lambda s, name: words.select(F.col("id").alias(f"{s}_id"), F.col("title_norm").alias(name), F.col("tokens").alias(f"{s}_tokens"))
+    hits = title_candidates(titles).join(side("a", "q_title_norm"), "a_id").join(side("b", "title_norm"), "b_id")
+    hits = hits.select("q_title_norm", "title_norm", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("overlap"), F.greatest(F.size("a_tokens"), F.size("b_tokens")).alias("longer"))
     hits = hits.where(F.col("overlap") * FLOOR_DEN >= F.col("longer") * FLOOR_NUM)
     opens = (F.size(F.split("title_norm", " ")) >= 4) & F.col("q_title_norm").startswith(F.concat("title_norm", F.lit(" ")))
     jaccard_like = hits.select("q_title_norm", "title_norm",
                                F.when(opens, F.lit(1.0)).otherwise(F.col("overlap") / F.col("longer")).alias("title_match"))
-    return jaccard_like.unionByName(title_prefix_pairs(entry_titles, work_titles, below_floor=True))
+    equal = titles.where("in_a and in_b").select(F.col("title_norm").alias("q_title_norm"), "title_norm", F.lit(1.0).alias("title_match"))
+    return jaccard_like.unionByName(equal).unionByName(title_prefix_pairs(entry_titles, work_titles, below_floor=True))
 
 
 def title_prefix_pairs(entry_titles: DataFrame, work_titles: DataFrame, below_floor: bool = False) -> DataFrame:

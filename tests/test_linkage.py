@@ -70,6 +70,36 @@ def test_title_pairs_are_exact(spark, monkeypatch):
     assert got == want
 
 
+def test_long_titles_are_exact(spark, monkeypatch):
+    """Badly parsed entries of up to 120 words, on both sides of every border between bands of lengths."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(400)]
+
+    def near(base, drop, add):
+        kept = rng.sample(base, len(base) - drop)
+        return " ".join(kept + rng.sample([v for v in vocabulary if v not in base], add))
+    bases = [rng.sample(vocabulary, n) for n in (8, 10, 19, 20, 21, 22, 44, 45, 46, 60, 97, 98, 99, 120)]
+    a = {" ".join(x) for x in bases}
+    b = {near(x, int(len(x) * d), int(len(x) * e)) for x in bases for d in (0, .1, .5, .56) for e in (0, .3, 1.2)} | {" ".join(bases[3]), " ".join(bases[8])}
+    df = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "title_norm string")
+    got = {(r.q_title_norm, r.title_norm): round(r.title_match, 9) for r in K.title_pairs(df(a), df(b)).collect()}
+
+    def score(x, y):
+        if len(y.split()) >= 4 and x.startswith(y + " "):
+            return 1.0
+        return len(set(x.split()) & set(y.split())) / max(len(x.split()), len(y.split()))
+    assert got == {(x, y): round(score(x, y), 9) for x in a for y in b if score(x, y) >= 0.45} and len(got) > 60
+
+
+def test_signatures_grow_with_the_title(spark):
+    """A title of 300 words has under 1,000 signatures, one of 3,000 words ten times as many."""
+    titles = K._numbered(spark.createDataFrame([(" ".join(f"u{i}" for i in range(n)),) for n in (20, 300, 3000)], "title_norm string"),
+                         spark.createDataFrame([(" ".join(f"u{i}" for i in range(n)),) for n in (20, 300, 3000)], "title_norm string"))
+    for side in "ab":
+        counts = dict(K._signatures(titles, side).groupBy(f"{side}_n").count().collect())
+        assert counts[20] < 200 and counts[300] < 1000 and counts[3000] < 10_000
+
+
 def test_crowded_titles_lose_nothing(spark, monkeypatch):
     """Works under one title, indexed by class, give the same best k as comparing everything."""
     rng = random.Random(3)
