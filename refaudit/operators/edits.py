@@ -12,6 +12,8 @@ from refaudit.functions.apa import italic_html, restore_year_suffix as _suffix
 from refaudit.functions.reference import is_turkish
 from refaudit.functions.text import clean_ws, escape_html, nfc, split_sentences
 
+from refaudit.session import stage_table
+
 from .citations import BIB_HEADING, BODY, with_identity
 from .shaping import with_computed
 
@@ -49,41 +51,69 @@ def overlapping_patches(patches: DataFrame) -> DataFrame:
     return patches.withColumn("_reach", F.max("end").over(w)).where(F.col("_reach") > F.col("start")).drop("_reach")
 
 
-def _fold_patches(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Paragraphs with ``accepted``: valid patches in order, each starting after the one before ended."""
-    p = F.struct("start", "end", "group_id", "original", "replacement")
-    grouped = patches.groupBy("doc_id", "paragraph_id").agg(F.array_sort(F.collect_list(p)).alias("_all"))
-    joined = paragraphs.join(grouped, ["doc_id", "paragraph_id"], "left")
-    fits = F.filter("_all", lambda x: ~F.coalesce(F.col("protected"), F.lit(False))
-                    & (F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) == x["original"]))
-    joined = with_computed(joined, _fits=fits)
-    none = F.slice("_fits", 1, 0)
-    accepted = F.aggregate("_fits", none, lambda acc, x: F.when(
-        (F.size(acc) == 0) | (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= x["start"]), F.array_append(acc, x)).otherwise(acc))
-    return with_computed(joined, accepted=accepted).drop("_fits")
+def _marked(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches with ``fits``: the original text is there, the paragraph free, and no other patch of the group begins before this one's end."""
+    text = paragraphs.select("doc_id", "paragraph_id", F.col("text").alias("_text"), F.coalesce("protected", F.lit(False)).alias("_locked"))
+    rows = patches.select("doc_id", "paragraph_id", "start", "end", "original", "replacement", "group_id").join(text, ["doc_id", "paragraph_id"], "left")
+    there = F.coalesce(~F.col("_locked") & (F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("original")), F.lit(False))
+    rows = rows.withColumn("_there", there).drop("_text", "_locked")
+    own = Window.partitionBy("doc_id", "group_id", "paragraph_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    return stage_table(rows.withColumn("fits", F.col("_there") & (F.coalesce(F.max("end").over(own), F.lit(0)) <= F.col("start"))).drop("_there"), "marked-patches")
+
+
+def _meet(x: Column, y: Column) -> Column:
+    return (x["start"] < y["end"]) & (y["start"] < x["end"])
+
 
+def _contested(valid: DataFrame) -> DataFrame:
+    """Patches of groups that have a patch overlapping one of another group: ``valid`` with ``at``, the group's place in the order."""
+    spot = Window.partitionBy("doc_id", "paragraph_id").orderBy("start", "end", "group_id")
+    before, behind = F.max("end").over(spot.rowsBetween(Window.unboundedPreceding, -1)), F.min("start").over(spot.rowsBetween(1, Window.unboundedFollowing))
+    clash = valid.withColumn("_c", F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(behind < F.col("end"), F.lit(False)))
+    groups = clash.groupBy("doc_id", "group_id").agg(F.bool_or("_c").alias("_c"), F.min(F.struct("paragraph_id", "start", "end", "group_id")).alias("at")).where("_c").drop("_c")
+    return valid.join(groups, ["doc_id", "group_id"]).select("doc_id", "paragraph_id", "start", "end", "group_id", "at")
 
-def _whole_groups(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches of the groups that can be applied whole; one stale, protected or overlapping member refuses its group."""
-    taken = _fold_patches(paragraphs, patches).select("doc_id", F.explode("accepted.group_id").alias("group_id")).groupBy("doc_id", "group_id").agg(F.count("*").alias("taken"))
-    asked = patches.groupBy("doc_id", "group_id").agg(F.count("*").alias("asked"))
-    whole = asked.join(taken, ["doc_id", "group_id"]).where("asked = taken").select("doc_id", "group_id")
-    return patches.join(whole, ["doc_id", "group_id"], "left_semi")
+
+def accepted_groups(marked: DataFrame) -> DataFrame:
+    """(doc_id, group_id) of the groups that are applied when all are tried in the order of their first patches.
+
+    A group is applied whole if all its patches fit and none overlaps a patch applied before it; so a refused group refuses nobody.
+    Groups that overlap no other are settled at once. Of the rest each round applies those with no undecided earlier group in
+    their way and refuses those that overlap them, until none is left: half as many rounds as the longest chain has groups.
+    """
+    valid = marked.join(marked.groupBy("doc_id", "group_id").agg(F.bool_and("fits").alias("_ok")).where("_ok"), ["doc_id", "group_id"])
+    left = stage_table(_contested(valid), "contested-patches")
+    taken = valid.select("doc_id", "group_id").distinct().join(left.select("doc_id", "group_id").distinct(), ["doc_id", "group_id"], "left_anti")
+
+    def flagged(rows: DataFrame, hit) -> DataFrame:
+        """Groups with whether ``hit(patch, other)`` holds for any two patches of a paragraph and of different groups."""
+        here = rows.groupBy("doc_id", "paragraph_id").agg(F.collect_list(F.struct("start", "end", "group_id", "at", "won")).alias("here"))
+        each = here.select("doc_id", F.explode(F.transform("here", lambda x: F.struct(x["group_id"].alias("group_id"), F.exists("here", lambda y: (x["group_id"] != y["group_id"]) & _meet(x, y) & hit(x, y)).alias("hit")))).alias("x"))
+        return each.groupBy("doc_id", F.col("x.group_id").alias("group_id")).agg(F.bool_or("x.hit").alias("hit"))
+    while left.limit(1).count():
+        open_rows = left.withColumn("won", F.lit(False))
+        won = stage_table(flagged(open_rows, lambda x, y: y["at"] < x["at"]).where(~F.col("hit")).select("doc_id", "group_id"), "won-groups")
+        rows = left.join(won.withColumn("won", F.lit(True)), ["doc_id", "group_id"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
+        undecided = flagged(rows, lambda x, y: y["won"]).where(~F.col("hit")).select("doc_id", "group_id").join(won, ["doc_id", "group_id"], "left_anti")
+        left = stage_table(left.join(undecided, ["doc_id", "group_id"], "left_semi"), "contested-patches")
+        taken = taken.union(won)
+    return taken
 
 
 def apply_patches(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
     """Paragraph texts with the patches applied from right to left, group by group or not at all."""
-    folded = _fold_patches(paragraphs, _whole_groups(paragraphs, patches))
-    text = F.aggregate(F.reverse("accepted"), F.col("text"), lambda t, x: F.concat(
+    marked = _marked(paragraphs, patches)
+    done = marked.join(accepted_groups(marked), ["doc_id", "group_id"], "left_semi")
+    each = done.groupBy("doc_id", "paragraph_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "end", "replacement")))).alias("_p"))
+    joined = paragraphs.join(each, ["doc_id", "paragraph_id"], "left")
+    text = F.aggregate("_p", F.col("text"), lambda t, x: F.concat(
         F.substring(t, F.lit(1), x["start"]), x["replacement"], F.substring(t, x["end"] + 1, F.length(t))))
-    out = with_computed(folded, _new=F.coalesce(text, F.col("text")))
-    return out.select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in paragraphs.columns])
+    return joined.select(*[F.coalesce(text, F.col("text")).alias("text") if c == "text" else F.col(c) for c in paragraphs.columns])
 
 
 def rejected_patches(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches of refused groups: a member's original text is not there, its paragraph is protected, or it overlaps another patch."""
-    done = _whole_groups(paragraphs, patches).select("doc_id", "group_id").distinct()
-    return patches.join(done, ["doc_id", "group_id"], "left_anti")
+    """Patches of refused groups: a member's original text is not there, its paragraph is protected, or it overlaps a group applied before."""
+    return patches.join(accepted_groups(_marked(paragraphs, patches)), ["doc_id", "group_id"], "left_anti")
 
 
 def undo(patches: DataFrame, groups: DataFrame) -> DataFrame:

@@ -181,7 +181,12 @@ def _patches(spark, sf) -> DataFrame:
     return base.unionByName(early).unionByName(over)
 
 
-_PATCH = """, pat AS (SELECT c.doc_id, c.paragraph_id, c.k, c.protected, c.s, m.text, cast(c.cited_year AS varchar(10)) AS y FROM cit c JOIN manuscript m USING (doc_id, paragraph_id) WHERE c.form = 4)"""
+_PAT = """, pat AS (SELECT doc_id, paragraph_id, k, protected, text, cast(cited_year AS varchar(10)) AS y,
+   length('As noted earlier. Sizes vary. Growth was slow. It was ' || cast(idx AS varchar(20)) || ' percent (' || family || ', ') AS s FROM manuscript WHERE form = 4)"""
+
+
+def _patch_sql(body: str, *views: str) -> str:
+    return with_views("", *(views or ("manuscript",))).rstrip() + _PAT + " " + body
 
 
 def apply_patches(spark, sf):
@@ -320,6 +325,18 @@ _SENTENCE = """CASE c.form WHEN 0 THEN 'The effect is stable (' || c.author_text
 _GROUP = "CASE WHEN kind = 'orphan' THEN 'orphan-citations' ELSE 'issues' END"
 _USED = """, used AS (SELECT DISTINCT doc_id, reference FROM res WHERE reference IS NOT NULL UNION SELECT c.doc_id, 'r' || k.pos FROM res c JOIN keys k ON k.doc_id = c.doc_id AND k.a = c.a AND k.y = c.y WHERE c.kind = 'ambiguous')"""
 
+# Citations whose author no entry has, and of those (document, author, year) the entries one edit away.
+_OPEN = """, cit AS (SELECT *, lower(author_text) AS a, cast(cited_year AS varchar(10)) AS y, author_start + length(author_text) + 2 AS s FROM cited),
+names AS (SELECT DISTINCT doc_id, lower(family) AS a FROM bib),
+unknown AS (SELECT c.* FROM cit c LEFT JOIN names n ON n.doc_id = c.doc_id AND n.a = c.a WHERE n.a IS NULL),
+near AS (SELECT q.doc_id, q.a, q.y, count(DISTINCT b.pos) AS n, min(b.family) AS family FROM (SELECT DISTINCT doc_id, a, y FROM unknown WHERE length(a) >= 5) q
+  JOIN bib b ON b.doc_id = q.doc_id AND cast(b.year AS varchar(10)) = q.y AND levenshtein(lower(b.family), q.a) = 1 GROUP BY 1, 2, 3)"""
+
+
+def _open_sql(body: str) -> str:
+    return with_views("", "cited").rstrip() + _OPEN + " " + body
+
+
 ORACLES = {
     "is_heading": _sql("SELECT doc_id, count(CASE WHEN style = 'Heading1' THEN 1 END) AS n_headings FROM paragraphs GROUP BY 1"),
     "bibliography_range": _sql('SELECT doc_id, 100001 AS start, 100001 + max(pos) AS "end", 1 AS n_headings FROM bib GROUP BY 1'),
@@ -335,22 +352,26 @@ ORACLES = {
     "check_author_group": _sql("SELECT doc_id, 'r' || pos AS ref_id, true AS two_names, false AS one_name FROM bib"),
     "analyze": _sql("SELECT doc_id, paragraph_id, s AS start, reference, candidate, kind, kind IS NOT NULL OR protected AS reported, kind = 'fuzzy' AND NOT protected IS NOT DISTINCT FROM true AS has_patch FROM res").replace("kind = 'fuzzy' AND NOT protected IS NOT DISTINCT FROM true", "coalesce(kind = 'fuzzy', false) AND NOT protected"),
     "orphan_references": _sql("SELECT b.doc_id, 'r' || b.pos AS ref_id FROM bib b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = b.doc_id AND u.reference = 'r' || b.pos)").replace(" SELECT b.doc_id, 'r'", _USED + " SELECT b.doc_id, 'r'", 1),
-    "orphan_citations": _sql("SELECT doc_id, paragraph_id, s AS start, author_text FROM res WHERE kind = 'orphan'"),
+    "orphan_citations": _open_sql("SELECT o.doc_id, paragraph_id, s AS start, author_text FROM unknown o LEFT JOIN near n ON n.doc_id = o.doc_id AND n.a = o.a AND n.y = o.y WHERE coalesce(n.n, 0) <> 1"),
     "duplicate_references": _sql("SELECT a.doc_id, 'r' || a.pos AS ref_id, string_agg('r' || b.pos, '|' ORDER BY 'r' || b.pos) AS related FROM bib a JOIN bib b ON a.doc_id = b.doc_id AND a.family = b.family AND a.pos <> b.pos GROUP BY 1, 2"),
     "findings": _sql(f"""SELECT doc_id, finding_group, has_patch, sum(n) AS n FROM (SELECT doc_id, {_GROUP} AS finding_group, coalesce(kind = 'fuzzy', false) AND NOT protected AS has_patch, count(*) AS n FROM res WHERE kind IS NOT NULL OR protected GROUP BY 1, 2, 3
         UNION ALL SELECT b.doc_id, 'orphan-references', false, count(*) FROM bib b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = b.doc_id AND u.reference = 'r' || b.pos) GROUP BY 1) GROUP BY 1, 2, 3""").replace(" SELECT doc_id, finding_group, has_patch, sum(n)", _USED + " SELECT doc_id, finding_group, has_patch, sum(n)", 1),
     "findings_summary": _sql(f"""SELECT doc_id, finding_group, sum(n) AS n FROM (SELECT doc_id, {_GROUP} AS finding_group, count(*) AS n FROM res WHERE kind IS NOT NULL OR protected GROUP BY 1, 2
         UNION ALL SELECT b.doc_id, 'orphan-references', count(*) FROM bib b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = b.doc_id AND u.reference = 'r' || b.pos) GROUP BY 1) GROUP BY 1, 2""").replace(" SELECT doc_id, finding_group, sum(n)", _USED + " SELECT doc_id, finding_group, sum(n)", 1),
     "count_entries": _sql("SELECT doc_id, count(*) AS n FROM bib GROUP BY 1"),
-    "apply_patches": (_sql("").rstrip() + _PATCH + """ SELECT q.doc_id, q.paragraph_id, CASE WHEN p.k % 3 <> 0 AND NOT p.protected THEN 'Like' || substr(substr(p.text, 1, p.s) || 'MMXX!' || substr(p.text, p.s + 5), 3) ELSE q.text END AS text
-        FROM paragraphs q LEFT JOIN pat p ON p.doc_id = q.doc_id AND p.paragraph_id = q.paragraph_id"""),
-    "rejected_patches": (_sql("").rstrip() + _PATCH + """ SELECT doc_id, 'g1:' || paragraph_id AS group_id, 2 AS n FROM pat WHERE protected OR k % 3 = 0 UNION ALL SELECT doc_id, 'g2:' || paragraph_id, 1 FROM pat WHERE k % 5 = 0"""),
-    "running_offsets": (_sql("").rstrip() + _PATCH + """ SELECT group_id, cast(o AS int) AS "offset", count(*) AS n FROM (SELECT 'g1' AS group_id, 0 AS o FROM pat UNION ALL SELECT 'g1', 2 FROM pat UNION ALL SELECT 'g2', 3 FROM pat WHERE k % 5 = 0) GROUP BY 1, 2"""),
-    "overlapping_patches": (_sql("").rstrip() + _PATCH + """ SELECT doc_id, paragraph_id, 'g2:' || paragraph_id AS group_id, s + 2 AS start FROM pat WHERE k % 5 = 0"""),
-    "undo": (_sql("").rstrip() + _PATCH + """ SELECT group_id, count(*) AS n FROM (SELECT 'g1' AS group_id FROM pat UNION ALL SELECT 'g1' FROM pat) GROUP BY 1"""),
-    "suggest_patches": _sql("SELECT res.doc_id, paragraph_id, author_start AS start, author_text AS original, k.family AS replacement FROM res JOIN keys k ON k.doc_id = res.doc_id AND 'r' || k.pos = candidate WHERE NOT protected"),
-    "apply_manual_matches": _sql("""SELECT r.doc_id, r.paragraph_id, r.s AS start, 'r0' AS reference, CASE WHEN protected THEN 0 ELSE 1 + CASE WHEN k.y <> r.y THEN 1 ELSE 0 END END AS n_patches
-        FROM res r JOIN keys k ON k.doc_id = r.doc_id AND k.pos = 0 WHERE r.kind = 'orphan' AND r.author_text LIKE 'Missing%'"""),
+    "apply_patches": _patch_sql("""SELECT q.doc_id, q.paragraph_id, CASE WHEN p.protected OR p.paragraph_id IS NULL THEN q.text
+        WHEN p.k % 3 <> 0 THEN 'Like' || substr(substr(p.text, 1, p.s) || 'MMXX!' || substr(p.text, p.s + 5), 3)
+        WHEN p.k % 5 = 0 THEN substr(p.text, 1, p.s + 2) || 'zz' || substr(p.text, p.s + 5) ELSE q.text END AS text
+        FROM paragraphs q LEFT JOIN pat p ON p.doc_id = q.doc_id AND p.paragraph_id = q.paragraph_id""", "paragraphs"),
+    "rejected_patches": _patch_sql("""SELECT doc_id, 'g1:' || paragraph_id AS group_id, 2 AS n FROM pat WHERE protected OR k % 3 = 0
+        UNION ALL SELECT doc_id, 'g2:' || paragraph_id, 1 FROM pat WHERE k % 5 = 0 AND (protected OR k % 3 <> 0)"""),
+    "running_offsets": _patch_sql("""SELECT group_id, cast(o AS int) AS "offset", count(*) AS n FROM (SELECT 'g1' AS group_id, 0 AS o FROM pat UNION ALL SELECT 'g1', 2 FROM pat UNION ALL SELECT 'g2', 3 FROM pat WHERE k % 5 = 0) GROUP BY 1, 2"""),
+    "overlapping_patches": _patch_sql("""SELECT doc_id, paragraph_id, 'g2:' || paragraph_id AS group_id, s + 2 AS start FROM pat WHERE k % 5 = 0"""),
+    "undo": _patch_sql("""SELECT group_id, count(*) AS n FROM (SELECT 'g1' AS group_id FROM pat UNION ALL SELECT 'g1' FROM pat) GROUP BY 1"""),
+    "suggest_patches": _open_sql("""SELECT o.doc_id, paragraph_id, author_start AS start, author_text AS original, n.family AS replacement
+        FROM unknown o JOIN near n ON n.doc_id = o.doc_id AND n.a = o.a AND n.y = o.y WHERE n.n = 1 AND NOT protected"""),
+    "apply_manual_matches": _open_sql("""SELECT o.doc_id, paragraph_id, s AS start, 'r0' AS reference, CASE WHEN protected THEN 0 WHEN cast(b.year AS varchar(10)) <> o.y THEN 2 ELSE 1 END AS n_patches
+        FROM unknown o JOIN bib b ON b.doc_id = o.doc_id AND b.pos = 0 LEFT JOIN near n ON n.doc_id = o.doc_id AND n.a = o.a AND n.y = o.y WHERE coalesce(n.n, 0) <> 1 AND author_text LIKE 'Missing%'"""),
     "manual_patches": _sql("""SELECT r.doc_id, r.paragraph_id, r.s AS start, r.y AS original, k.y AS replacement FROM res r JOIN keys k ON k.doc_id = r.doc_id AND k.pos = 0 WHERE r.kind = 'orphan' AND r.author_text LIKE 'Missing%' AND NOT protected AND k.y <> r.y
         UNION ALL SELECT r.doc_id, r.paragraph_id, r.author_start, r.author_text, k.family FROM res r JOIN keys k ON k.doc_id = r.doc_id AND k.pos = 0 WHERE r.kind = 'orphan' AND r.author_text LIKE 'Missing%' AND NOT protected"""),
     "propagate_match": _sql("SELECT doc_id, count(*) AS n FROM res WHERE kind = 'orphan' AND NOT protected GROUP BY 1"),

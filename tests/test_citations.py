@@ -79,6 +79,23 @@ def test_groups_are_whole_or_refused(spark, paragraphs):
     assert sorted(r.paragraph_id for r in E.rejected_patches(free, spark.createDataFrame(rows, schema)).collect()) == ["p1", "p4"]
 
 
+def test_refused_groups_refuse_nobody(spark):
+    """A chain of overlaps is tried in order: each group only gives way to those that were applied."""
+    texts = [(1, "p0", "abcdefghijklmnop", False), (1, "p1", "abcdefghijklmnop", False), (1, "p2", "locked", True)]
+    par = spark.createDataFrame(texts, "doc_id bigint, paragraph_id string, text string, protected boolean")
+
+    def patch(group, paragraph, start, end, original=None):
+        return (1, paragraph, start, end, "abcdefghijklmnop"[start:end] if original is None else original, group.upper(), group)
+    rows = [patch("a", "p0", 0, 4), patch("b", "p0", 2, 7), patch("c", "p0", 5, 9), patch("d", "p0", 8, 12), patch("e", "p0", 11, 13), patch("f", "p0", 12, 14),  # a c e, by turns
+            patch("g", "p0", 14, 16), patch("g", "p1", 0, 3, "stale"), patch("h", "p0", 15, 16),                  # g is refused whole, so h goes through
+            patch("i", "p1", 1, 4), patch("i", "p2", 0, 1, "l"), patch("j", "p1", 2, 5), patch("k", "p1", 6, 9), patch("k", "p1", 7, 10),  # locked; free; against itself
+            patch("m", "p1", 10, 10, ""), patch("n", "p9", 0, 1, "x")]                                             # an insertion; no such paragraph
+    patches = spark.createDataFrame(rows, "doc_id bigint, paragraph_id string, start int, `end` int, original string, replacement string, group_id string").repartition(3)
+    assert sorted({r.group_id for r in E.rejected_patches(par, patches).collect()}) == ["b", "d", "f", "g", "i", "k", "n"]
+    assert {r.paragraph_id: r.text for r in E.apply_patches(par, patches).collect()} == {"p0": "AeCjkEnoH", "p1": "abJfghijMklmnop", "p2": "locked"}
+    assert E.apply_patches(par, patches.limit(0)).collect() == par.collect()
+
+
 def test_both_patches_of_a_match(spark, paragraphs, audit):
     """A citation mapped by hand to an entry of another author and year brings two patches, applied together."""
     row = audit.citations.where("author_text = 'Unwin'").first()
