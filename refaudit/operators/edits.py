@@ -51,27 +51,29 @@ def overlapping_patches(patches: DataFrame) -> DataFrame:
     return patches.withColumn("_reach", F.max("end").over(w)).where(F.col("_reach") > F.col("start")).drop("_reach")
 
 
-def _marked(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches with ``fits``: the original text is there, the paragraph free, and no other patch of the group begins before this one's end."""
-    text = paragraphs.select("doc_id", "paragraph_id", F.col("text").alias("_text"), F.coalesce("protected", F.lit(False)).alias("_locked"))
-    rows = patches.select("doc_id", "paragraph_id", "start", "end", "original", "replacement", "group_id").join(text, ["doc_id", "paragraph_id"], "left")
-    there = F.coalesce(~F.col("_locked") & (F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("original")), F.lit(False))
-    rows = rows.withColumn("_there", there).drop("_text", "_locked")
-    own = Window.partitionBy("doc_id", "group_id", "paragraph_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return stage_table(rows.withColumn("fits", F.col("_there") & (F.coalesce(F.max("end").over(own), F.lit(0)) <= F.col("start"))).drop("_there"), "marked-patches")
-
-
 def _meet(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
 
-def _contested(valid: DataFrame) -> DataFrame:
-    """Patches of groups that have a patch overlapping one of another group: ``valid`` with ``at``, the group's place in the order."""
-    spot = Window.partitionBy("doc_id", "paragraph_id").orderBy("start", "end", "group_id")
-    before, behind = F.max("end").over(spot.rowsBetween(Window.unboundedPreceding, -1)), F.min("start").over(spot.rowsBetween(1, Window.unboundedFollowing))
-    clash = valid.withColumn("_c", F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(behind < F.col("end"), F.lit(False)))
-    groups = clash.groupBy("doc_id", "group_id").agg(F.bool_or("_c").alias("_c"), F.min(F.struct("paragraph_id", "start", "end", "group_id")).alias("at")).where("_c").drop("_c")
-    return valid.join(groups, ["doc_id", "group_id"]).select("doc_id", "paragraph_id", "start", "end", "group_id", "at")
+def _marked(paragraphs: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches with ``fits`` (the original text is there, the paragraph free, no other patch of the group overlaps) and ``clash`` (one of another group does).
+
+    Patches meet the text once, gathered by paragraph, so that both flags come from the row itself.
+    """
+    here = patches.groupBy("doc_id", "paragraph_id").agg(F.collect_list(F.struct("start", "end", "original", "replacement", "group_id")).alias("here"))
+    text = paragraphs.select("doc_id", "paragraph_id", F.col("text").alias("_text"), F.coalesce("protected", F.lit(False)).alias("_locked"))
+    rows = here.join(text, ["doc_id", "paragraph_id"], "left")
+
+    def others(x: Column, same: bool, me: Column) -> Column:
+        own = (x["group_id"] == F.get("here", me)["group_id"]) if same else (x["group_id"] != F.get("here", me)["group_id"])
+        return own & _meet(x, F.get("here", me))
+
+    def flags(x: Column, i: Column) -> Column:
+        there = F.coalesce(~F.col("_locked") & (F.substring(F.col("_text"), x["start"] + 1, x["end"] - x["start"]) == x["original"]), F.lit(False))
+        alone = F.size(F.filter("here", lambda y: others(y, True, i))) <= F.when(x["start"] < x["end"], 1).otherwise(0)  # it overlaps itself unless empty
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["replacement"].alias("replacement"), x["group_id"].alias("group_id"),
+                        (there & alone).alias("fits"), F.exists("here", lambda y: others(y, False, i)).alias("clash"))
+    return stage_table(rows.select("doc_id", "paragraph_id", F.inline(F.transform("here", flags))), "marked-patches")
 
 
 def accepted_groups(marked: DataFrame) -> DataFrame:
@@ -81,18 +83,18 @@ def accepted_groups(marked: DataFrame) -> DataFrame:
     Groups that overlap no other are settled at once. Of the rest each round applies those with no undecided earlier group in
     their way and refuses those that overlap them, until none is left: half as many rounds as the longest chain has groups.
     """
-    valid = marked.join(marked.groupBy("doc_id", "group_id").agg(F.bool_and("fits").alias("_ok")).where("_ok"), ["doc_id", "group_id"])
-    left = stage_table(_contested(valid), "contested-patches")
-    taken = valid.select("doc_id", "group_id").distinct().join(left.select("doc_id", "group_id").distinct(), ["doc_id", "group_id"], "left_anti")
+    at = F.min(F.struct("paragraph_id", "start", "end", "group_id")).alias("at")
+    valid = marked.groupBy("doc_id", "group_id").agg(F.bool_and("fits").alias("ok"), F.bool_or("clash").alias("clash"), at).where("ok")
+    taken = valid.where("not clash").select("doc_id", "group_id")
+    left = stage_table(marked.select("doc_id", "paragraph_id", "start", "end", "group_id").join(valid.where("clash").select("doc_id", "group_id", "at"), ["doc_id", "group_id"]), "contested-patches")
 
     def flagged(rows: DataFrame, hit) -> DataFrame:
-        """Groups with whether ``hit(patch, other)`` holds for any two patches of a paragraph and of different groups."""
+        """Groups with whether ``hit(patch, other)`` holds for any two overlapping patches of different groups."""
         here = rows.groupBy("doc_id", "paragraph_id").agg(F.collect_list(F.struct("start", "end", "group_id", "at", "won")).alias("here"))
-        each = here.select("doc_id", F.explode(F.transform("here", lambda x: F.struct(x["group_id"].alias("group_id"), F.exists("here", lambda y: (x["group_id"] != y["group_id"]) & _meet(x, y) & hit(x, y)).alias("hit")))).alias("x"))
-        return each.groupBy("doc_id", F.col("x.group_id").alias("group_id")).agg(F.bool_or("x.hit").alias("hit"))
+        each = here.select("doc_id", F.inline(F.transform("here", lambda x: F.struct(x["group_id"].alias("group_id"), F.exists("here", lambda y: (x["group_id"] != y["group_id"]) & _meet(x, y) & hit(x, y)).alias("hit")))))
+        return each.groupBy("doc_id", "group_id").agg(F.bool_or("hit").alias("hit"))
     while left.limit(1).count():
-        open_rows = left.withColumn("won", F.lit(False))
-        won = stage_table(flagged(open_rows, lambda x, y: y["at"] < x["at"]).where(~F.col("hit")).select("doc_id", "group_id"), "won-groups")
+        won = stage_table(flagged(left.withColumn("won", F.lit(False)), lambda x, y: y["at"] < x["at"]).where(~F.col("hit")).select("doc_id", "group_id"), "won-groups")
         rows = left.join(won.withColumn("won", F.lit(True)), ["doc_id", "group_id"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
         undecided = flagged(rows, lambda x, y: y["won"]).where(~F.col("hit")).select("doc_id", "group_id").join(won, ["doc_id", "group_id"], "left_anti")
         left = stage_table(left.join(undecided, ["doc_id", "group_id"], "left_semi"), "contested-patches")

@@ -172,13 +172,16 @@ def count_entries(spark, sf):
 
 def _patches(spark, sf) -> DataFrame:
     """Two patches of each 'p. 12' citation, a group of its own (one of them stale in every third), and an overlapping patch."""
-    c = view(spark, sf, "cited").where(F.col("form") == 4)
-    s = F.col("author_start") + F.length("author_text") + 2
-    group = lambda g: F.concat(F.lit(g + ":"), F.col("paragraph_id")).alias("group_id")
-    base = c.select("doc_id", "paragraph_id", s.cast("int").alias("start"), (s + 4).cast("int").alias("end"), F.col("cited_year").cast("string").alias("original"), F.lit("MMXX!").alias("replacement"), group("g1"))
-    early = c.select("doc_id", "paragraph_id", F.lit(0).alias("start"), F.lit(2).alias("end"), F.when(F.col("k") % 3 == 0, "XX").otherwise("As").alias("original"), F.lit("Like").alias("replacement"), group("g1"))
-    over = c.where(F.col("k") % 5 == 0).select("doc_id", "paragraph_id", (s + 2).cast("int").alias("start"), (s + 4).cast("int").alias("end"), F.substring(F.col("cited_year").cast("string"), 3, 2).alias("original"), F.lit("zz").alias("replacement"), group("g2"))
-    return base.unionByName(early).unionByName(over)
+    m = view(spark, sf, "manuscript").where("form = 4")
+    lead = F.concat(F.lit("As noted earlier. Sizes vary. Growth was slow. It was "), F.col("idx").cast("string"), F.lit(" percent ("), F.col("family"), F.lit(", "))
+    c = m.select("doc_id", "paragraph_id", "k", F.length(lead).alias("s"), F.col("cited_year").cast("string").alias("y"))
+
+    def patch(group, start, end, original, replacement):
+        return F.struct(start.alias("start"), end.alias("end"), original.alias("original"), F.lit(replacement).alias("replacement"), F.concat(F.lit(group + ":"), F.col("paragraph_id")).alias("group_id"))
+    s, y, k = F.col("s"), F.col("y"), F.col("k")
+    early = patch("g1", F.lit(0), F.lit(2), F.when(k % 3 == 0, "XX").otherwise("As"), "Like")
+    over = F.when(k % 5 == 0, patch("g2", s + 2, s + 4, F.substring(y, 3, 2), "zz"))
+    return c.select("doc_id", "paragraph_id", F.inline(F.array_compact(F.array(patch("g1", s, s + 4, y, "MMXX!"), early, over))))
 
 
 _PAT = """, pat AS (SELECT doc_id, paragraph_id, k, protected, text, cast(cited_year AS varchar(10)) AS y,
