@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from refaudit.functions.dates import retry_delay_ms, web_retry_at_ms
 from refaudit.functions.text import let
 
+from refaudit.session import stage_table
+
 from .linkage import limit_per_key
 from .segmented import look_back
 
 # Minimum milliseconds between two requests to a provider (fixed); everybody else 400.
 INTERVALS = {"Crossref": 1000, "PubMed": 400, "CORE": 2200, "DBLP": 1100, "OpenLibrary": 1100, "Semantic Scholar": 1000, "arXiv": 3000}
 DEFAULT_INTERVAL = 400
+#: Length of the pieces of time in which a busy URL is walked.
+SEGMENT_US = 60_000_000
 # Provider endpoints (fixed): host and path prefix.
 TARGETS = {
     "Crossref": ("api.crossref.org", "/works"), "DataCite": ("api.datacite.org", "/dois/"), "OpenAlex": ("api.openalex.org", "/works"),
@@ -58,37 +62,50 @@ def retry_due(results: DataFrame, cooldowns: DataFrame, now: Column) -> DataFram
     return at.where(F.col("retry_at") <= now).orderBy("retry_count", "pos")
 
 
-def _fetches(ttl_us: int):
-    def run(batches):
-        """Rows come sorted by run and time; only the run's last kept success is remembered."""
-        run_key, until = None, None
-        for rows in batches:
-            at = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-            keep = []
-            for key, t, status in zip(rows["_runs"], at.tolist(), rows["status"].tolist(), strict=True):
-                if key != run_key:
-                    run_key, until = key, None
-                keep.append(until is None or t >= until)
-                if keep[-1] and 200 <= status <= 299:
-                    until = t + ttl_us
-            yield rows[keep].drop(columns="_runs")
-    return run
+def _successors(good: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
+    """(node, next): for every success the first one that comes ``ttl`` later or more; none where no such one is left.
+
+    Time runs backwards: the latest success seen before the moment of expiry is the first one at or behind it.
+    """
+    moments = good.select(*keys, (-F.col("at")).alias("back"), F.lit(0).alias("kind"), "node")
+    expiry = good.select(*keys, (-F.col("at") - ttl_us).alias("back"), F.lit(1).alias("kind"), "node")
+    seen = look_back(moments.union(expiry), keys, ["back", "kind"], F.when(F.col("kind") == 0, F.col("node")), "next", segment=F.floor(F.col("back") / SEGMENT_US))
+    return seen.where("kind = 1 and next is not null").select("node", "next")
+
+
+def _fetched_successes(good: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
+    """Nodes of the successes that reach the network, of ``good(*keys, at, node)`` with one success per moment.
+
+    A success without another in the ``ttl`` before it is always fetched. From there on each fetched success leads to its successor;
+    the chains are followed by doubling the pointers, so a chain of n fetches takes log2(n) rounds and a busy URL many tasks.
+    """
+    rows = look_back(good, keys, ["at"], F.col("at"), "_prev", segment=F.floor(F.col("at") / SEGMENT_US))
+    starts = stage_table(rows.where(F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= ttl_us)).select("node"), "fetch-starts")
+    jump = _successors(good, keys, ttl_us).join(starts.withColumnRenamed("node", "next"), "next", "left_anti").select("node", "next")
+    found, jump = starts, stage_table(jump, "fetch-jumps")
+    while jump.limit(1).count():
+        found = stage_table(found.union(found.join(jump, "node").select(F.col("next").alias("node"))), "fetched")
+        far = jump.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        jump = stage_table(jump.join(far, "next").select("node", F.col("far").alias("next")), "fetch-jumps")
+    return found
 
 
 def dedupe_requests(requests: DataFrame, ttl: str = "5 minutes") -> DataFrame:
     """Requests that reach the network: those not served from the cache.
 
-    A success is kept for ``ttl`` from its own fetch, however often it is asked for meanwhile; failures are not kept. Rows are
-    cut into runs at gaps of ``ttl`` or more, where nothing can be cached any more, so a busy URL is spread over its runs;
-    within a run one pass remembers a single time stamp.
+    A success is kept for ``ttl`` from its own fetch, however often it is asked for meanwhile; failures are not kept. Of successes
+    at one moment the first by request id counts. A failure reaches the network unless a fetched success still covers it.
     """
-    keys, order = ["provider", "url"], ["ts", "request_id"]
-    rows = look_back(requests, keys, order, F.col("ts"), "_prev")
-    opens = F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev") + F.expr(f"interval {ttl}"))
-    rows = look_back(rows.withColumn("_open", F.when(opens, F.col("request_id"))), keys, order, F.col("_open"), "_run", strict=False)
-    rows = rows.withColumn("_runs", F.concat_ws("\x01", *keys, F.col("_run").cast("string"))).select(*requests.columns, "_runs")
-    sorted_rows = rows.repartition("_runs").sortWithinPartitions("_runs", *order)
-    return sorted_rows.mapInPandas(_fetches(int(pd.Timedelta(ttl) / pd.Timedelta("1us"))), requests.schema)
+    keys = ["provider", "url"]
+    ttl_us = int(pd.Timedelta(ttl) / pd.Timedelta("1us"))
+    numbered = requests.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("node", F.monotonically_increasing_id())
+    rows = stage_table(numbered.withColumn("good", F.coalesce(F.col("status").between(200, 299), F.lit(False))), "requests")
+    good = rows.where("good").groupBy(*keys, "at").agg(F.min_by("node", F.struct("request_id", "node")).alias("node"))
+    fetched = _fetched_successes(good, keys, ttl_us).withColumn("fetched", F.lit(True))
+    told = rows.join(fetched, "node", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+    told = look_back(told, keys, ["at", "request_id", "node"], F.when(F.col("fetched"), F.col("at")), "_last", segment=F.floor(F.col("at") / SEGMENT_US))
+    uncovered = F.col("_last").isNull() | (F.col("at") - F.col("_last") >= ttl_us)
+    return told.where(F.when(F.col("good"), F.col("fetched")).otherwise(uncovered)).select(*requests.columns)
 
 
 def spacing_violations(requests: DataFrame, intervals: dict[str, int] | None = None, default: int = DEFAULT_INTERVAL) -> DataFrame:

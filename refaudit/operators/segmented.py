@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def look_back(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: str = "minute", strict: bool = True,
-              ts: str = "ts") -> DataFrame:
-    """Add ``name``: the latest non-NULL ``value`` of the key before the row (``strict``) or up to it."""
-    rows = df.withColumn("_b", F.date_trunc(bucket, F.col(ts))).withColumn("_v", value)
+              ts: str = "ts", segment: Column | None = None) -> DataFrame:
+    """Add ``name``: the latest non-NULL ``value`` of the key before the row (``strict``) or up to it.
+
+    ``segment`` replaces the time bucket by another column that never falls along ``order``.
+    """
+    rows = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)) if segment is None else segment).withColumn("_v", value)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     rows = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
     last = rows.groupBy(*keys, "_b").agg(F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_l"))
