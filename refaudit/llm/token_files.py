@@ -25,6 +25,8 @@ END_ID = 2
 BATCH = 64
 #: Pieces of words whose ids a worker remembers.
 REMEMBERED = 1_000_000
+#: Words that are encoded as one text.
+JOINED = 1000
 VOCABULARY = "word_bpe_49k.json"
 #: Letters that end in an ASCII letter, then ASCII signs (no apostrophe, which the vocabulary may join to letters).
 CUT = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:-@\[-_{-~]*)").fullmatch
@@ -34,7 +36,20 @@ CUT = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:-@\[-_{-~]*)").fullmatc
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    ends[[i for entry, i in tokenizer.get_vocab().items() if entry.endswith("</w>")]] = True
+    return tokenizer, {}, ends
+
+
+def _joined_ids(tokenizer, ends: np.ndarray, words: list[bytes]) -> list[bytes] | None:
+    """Ids of words of ASCII letters, encoded as one text: each word ends at the next entry with an end mark. None if that does not give as many words."""
+    ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+    stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+    if len(stops) != len(words) or stops[-1] != len(ids):
+        return None
+    coded = ids.tobytes()
+    return [coded[4 * i:4 * j] for i, j in zip([0, *stops], stops, strict=False)]
 
 
 def _pieces(word: bytes) -> tuple[bytes, ...]:
@@ -50,14 +65,22 @@ def encode(texts: list[bytes], path: str, end_id: int = END_ID) -> tuple[np.ndar
     a text are those of its words, and a word's those of its pieces: each distinct piece goes through the tokenizer once and its
     ids are copied to every place. Only pieces are remembered, up to a bound.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, ends = _tokenizer(path)
     codes, counts, words = word_codes(texts)
-    cut = [_pieces(w) for w in words]
+    cut = [(w.lower(),) if w.isalpha() else _pieces(w) for w in words]
     needed = {p for x in cut for p in x}
     if len(known) + len(needed) > REMEMBERED:
         known.clear()
     new = [p for p in needed if p not in known]
-    for piece, coded in zip(new, tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+    plain, odd = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+    for at in range(0, len(plain), JOINED):
+        some = plain[at:at + JOINED]
+        own = _joined_ids(tokenizer, ends, some)
+        if own is None:
+            odd += some
+        else:
+            known.update(zip(some, own, strict=True))
+    for piece, coded in zip(odd, tokenizer.encode_batch_fast([p.decode() for p in odd], add_special_tokens=False), strict=True):
         known[piece] = array("I", coded.ids).tobytes()
     parts = [known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]] for x in cut]
     parts.append(array("I", [end_id]).tobytes())
