@@ -94,7 +94,8 @@ def dedupe_requests(requests: DataFrame, ttl: str = "5 minutes") -> DataFrame:
     """Requests that reach the network: those not served from the cache.
 
     A success is kept for ``ttl`` from its own fetch, however often it is asked for meanwhile; failures are not kept. Of successes
-    at one moment the first by request id counts. A failure reaches the network unless a fetched success still covers it.
+    at one moment the first by request id counts. A failure reaches the network unless a fetched success still covers it. Rows
+    without provider or URL are no requests.
     """
     keys = ["provider", "url"]
     ttl_us = int(pd.Timedelta(ttl) / pd.Timedelta("1us"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from refaudit.operators.requests import dedupe_requests
+from refaudit.session import stage_table
+
 QUOTA = "provider string, ts timestamp, attempt int, cooldown_until timestamp"
 
 
@@ -39,9 +42,33 @@ def quota_stream(requests: DataFrame) -> DataFrame:
         _advance, QUOTA, "attempt int, until bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def dedupe_stream(requests: DataFrame, ttl: str = "5 minutes") -> DataFrame:
-    """First of equal requests within ``ttl``; state is dropped behind the watermark."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["provider", "url"])
+def fetched_batch(folder: str, ttl: str = "5 minutes") -> Callable[[DataFrame, int], None]:
+    """Writes the requests of a micro-batch that reach the network to ``folder/fetched/batch=N``, by the rule of ``dedupe_requests``.
+
+    ``folder/last/N`` keeps each URL's last fetched success that a later request may still be served from. A batch reads its predecessor's
+    and overwrites its own, so a replayed batch changes nothing.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = spark.read.schema(batch.schema).parquet(f"{folder}/last/{batch_id - 1}") if batch_id else batch.limit(0)
+        rows = dedupe_requests(held.withColumn("_held", F.lit(True)).unionByName(batch.withColumn("_held", F.lit(False))), ttl)
+        rows = stage_table(rows, "fetched-batch")
+        rows.where("not _held").drop("_held").write.mode("overwrite").parquet(f"{folder}/fetched/batch={batch_id}")
+        good = rows.where(F.col("status").between(200, 299)).drop("_held")
+        last = good.groupBy("provider", "url").agg(F.max_by(F.struct(*batch.columns), F.struct("ts", "request_id")).alias("l")).select("l.*")
+        newest = batch.agg(F.max("ts").alias("t")).first()["t"]  # one value
+        if newest is not None:
+            last = last.where(F.col("ts") > F.lit(newest) - F.expr(f"interval {ttl}"))
+        last.write.mode("overwrite").parquet(f"{folder}/last/{batch_id}")
+    return each
+
+
+def dedupe_stream(requests: DataFrame, folder: str, checkpoint: str, ttl: str = "5 minutes"):
+    """Requests that reach the network, as they arrive; a later micro-batch holds no request older than those before.
+
+    Starts an available-now query that fills ``folder/fetched``; the caller waits for it.
+    """
+    return requests.writeStream.foreachBatch(fetched_batch(folder, ttl)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rollup_stream(requests: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -150,8 +150,12 @@ def rollup_stream(spark, sf):
 
 
 def dedupe_stream(spark, sf):
+    """The requests of :func:`dedupe_requests`, from the log as a stream."""
     from refaudit.streaming.requests import dedupe_stream as s
-    return _run(spark, s(_stream(spark, sf)), "append").select("provider", "url").distinct()
+    folder = _log_dir(spark, sf)
+    requests_in = _stream(spark, sf)
+    s(requests_in.withColumn("url", F.regexp_replace("url", "[0-9]+$", "")), folder, folder + "/cp").awaitTermination()
+    return spark.read.schema(requests_in.schema).parquet(folder + "/fetched").select("request_id", "provider", "url")
 
 
 QUERIES = {f.__name__: f for f in (quota_state, dedupe_requests, spacing_violations, event_rollup, latest_events, last_good_snapshot, page_state, retry_delay_ms, duration_ms,
@@ -170,13 +174,14 @@ def _q(body: str, extra: str = "") -> str:
 _BLOCKS = " ".join(
     f"WHEN n BETWEEN {sum(int(p) << s for p, s in zip(b.split('/')[0].split('.'), (24, 16, 8, 0)))} AND {sum(int(p) << s for p, s in zip(b.split('/')[0].split('.'), (24, 16, 8, 0))) + 2 ** (32 - int(b.split('/')[1])) - 1} THEN '{b}'"
     for b in Q.SPECIAL_IPV4)
+_FETCHED = _q("""SELECT request_id, provider, url FROM walk WHERE kept""", """seq AS (SELECT request_id, provider, regexp_replace(url, '[0-9]+$', '') AS url, ts, status = 200 AS ok, row_number() OVER (PARTITION BY provider, regexp_replace(url, '[0-9]+$', '') ORDER BY ts, request_id) AS n FROM requests),
+        walk AS (SELECT request_id, provider, url, n, true AS kept, CASE WHEN ok THEN ts + INTERVAL 5 MINUTE ELSE TIMESTAMP '1970-01-01' END AS until FROM seq WHERE n = 1
+          UNION ALL SELECT s.request_id, s.provider, s.url, s.n, s.ts >= w.until, CASE WHEN s.ts >= w.until AND s.ok THEN s.ts + INTERVAL 5 MINUTE ELSE w.until END FROM walk w JOIN seq s ON s.provider = w.provider AND s.url = w.url AND s.n = w.n + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLES = {
     "quota_state": _q("SELECT * FROM quota", _QUOTA),
     "quota_stream": _q("SELECT * FROM quota", _QUOTA),
-    "dedupe_requests": _q("""SELECT request_id, provider, url FROM walk WHERE kept""", """seq AS (SELECT request_id, provider, regexp_replace(url, '[0-9]+$', '') AS url, ts, status = 200 AS ok, row_number() OVER (PARTITION BY provider, regexp_replace(url, '[0-9]+$', '') ORDER BY ts, request_id) AS n FROM requests),
-        walk AS (SELECT request_id, provider, url, n, true AS kept, CASE WHEN ok THEN ts + INTERVAL 5 MINUTE ELSE TIMESTAMP '1970-01-01' END AS until FROM seq WHERE n = 1
-          UNION ALL SELECT s.request_id, s.provider, s.url, s.n, s.ts >= w.until, CASE WHEN s.ts >= w.until AND s.ok THEN s.ts + INTERVAL 5 MINUTE ELSE w.until END FROM walk w JOIN seq s ON s.provider = w.provider AND s.url = w.url AND s.n = w.n + 1)""").replace("WITH ", "WITH RECURSIVE ", 1),
-    "dedupe_stream": _q("SELECT DISTINCT provider, url FROM requests"),
+    "dedupe_requests": _FETCHED,
+    "dedupe_stream": _FETCHED,
     "spacing_violations": _q("SELECT request_id, round((epoch_us(ts) - epoch_us(p)) / 1000, 3) AS gap_ms, 600000 AS interval_ms FROM (SELECT *, lag(ts) OVER (PARTITION BY provider ORDER BY ts, request_id) AS p FROM requests) WHERE epoch_us(ts) - epoch_us(p) < 600000000"),
     "event_rollup": _q("SELECT date_trunc('hour', ts) AS window_start, provider, count(*) AS requests, count(CASE WHEN status = 200 THEN 1 END) AS responses, count(CASE WHEN status = 429 THEN 1 END) AS waits, count(CASE WHEN status = 503 THEN 1 END) AS errors, arg_max(status, (ts, request_id)) AS last_status FROM requests GROUP BY 1, 2"),
     "rollup_stream": _q("SELECT date_trunc('hour', ts) AS window_start, provider, count(*) AS requests, count(CASE WHEN status = 200 THEN 1 END) AS responses, count(CASE WHEN status = 429 THEN 1 END) AS waits, count(CASE WHEN status = 503 THEN 1 END) AS errors FROM requests GROUP BY 1, 2"),

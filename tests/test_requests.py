@@ -3,6 +3,7 @@ import datetime
 import random
 
 from refaudit.operators.requests import dedupe_requests
+from refaudit.streaming.requests import dedupe_stream, fetched_batch
 
 SCHEMA = "request_id bigint, ts timestamp, provider string, url string, status int, retry_after string"
 DAY = datetime.datetime(2024, 1, 1)
@@ -33,3 +34,21 @@ def test_requests_that_reach_the_network(spark):
 
 def test_nothing_asked(spark):
     assert dedupe_requests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_the_same_as_they_arrive(spark, tmp_path):
+    """Three arrivals, each going on from the last successes of the one before; a replayed batch changes nothing."""
+    rng = random.Random(4)
+    rows = [(i, DAY + datetime.timedelta(seconds=20 * i + rng.randint(0, 19)), "p", f"u{rng.randint(0, 3)}", rng.choice([200, 200, 503]), "") for i in range(300)]
+    folder, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    parts = [spark.createDataFrame(rows[at:at + 100], SCHEMA) for at in (0, 100, 200)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        dedupe_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), folder, checkpoint).awaitTermination()
+
+    def seen():
+        return sorted(r.request_id for r in spark.read.schema(SCHEMA).parquet(folder + "/fetched").collect())
+    first = seen()
+    assert first == sorted(walk(rows))
+    fetched_batch(folder)(parts[2], 2)
+    assert seen() == first
