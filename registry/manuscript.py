@@ -1,7 +1,7 @@
 """Manuscript audit over derived paragraphs: body text, one heading, one bibliography per document."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refaudit.functions import labels as L
@@ -128,11 +128,12 @@ def fuzzy_author(spark, sf):
 
 
 def check_author_group(spark, sf):
-    """Every derived entry has one author, so the list of a two-name reading must differ."""
-    r = C.extract_references(_paragraphs(spark, sf))
-    two = F.array(F.lower("author"), F.lit("nobody"))
-    return r.select("doc_id", "ref_id", C.check_author_group(two, F.lit("A and Nobody"), F.col("authors")).alias("two_names"),
-                    C.check_author_group(F.slice(two, 1, 1), F.col("author"), F.col("authors")).alias("one_name"))
+    """An entry and the next one as one entry of two authors; cited with the one after, alone, and alone with others."""
+    at = Window.partitionBy("doc_id").orderBy("pos")
+    r = C.extract_references(_paragraphs(spark, sf)).select("doc_id", "ref_id", "author", F.lead("author").over(at).alias("n1"), F.lead("author", 2).over(at).alias("n2")).where("n2 is not null")
+    both, own = F.array("author", "n1"), F.lower("author")
+    return r.select("doc_id", "ref_id", C.check_author_group(F.array(own, F.lower("n2")), F.concat("author", F.lit(" and "), "n2"), both).alias("other_second"),
+                    C.check_author_group(F.array(own), F.col("author"), both).alias("alone"), C.check_author_group(F.array(own), F.concat("author", F.lit(" et al.")), both).alias("with_others"))
 
 
 def analyze(spark, sf):
@@ -142,8 +143,9 @@ def analyze(spark, sf):
 
 
 def orphan_references(spark, sf):
+    """Entries that no protected paragraph cites."""
     a = _audit(spark, sf)
-    return C.orphan_references(a.references, a.citations).select("doc_id", "ref_id")
+    return C.orphan_references(a.references, a.citations.where("protected")).select("doc_id", "ref_id")
 
 
 def orphan_citations(spark, sf):
@@ -284,12 +286,14 @@ def editable_paragraphs(spark, sf):
 
 
 def reanalyze(spark, sf):
-    """Edited years are no longer citations of the original year; anchors stay."""
+    """Every second 'p. 12' citation is moved a year on, and unknown 'Missing...' authors are mapped to the first entry; anchors stay."""
     p = _paragraphs(spark, sf)
     refs = stage_table(C.extract_references(p), "refs")
-    patches = _patches(spark, sf).where("original = 'As'")
-    none = spark.createDataFrame([], "doc_id bigint, citation_id string, ref_id string")
-    a = A.reanalyze(p, refs, patches, none)
+    c = view(spark, sf, "cited").withColumn("s", (F.col("author_start") + F.length("author_text") + 2).cast("int"))
+    patches = c.where("form = 4 and k % 2 = 0").select("doc_id", "paragraph_id", F.col("s").alias("start"), (F.col("s") + 4).alias("end"), F.col("cited_year").cast("string").alias("original"),
+                                                       (F.col("cited_year") + 1).cast("string").alias("replacement"), F.col("paragraph_id").alias("group_id"))
+    matches = c.where("author_text like 'Missing%'").select("doc_id", F.concat(F.lit("c"), "paragraph_id", F.lit(":"), F.col("s").cast("string")).alias("citation_id"), F.lit("r0").alias("ref_id"))
+    a = A.reanalyze(p, refs, patches, matches)
     return a.citations.select("doc_id", "paragraph_id", "start", "reference", _code(F.col("kind")).alias("kind"))
 
 
@@ -352,9 +356,10 @@ ORACLES = {
     "citation_ordinal": _sql("SELECT doc_id, paragraph_id, 'Ana metin · paragraf ' || (idx + 1) AS location FROM paragraphs WHERE contains(text, '(')"),
     "resolve_citations": _sql("SELECT doc_id, paragraph_id, s AS start, reference, CASE WHEN kind NOT IN ('orphan', 'fuzzy') THEN kind END AS kind, n_author FROM res"),
     "fuzzy_author": _sql("SELECT res.doc_id, paragraph_id, s AS start, candidate, k.family AS replacement FROM res JOIN keys k ON k.doc_id = res.doc_id AND 'r' || k.pos = candidate").replace("k.family AS replacement", "CASE WHEN NOT protected THEN k.family END AS replacement"),
-    "check_author_group": _sql("SELECT doc_id, 'r' || pos AS ref_id, true AS two_names, false AS one_name FROM bib"),
+    "check_author_group": _sql("""SELECT doc_id, ref_id, n1 <> n2 AS other_second, true AS alone, false AS with_others FROM (SELECT doc_id, 'r' || pos AS ref_id,
+        lower(lead(family) OVER (PARTITION BY doc_id ORDER BY pos)) AS n1, lower(lead(family, 2) OVER (PARTITION BY doc_id ORDER BY pos)) AS n2 FROM bib) WHERE n2 IS NOT NULL"""),
     "analyze": _sql("SELECT doc_id, paragraph_id, s AS start, reference, candidate, kind, kind IS NOT NULL OR protected AS reported, kind = 'fuzzy' AND NOT protected IS NOT DISTINCT FROM true AS has_patch FROM res").replace("kind = 'fuzzy' AND NOT protected IS NOT DISTINCT FROM true", "coalesce(kind = 'fuzzy', false) AND NOT protected"),
-    "orphan_references": _sql("SELECT b.doc_id, 'r' || b.pos AS ref_id FROM bib b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = b.doc_id AND u.reference = 'r' || b.pos)").replace(" SELECT b.doc_id, 'r'", _USED + " SELECT b.doc_id, 'r'", 1),
+    "orphan_references": _sql("SELECT b.doc_id, 'r' || b.pos AS ref_id FROM bib b WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = b.doc_id AND u.reference = 'r' || b.pos)").replace(" SELECT b.doc_id, 'r'", _USED.replace("FROM res WHERE", "FROM res WHERE protected AND").replace("WHERE c.kind", "WHERE c.protected AND c.kind") + " SELECT b.doc_id, 'r'", 1),
     "orphan_citations": _open_sql("SELECT o.doc_id, paragraph_id, s AS start, author_text FROM unknown o LEFT JOIN near n ON n.doc_id = o.doc_id AND n.a = o.a AND n.y = o.y WHERE coalesce(n.n, 0) <> 1"),
     "duplicate_references": _sql("SELECT a.doc_id, 'r' || a.pos AS ref_id, string_agg('r' || b.pos, '|' ORDER BY 'r' || b.pos) AS related FROM bib a JOIN bib b ON a.doc_id = b.doc_id AND a.family = b.family AND a.pos <> b.pos GROUP BY 1, 2"),
     "findings": _sql(f"""SELECT doc_id, finding_group, has_patch, sum(n) AS n FROM (SELECT doc_id, {_GROUP} AS finding_group, coalesce(kind = 'fuzzy', false) AND NOT protected AS has_patch, count(*) AS n FROM res WHERE kind IS NOT NULL OR protected GROUP BY 1, 2, 3
@@ -385,7 +390,8 @@ ORACLES = {
         FROM bib a LEFT JOIN bib b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.pos % 4 = 1 WHERE a.pos % 4 <> 2)"""),
     "split_entry": _sql("SELECT doc_id, 'r' || pos AS ref_id, raw, cast(year AS varchar) AS year_key FROM bib"),
     "editable_paragraphs": _sql("SELECT doc_id, count(*) AS n FROM paragraphs WHERE NOT protected AND idx < 100000 GROUP BY 1"),
-    "reanalyze": _sql("SELECT doc_id, paragraph_id, s AS start, reference, kind FROM res"),
+    "reanalyze": _sql("""SELECT doc_id, paragraph_id, s AS start, CASE WHEN author_text LIKE 'Missing%' THEN 'r0' ELSE reference END AS reference,
+        CASE WHEN author_text NOT LIKE 'Missing%' THEN kind END AS kind FROM res""").replace("AS y, author_start + length", "AS y0, CASE WHEN form = 4 AND k % 2 = 0 AND NOT protected THEN cast(cited_year + 1 AS varchar(10)) ELSE cast(cited_year AS varchar(10)) END AS y, author_start + length", 1),
     "scoped_citations": _sql("SELECT doc_id, paragraph_id, s AS start, reference FROM res WHERE reference IS NOT NULL AND kind IS NULL AND NOT protected"),
     "reusable_results": _sql("SELECT doc_id, count(*) AS n FROM cit WHERE form <> 1 GROUP BY 1"),
     "search_rows": _sql("SELECT doc_id, paragraph_id FROM paragraphs WHERE contains(lower(translate(text, 'İI', 'iı')), 'effect is stable (e')"),
