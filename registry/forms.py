@@ -48,7 +48,16 @@ evidence_key = _doc("evidence_key", lambda c: F.md5(T.evidence_key(c)))
 escape_html = _doc("escape_html", lambda c: F.md5(T.escape_html(c)))
 is_turkish = _doc("is_turkish", R.is_turkish)
 decode_html_bytes = _doc("decode_html_bytes", lambda c: F.md5(T.decode_html_bytes(F.encode(c, "UTF-8"), L("text/html; charset=utf-8"))))
-preprint_notice = _doc("preprint_notice", lambda c: V.preprint_notice(F.array(c, L("Note. This is a non-peer reviewed preprint submitted to X. More."))))
+
+
+def preprint_notice(spark, sf):
+    """By document: no notice, one in the fourth passage, one that ends in an exclamation over two passages, one in capitals without an end."""
+    n, c = C("doc_id"), F.concat(L("Doc "), C("doc_id"), L(". "), C("text"))
+    told = (F.when(n % 4 == 0, F.array(c, L("This is a peer reviewed article."))).when(n % 4 == 1, F.array(c, L("a"), L("b"), L("This is a non-peer reviewed preprint.")))
+            .when(n % 4 == 2, F.array(L("Note. This is an non-peer"), F.concat(L("reviewed  preprint number "), n, L("! More.")), c)).otherwise(F.array(F.concat(L("THIS IS A NON-PEER REVIEWED PREPRINT no "), n))))
+    return docs(spark, sf).select("doc_id", V.preprint_notice(told).alias("v"))
+
+
 get_doi = _bib("get_doi", lambda: [R.get_doi(F.concat(C("raw"), L(").,"))).alias("v")])
 get_arxiv = _bib("get_arxiv", lambda: [R.get_arxiv(F.concat(C("raw"), L(" arXiv: 2301."), F.lpad(C("ref_id").cast("string"), 5, "0"), L("v3"))).alias("v")])
 clean_name = _bib("clean_name", lambda: [T.clean_name(F.concat(C("family"), L(" et al.’s, "))).alias("v")])
@@ -280,7 +289,7 @@ ORACLES = {
     "is_turkish": """SELECT doc_id, tr > en OR (tr = en AND regexp_matches(text, '[çğıöşüÇĞÖŞÜ]')) AS v FROM (SELECT doc_id, text, len(list_filter(w, lambda x: list_contains(""" + _TR + """, x))) AS tr, len(list_filter(w, lambda x: list_contains(""" + _EN + """, x))) AS en
         FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents))""",
     "decode_html_bytes": _d("md5(text)"),
-    "preprint_notice": _d("'This is a non-peer reviewed preprint submitted to X.'"),
+    "preprint_notice": _d("""CASE doc_id % 4 WHEN 2 THEN 'This is an non-peer reviewed preprint number ' || doc_id || '!' WHEN 3 THEN 'THIS IS A NON-PEER REVIEWED PREPRINT no ' || doc_id ELSE '' END"""),
     "get_doi": _b("doi"), "get_arxiv": _b("'2301.' || lpad(cast(ref_id AS varchar), 5, '0')"), "clean_name": _b("family"), "name_key": _b("'sc' || lower(family)"),
     "year_key": _b("CASE WHEN pos % 3 = 0 THEN 'n.d.' ELSE year || 'a' END"), "cited_authors": _b("family || '/A'"),
     "citation_authors": _b("lower(family) || '|ak|oz|' || lower(family)"), "aliases": _b("family || ' Institute (ABC)|ABC|' || family || ' Institute'"),

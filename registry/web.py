@@ -63,8 +63,10 @@ def news_passages(spark, sf):
 
 
 def noise_blocks(spark, sf):
+    """Blocks that are kept of each page: its paragraphs, one as long as its number tells, and one that opens like page furniture on every fourth page."""
     blocks = F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1)
-    return _news(spark, sf).select("page_id", F.size(W.keep_blocks(blocks)).alias("n"))
+    more = F.array(F.repeat(F.lit("x"), (F.col("page_id") % 50).cast("int")), F.concat(F.when(F.col("page_id") % 4 == 0, "Subscribe").otherwise("Subscribers"), F.lit(" to our daily letter of news")))
+    return _news(spark, sf).select("page_id", F.size(W.keep_blocks(F.concat(blocks, more))).alias("n"))
 
 
 def page_meta(spark, sf):
@@ -72,8 +74,10 @@ def page_meta(spark, sf):
 
 
 def page_meta_all(spark, sf):
-    """Named meta tags of the given pages (they carry a charset only)."""
-    return _pages(spark, sf).join(M.page_meta(_pages(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n"))
+    """Named meta tags of the given pages, which carry a charset only, with their address and title written into the head as such."""
+    named = F.concat(F.lit('<head><META  content="'), F.replace("url", F.lit('"'), F.lit("")), F.lit("\" name='X-Address'><meta name=\"empty\" content=\"\"><meta itemprop=pos content="), F.col("page_id"), F.lit(" />"))
+    pages = _pages(spark, sf).withColumn("html", F.replace("html", F.lit("<head>"), named))
+    return M.page_meta(pages).select("page_id", "pos", "key", "content")
 
 
 def meta_multimap(spark, sf):
@@ -232,10 +236,11 @@ _LN = """l0 AS (SELECT doc_id, cast(floor((i - 1) / 5) AS int) + 1 AS page, cast
   ln AS (SELECT * FROM l0 UNION ALL SELECT DISTINCT doc_id, page, 0, 0, 'Collected texts, volume ' || doc_id FROM l0 UNION ALL SELECT DISTINCT doc_id, page, 6, 0, cast(page AS varchar) FROM l0)"""
 ORACLES = {
     "page_title": "SELECT page_id, " + _ENT.format(c="trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g'))") + " AS h1, " + _ENT.format(c="trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g'))") + " AS title FROM pages",
-    "noise_blocks": _n("SELECT page_id, 1 AS n FROM newspages"),
+    "noise_blocks": _n("SELECT page_id, 1 + CASE WHEN page_id % 50 >= 25 THEN 1 ELSE 0 END + CASE WHEN page_id % 4 <> 0 THEN 1 ELSE 0 END AS n FROM newspages"),
     "news_passages": _n("SELECT page_id, 0 AS idx, title || ' ' || repeat('x', 300) || ' is the subject of this article, number ' || page_id || '.' AS text FROM newspages"),
     "page_meta": _n("""SELECT page_id, 'og:site_name' AS key, 'Daily & News' AS content FROM newspages UNION ALL SELECT page_id, 'author', 'Ann ' || family FROM newspages WHERE page_id % 2 = 1 UNION ALL SELECT page_id, 'article:published_time', true_year || '-03-05' FROM newspages WHERE page_id % 2 = 1"""),
-    "page_meta_all": "SELECT page_id, 0 AS n FROM pages",
+    "page_meta_all": """SELECT page_id, 0 AS pos, 'x-address' AS key, replace(url, '"', '') AS content FROM pages
+        UNION ALL SELECT page_id, 1, 'pos', page_id::VARCHAR FROM pages""",
     "meta_multimap": _n("""SELECT page_id, 'og:site_name' AS key, 'Daily & News' AS first, 1 AS n FROM newspages UNION ALL SELECT page_id, 'author', 'Ann ' || family, 1 FROM newspages WHERE page_id % 2 = 1 UNION ALL SELECT page_id, 'article:published_time', true_year || '-03-05', 1 FROM newspages WHERE page_id % 2 = 1"""),
     "tag_attrs": "SELECT page_id, " + _ENT.format(c="regexp_extract(t, 'href=\"([^\"]*)\"', 1)") + " AS href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>')) AS t FROM pages) GROUP BY 1, 2",
     "jsonld_nodes": _n("SELECT page_id, 0 AS pos, NULL AS name, title AS headline, true_year || '-03-05' AS published FROM newspages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 1, 'Ann ' || family, NULL, NULL FROM newspages WHERE page_id % 2 = 0"),
