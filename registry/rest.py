@@ -11,6 +11,7 @@ from refaudit.plans.verification import verify_references
 
 from . import evidence as RE
 from . import forms as RF
+from . import linkage as RL
 from . import manuscript as RM
 from .linkage import catalog, entries
 from .logs import requests
@@ -67,7 +68,7 @@ def errors_decide(spark, sf):
     """Entries whose lookups failed technically are 'error', not 'failed'."""
     e = entries(spark, sf)
     err = e.where("ref_id % 2 = 1").select("ref_id", L(0).alias("seq"), L("CORE").alias("provider"), L(429).alias("status"), L("").alias("message"), F.lit("2024-01-01").cast("timestamp").alias("retry_at"))
-    return verify_references(e, catalog(spark, sf), errors=err).where("status in ('error', 'failed')").select("ref_id", "status", F.size("warnings").alias("n_warnings"))
+    return verify_references(e, catalog(spark, sf), errors=err).select("ref_id", "status", F.size("warnings").alias("n_warnings"))
 
 
 def nfkd(spark, sf):
@@ -87,5 +88,7 @@ ORACLES = {
     "changed_decisions": with_views("SELECT doc_id, ref_id FROM bib WHERE ref_id % 9 = 0 OR (ref_id % 8 = 0 AND damage NOT IN (1, 5))", "bib"),
     "error_summary": with_views("""SELECT cast(floor(request_id / 50) AS bigint) AS ref_id, count(*) AS n_warnings, arg_min(CASE WHEN status = 429 THEN provider || ': sorgu kotası/hız sınırı (HTTP 429)' ELSE 'fault' END, request_id) AS first_warning,
         count(CASE WHEN status = 429 THEN 1 END) AS n_pending, min(CASE WHEN status = 429 THEN ts END) AS pending_retry_at FROM requests WHERE status <> 200 GROUP BY 1""", "requests"),
+    "errors_decide": f"""SELECT ref_id, CASE WHEN status = 'failed' AND ref_id % 2 = 1 THEN 'error' ELSE status END AS status, cast(ref_id % 2 AS int) AS n_warnings
+        FROM ({RL.ORACLES["verify_references"]})""",
     "nfkd": "SELECT doc_id, md5(strip_accents(text)) AS v FROM documents",
 }
