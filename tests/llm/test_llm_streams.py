@@ -298,5 +298,5 @@ def test_pipeline(spark):
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()) == list(range(1, 14)) and "pipeline" in queries()
     assert {"op2_sharding", "op3_exact_dedup", "op8_warc"} <= set(oracle_sql())
