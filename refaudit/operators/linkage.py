@@ -97,17 +97,24 @@ def primary_identity_found(ranked: DataFrame, key: str = "query_id") -> DataFram
 
 # --- DOI and title joins -----------------------------------------------------------------
 
-def match_by_doi(qs: DataFrame, works: DataFrame, providers: list[str] | None = None) -> DataFrame:
-    """Exact DOI lookup: the first work of each (provider, DOI), joined to the questions.
-
-    ``min_by`` reduces copies of one DOI on the map side, so the right side holds at most one
-    row per provider and a popular DOI only makes the left side long (AQE splits that).
-    """
+def first_by_doi(works: DataFrame, providers: list[str] | None = None) -> DataFrame:
+    """The first work of each (provider, DOI); ``min_by`` reduces copies of one DOI on the map side."""
     side = works.where(F.col("doi") != "")
     if providers:
         side = side.where(F.col("provider").isin(providers))
-    first = side.groupBy("provider", "doi").agg(
-        F.min_by(F.struct(*SCORING), F.struct("row_rank", "work_id")).alias("w")).select("w.*")
+    return side.groupBy("provider", "doi").agg(F.min_by(F.struct(*SCORING), F.struct("row_rank", "work_id")).alias("w")).select("w.*")
+
+
+def match_by_doi(qs: DataFrame, works: DataFrame, providers: list[str] | None = None) -> DataFrame:
+    """Exact DOI lookup: the first work of each (provider, DOI), joined to the questions."""
+    return join_by_doi(qs, first_by_doi(works, providers))
+
+
+def join_by_doi(qs: DataFrame, first: DataFrame) -> DataFrame:
+    """Questions and ``first`` (see :func:`first_by_doi`) by DOI.
+
+    The right side holds at most one row per provider and DOI, so a popular DOI only makes the left side long (AQE splits that).
+    """
     left = _question_columns(qs.where(F.col("doi") != ""))
     pairs = left.join(first, left.q_doi == first.doi)
     return score_pairs(pairs.withColumn("title_match", title_score(F.col("q_title_norm"), F.col("title_norm"))))

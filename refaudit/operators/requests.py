@@ -50,6 +50,44 @@ def quota_state(requests: DataFrame) -> DataFrame:
         "provider", until.alias("cooldown_until"), F.coalesce("attempt", F.lit(0)).alias("attempt"))
 
 
+def quota_summary(requests: DataFrame) -> DataFrame:
+    """What a stretch of the log does to each provider's quota: ``provider, ts, ok, attempt, l``.
+
+    ``ts`` is the last answer, ``ok`` says whether any succeeded, ``attempt`` counts the 429 answers after the last success and
+    ``l`` is the last of those. Summaries of consecutive stretches merge (:func:`merge_quota`). Answers combine per provider and
+    minute; of the rows themselves only those in the minute of a last success are read again, so a busy provider is spread
+    over its minutes.
+    """
+    seq, ok, limited = F.struct("ts", "request_id"), F.col("status").between(200, 299), F.col("status") == 429
+    rows = requests.select("provider", "ts", "request_id", "status", "retry_after", F.date_trunc("minute", "ts").alias("minute"))
+    answer = F.struct("ts", "request_id", "retry_after")
+    minutes = rows.groupBy("provider", "minute").agg(F.max("ts").alias("ts"), F.max(F.when(ok, seq)).alias("ok_at"), F.count_if(limited).alias("n"), F.max(F.when(limited, answer)).alias("l"))
+    minutes = stage_table(minutes, "quota-minutes")
+    last = minutes.groupBy("provider").agg(F.max("ts").alias("ts"), F.max("ok_at").alias("ok_at")).withColumn("ok_minute", F.date_trunc("minute", "ok_at.ts"))
+    later = minutes.drop("ts", "ok_at").join(last, "provider").where(F.col("ok_at").isNull() | (F.col("minute") > F.col("ok_minute"))).select("provider", "n", "l")
+    same = rows.where(limited).join(last.select("provider", "ok_at", F.col("ok_minute").alias("minute")), ["provider", "minute"]).where(seq > F.col("ok_at"))
+    after = later.unionByName(same.groupBy("provider").agg(F.count("*").alias("n"), F.max(answer).alias("l")))
+    after = after.groupBy("provider").agg(F.sum("n").alias("attempt"), F.max("l").alias("l"))
+    return last.join(after, "provider", "left").select("provider", "ts", F.col("ok_at").isNotNull().alias("ok"), F.coalesce("attempt", F.lit(0)).alias("attempt"), "l")
+
+
+def merge_quota(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The summary of two consecutive stretches of the log; one row per provider on either side."""
+    b, a = before.alias("b"), after.alias("a")
+    reset = F.coalesce(F.col("a.ok"), F.lit(False))
+    attempt = F.when(reset, F.col("a.attempt")).otherwise(F.coalesce("b.attempt", F.lit(0)) + F.coalesce("a.attempt", F.lit(0)))
+    return b.join(a, F.col("b.provider").eqNullSafe(F.col("a.provider")), "full_outer").select(
+        F.coalesce("a.provider", "b.provider").alias("provider"), F.coalesce("a.ts", "b.ts").alias("ts"), (reset | F.coalesce("b.ok", F.lit(False))).alias("ok"),
+        attempt.alias("attempt"), F.when(reset, F.col("a.l")).otherwise(F.coalesce("a.l", "b.l")).alias("l"))
+
+
+def summary_state(summary: DataFrame) -> DataFrame:
+    """(provider, ts, attempt, cooldown_until) of a summary that begins with the log."""
+    wait = retry_delay_ms(F.col("l.retry_after"), F.col("attempt") - 1, F.col("l.ts"))
+    until = F.timestamp_millis(F.unix_millis(F.col("l.ts").cast("timestamp")) + wait)
+    return summary.select("provider", "ts", "attempt", until.alias("cooldown_until"))
+
+
 def retry_due(results: DataFrame, cooldowns: DataFrame, now: Column) -> DataFrame:
     """Waiting entries whose providers' cooldowns are over, least often retried first (``turn``).
 

@@ -1,6 +1,9 @@
 """Bibliography verification: entries in, one decision per entry out."""
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,10 +11,10 @@ from refaudit.functions import labels as L
 from refaudit.functions.apa import apa_spans, format_crossref_apa, spans_html, spans_text
 from refaudit.functions.reference import describe_error, get_doi
 from refaudit.functions.web import parse_web_reference
-from refaudit.operators.linkage import (is_primary_identity, is_strong, match_by_doi,
-                                        match_by_title, prepare_catalog, prepare_references, questions)
+from refaudit.operators.linkage import (first_by_doi, is_primary_identity, is_strong, join_by_doi, match_by_title,
+                                        prepare_catalog, prepare_references, questions)
 from refaudit.operators.shaping import with_computed
-from refaudit.session import stage_table
+from refaudit.session import checkpoint_dir, stage_table
 
 PRIMARY = "Crossref"
 DOI_ONLY = ("Crossref", "DataCite")           # stages 1 and 2
@@ -21,6 +24,34 @@ WORK_FIELDS = ("title", "author", "year", "doi", "container_title", "volume", "i
 _FLAGS = ("title_match", "author_match", "year_match", "doi_match", "requires_review")
 
 
+@dataclass(frozen=True)
+class PreparedCatalog:
+    """A catalog made ready once: ``works`` in normal form, ``by_doi`` (bucketed by DOI) and ``wide`` (bucketed by work id)."""
+
+    works: DataFrame
+    by_doi: DataFrame
+    wide: DataFrame
+
+
+def prepare(catalog: DataFrame, buckets: int | None = None) -> PreparedCatalog:
+    """Write a catalog's normal forms and its two bucketed indexes under a new version name in the shared folder.
+
+    Lookups by DOI and by work id shuffle the asked rows only: the catalog side of either join lies in ``buckets`` (the number of
+    shuffle partitions unless given) already. The tables are Spark tables of this session; their files stay in the shared folder.
+    """
+    spark, version = catalog.sparkSession, uuid.uuid4().hex
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    works = stage_table(prepare_catalog(catalog), "works")
+
+    def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+        name = f"refaudit_{label}_{version}"
+        path = f"{checkpoint_dir(spark).rstrip('/')}/refaudit-catalog/{version}/{label}"
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+        return spark.table(name)
+    wide = catalog.select("work_id", *[F.col(c).alias(f"w_{c}") for c in WORK_FIELDS])
+    return PreparedCatalog(works, bucketed(first_by_doi(works), "doi", "by_doi"), bucketed(wide, "work_id", "wide"))
+
+
 def _route_stage(provider: Column, route: Column) -> Column:
     at = F.array_position(route, provider)
     return F.when(at > 0, at.cast("int") + 4)
@@ -43,7 +74,7 @@ def _staged(doi_hits: DataFrame, title_hits: DataFrame, qs: DataFrame) -> DataFr
     return by_doi.unionByName(by_title).where(F.col("stage").isNotNull())
 
 
-def waterfall(qs: DataFrame, works: DataFrame, primary_only: bool = False, k: int = 5) -> DataFrame:
+def waterfall(qs: DataFrame, works: DataFrame, primary_only: bool = False, k: int = 5, by_doi: DataFrame | None = None) -> DataFrame:
     """Cascade over the providers; stops once an entry is settled.
 
     Exact DOI lookups run first for everybody (one equi-join); only entries they do not settle
@@ -51,7 +82,7 @@ def waterfall(qs: DataFrame, works: DataFrame, primary_only: bool = False, k: in
     question, at most ``k`` candidates for each of the (about 15) steps.
     """
     # An arXiv id is looked up at arXiv only; never by title.
-    doi_hits = stage_table(match_by_doi(qs, works), "doi-hits")
+    doi_hits = stage_table(join_by_doi(qs, first_by_doi(works) if by_doi is None else by_doi), "doi-hits")
     early = doi_hits.where(F.col("provider").isin(*DOI_ONLY))
     settled = (early.groupBy("query_id")
                .agg(F.min_by(is_strong(), F.struct(-F.col("score"), "provider_rank", "row_rank")).alias("strong"),
@@ -129,12 +160,13 @@ def error_summary(errors: DataFrame, key: str = "ref_id") -> DataFrame:
         F.min("retry_at").alias("pending_retry_at"), F.bool_or(down).alias("primary_unavailable"))
 
 
-def verify_references(refs: DataFrame, catalog: DataFrame, primary_only: bool = False, errors: DataFrame | None = None,
+def verify_references(refs: DataFrame, catalog: DataFrame | PreparedCatalog, primary_only: bool = False, errors: DataFrame | None = None,
                       web_meta: DataFrame | None = None, k: int = 5, google_books: bool = False) -> DataFrame:
     """Decide ``verified / review / failed / error`` for every entry and propose its APA form.
 
     ``refs(ref_id, raw, ...)`` keeps its columns; the result has exactly one row per entry.
-    ``errors(ref_id, seq, provider, status, message, retry_at)`` reports failed lookups.
+    ``errors(ref_id, seq, provider, status, message, retry_at)`` reports failed lookups. A catalog that is asked more than once is
+    better made ready with :func:`prepare`.
     Entries that are web links without a DOI are left to ``web_meta`` (see ``compare_web``).
     """
     if web_meta is not None:
@@ -148,8 +180,10 @@ def verify_references(refs: DataFrame, catalog: DataFrame, primary_only: bool =
     # Parsed entries, questions and normalised works are each read by several joins below.
     prepared = stage_table(prepare_references(refs, google_books=google_books), "entries")
     qs = stage_table(questions(prepared), "questions")
+    if isinstance(catalog, PreparedCatalog):
+        return decide(prepared, refs.columns, waterfall(qs, catalog.works, primary_only, k, catalog.by_doi), catalog.wide, errors)
     decided = waterfall(qs, stage_table(prepare_catalog(catalog), "works"), primary_only, k)
-    return decide(prepared, refs.columns, decided, catalog, errors)
+    return decide(prepared, refs.columns, decided, catalog.select("work_id", *[F.col(c).alias(f"w_{c}") for c in WORK_FIELDS]), errors)
 
 
 def format_best(answers: DataFrame) -> DataFrame:
@@ -164,13 +198,12 @@ def format_best(answers: DataFrame) -> DataFrame:
         spans_html(F.col("_spans")).alias("suggested_html"))
 
 
-def decide(prepared: DataFrame, keep: list[str], decided: DataFrame, catalog: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def decide(prepared: DataFrame, keep: list[str], decided: DataFrame, wide: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Status, score, changes, reasons and output text from the best candidate of each question.
 
     The wide catalog columns meet only the one chosen work per question, and formatting runs
     once per question rather than once per entry.
     """
-    wide = catalog.select("work_id", *[F.col(c).alias(f"w_{c}") for c in WORK_FIELDS])
     best = decided.drop("neg", "stage", "by_title", "provider_rank", "row_rank")
     answers = format_best(best.join(wide, "work_id", "left"))
     rows = prepared.select(*keep, "query_id", "year", "doi", "title", "arxiv").join(answers, "query_id", "left")
@@ -213,8 +246,12 @@ def decide(prepared: DataFrame, keep: list[str], decided: DataFrame, catalog: Da
         "warnings", "sources_checked", F.coalesce(fallback, F.lit(True)).alias("fallback_needed"), "pending_providers", "pending_retry_at")
 
 
-def two_phase_verify(refs: DataFrame, catalog: DataFrame, **options) -> DataFrame:
-    """Everybody against the primary index first; only the leftovers see the other providers."""
-    first = verify_references(refs, catalog, primary_only=True, **options)
+def two_phase_verify(refs: DataFrame, catalog: DataFrame | PreparedCatalog, **options) -> DataFrame:
+    """Everybody against the primary index first; only the leftovers see the other providers.
+
+    The catalog is made ready once and the first answers are written once, so neither is computed for both phases.
+    """
+    catalog = catalog if isinstance(catalog, PreparedCatalog) else prepare(catalog)
+    first = stage_table(verify_references(refs, catalog, primary_only=True, **options), "primary-phase")
     rest = first.where("fallback_needed").select(*refs.columns)
     return first.where("not fallback_needed").unionByName(verify_references(rest, catalog, **options))

@@ -1,45 +1,42 @@
 """Streams over request logs and bibliographies."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from refaudit.operators.requests import dedupe_requests
+from refaudit.operators.requests import dedupe_requests, merge_quota, quota_summary, summary_state
+from refaudit.plans.verification import PreparedCatalog, prepare, verify_references
 from refaudit.session import stage_table
 
-QUOTA = "provider string, ts timestamp, attempt int, cooldown_until timestamp"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one provider's new answers into (attempt, cooldown); the state is two numbers."""
-    attempt, until = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-    last = None
-    for r in rows.itertuples(index=False):
-        if r.status == 429:
-            at = int(r.ts.timestamp() * 1000)
-            text = str(r.retry_after or "").strip()
-            if text.isdigit():
-                delay = max(1000, int(text) * 1000)
-            else:
-                stated = pd.to_datetime(text, format="%a, %d %b %Y %H:%M:%S GMT", errors="coerce") if text else pd.NaT
-                delay = min(900_000, 60_000 * 2 ** min(attempt, 4)) if pd.isna(stated) else max(1000, int(stated.timestamp() * 1000) - at)
-            attempt, until = attempt + 1, at + delay
-        elif 200 <= r.status < 300:
-            attempt, until = 0, 0
-        last = r.ts
-    state.update((attempt, until))
-    yield pd.DataFrame({"provider": [key[0]], "ts": [last], "attempt": [attempt], "cooldown_until": [pd.to_datetime(until, unit="ms") if until else pd.NaT]})
-
-
-def quota_stream(requests: DataFrame) -> DataFrame:
-    """Quota state per provider after every micro-batch (update mode)."""
-    return requests.select("provider", "ts", "request_id", "status", "retry_after").groupBy("provider").applyInPandasWithState(
-        _advance, QUOTA, "attempt int, until bigint", "update", GroupStateTimeout.NoTimeout)
+
+def quota_batch(folder: str) -> Callable[[DataFrame, int], None]:
+    """Merges a micro-batch into the quota summaries and writes them to ``folder/quota/batch=N``.
+
+    A batch is summed up per provider and minute by Spark and merged with its predecessor's summaries, one row per provider. It overwrites
+    its own, so a replayed batch changes nothing.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        new = quota_summary(batch)
+        held = batch.sparkSession.read.schema(new.schema).parquet(f"{folder}/quota/batch={batch_id - 1}") if batch_id else new.limit(0)
+        merge_quota(held, new).write.mode("overwrite").parquet(f"{folder}/quota/batch={batch_id}")
+    return each
+
+
+def quota_stream(requests: DataFrame, folder: str, checkpoint: str):
+    """Quota state per provider as requests arrive; a later micro-batch holds no request older than those before.
+
+    Starts an available-now query that fills ``folder/quota``; the caller waits for it and reads with :func:`quota_after`.
+    """
+    return requests.writeStream.foreachBatch(quota_batch(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def quota_after(spark: SparkSession, folder: str) -> DataFrame:
+    """(provider, ts, attempt, cooldown_until) as the last micro-batch left it."""
+    rows = spark.read.parquet(f"{folder}/quota")
+    last = rows.agg(F.max("batch")).first()[0]  # one value
+    return summary_state(rows.where(F.col("batch") == last).drop("batch"))
 
 
 def fetched_batch(folder: str, ttl: str = "5 minutes") -> Callable[[DataFrame, int], None]:
@@ -80,17 +77,32 @@ def rollup_stream(requests: DataFrame, window: str = "1 hour", late: str = "10 m
     return g.select(F.col("w.start").alias("window_start"), "provider", "requests", "responses", "waits", "errors", "last_status")
 
 
-def verify_stream(refs: DataFrame, catalog: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Verify entries as they arrive: primary decisions first, leftovers in a second write.
+def verify_batch(catalog: PreparedCatalog, folder: str) -> Callable[[DataFrame, int], None]:
+    """Decides a micro-batch and writes to ``folder/batch=N``: ``phase=0`` by the primary index alone, ``phase=1`` the leftovers by all.
 
-    ``sink(results, batch_id)`` is called twice per micro-batch and should upsert by ``ref_id``.
-    Starts an available-now query; the caller waits for it.
+    Both overwrite their own folder, so a replayed batch changes nothing.
     """
-    from refaudit.plans.verification import verify_references
-
     def each(batch: DataFrame, batch_id: int) -> None:
-        first = verify_references(batch, catalog, primary_only=True)
-        sink(first, batch_id)
-        rest = first.where("fallback_needed").select(*batch.columns)
-        sink(verify_references(rest, catalog), batch_id)
-    return refs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        first = f"{folder}/batch={batch_id}/phase=0"
+        out = verify_references(batch, catalog, primary_only=True)
+        out.write.mode("overwrite").parquet(first)
+        rest = batch.sparkSession.read.schema(out.schema).parquet(first).where("fallback_needed").select(*batch.columns)
+        verify_references(rest, catalog).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}/phase=1")
+    return each
+
+
+def verify_stream(refs: DataFrame, catalog: DataFrame | PreparedCatalog, folder: str, checkpoint: str):
+    """Verify entries as they arrive against a catalog that is prepared once.
+
+    Starts an available-now query that fills ``folder``; the caller waits for it and reads with :func:`decisions`.
+    """
+    prepared = catalog if isinstance(catalog, PreparedCatalog) else prepare(catalog)
+    return refs.writeStream.foreachBatch(verify_batch(prepared, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest decision per entry: an entry that comes again, or falls through to the second phase, replaces its earlier one."""
+    rows = spark.read.parquet(folder)
+    fields = [c for c in rows.columns if c not in ("batch", "phase")]
+    latest = rows.groupBy("ref_id").agg(F.max_by(F.struct(*fields), F.struct("batch", "phase")).alias("d"))
+    return latest.select("d.*")

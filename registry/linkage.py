@@ -171,6 +171,21 @@ def two_phase_verify(spark, sf):
     return out.select("ref_id", "status", "score", "work_id")
 
 
+def verify_stream(spark, sf):
+    """All entries as a stream in two micro-batches; the latest decision of each."""
+    import uuid
+
+    from refaudit.session import checkpoint_dir
+    from refaudit.streaming.requests import decisions
+    from refaudit.streaming.requests import verify_stream as s
+    folder, rows = f"{checkpoint_dir(spark)}/refaudit-stream/{uuid.uuid4().hex}", entries(spark, sf)
+    prepared, half = P.prepare(catalog(spark, sf)), F.pmod(F.xxhash64("ref_id"), F.lit(2))
+    for i in range(2):
+        rows.where(half == i).write.mode("append").parquet(folder + "/in")
+        s(spark.readStream.schema(rows.schema).parquet(folder + "/in"), prepared, folder + "/out", folder + "/cp").awaitTermination()
+    return decisions(spark, folder + "/out").select("ref_id", "status", "score", "work_id")
+
+
 def status_summary(spark, sf):
     from refaudit.operators.reports import status_summary as s
     return s(P.verify_references(entries(spark, sf), catalog(spark, sf)))
@@ -197,7 +212,7 @@ _SRC = _SOURCES.format(s="coalesce(f.stop, 99)")
 QUERIES = {f.__name__: f for f in (
     match_by_doi, match_by_title, match_by_title_prefix, title_pairs, score_candidates, best_candidate, is_strong,
     primary_identity_found, union_candidates, limit_per_key, route_providers, waterfall, verify_references, verified_output,
-    two_phase_verify, status_summary, changed_fields, sources_checked)}
+    two_phase_verify, verify_stream, status_summary, changed_fields, sources_checked)}
 
 ORACLES = {
     "match_by_doi": _sql(f"SELECT {_hit} FROM doi_hits", _DOI),
@@ -225,6 +240,7 @@ ORACLES = {
         coalesce(f.n_candidates, 0) AS n_candidates, {_SRC} AS sources FROM bib b LEFT JOIN final f ON b.ref_id = f.ref_id""", *_CASCADE),
     "verify_references": _sql("SELECT ref_id, status, score, work_id, NOT primary_found AND NOT strong AS fallback_needed, hit_provider AS provider FROM decision", *_CASCADE),
     "verified_output": _sql("SELECT ref_id, status <> 'verified' AS kept, work_id IS NOT NULL AS proposed FROM decision", *_CASCADE),
+    "verify_stream": _sql("SELECT ref_id, status, score, work_id FROM decision", *_CASCADE),
     "two_phase_verify": _sql("SELECT ref_id, status, score, work_id FROM decision", *_CASCADE),
     "status_summary": _sql("SELECT coalesce(status, 'all') AS status, count(*) AS n FROM decision GROUP BY ROLLUP (decision.status)", *_CASCADE),
     "changed_fields": _sql("""SELECT d.ref_id, d.work_id IS NOT NULL AND w.doi <> '' AND b.doi = '' AS doi_found,
