@@ -82,40 +82,51 @@ def query_weights(citations: DataFrame, expansion: DataFrame | None = None) -> D
     return terms.groupBy("citation_id", "pub_id", "term").agg(F.max(weight).alias("weight"))
 
 
+#: Parts of the citations of a publication that are scored apart.
+SALTS = 8
+
+
 def passage_terms(publications: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per passage: length in terms and characters, and the terms its publication is asked for.
+    """Per passage of a cited publication: length in terms and characters, and its terms.
 
-    Publications meet their query terms before anything is tokenised, so uncited texts are
-    dropped unread and only matching terms leave the row; the text itself is shuffled once.
+    Publications that nobody cites are dropped unread; what is asked of a publication never meets its text in one row, so a
+    publication that very many citations ask about costs what any other does.
     """
-    asked = weights.groupBy("pub_id").agg(F.collect_set("term").alias("asked"))
-    rows = chunk_passages(publications.select("pub_id", "passages").join(asked, "pub_id"))
+    rows = chunk_passages(publications.select("pub_id", "passages").join(weights.select("pub_id").distinct(), "pub_id", "left_semi"))
     rows = with_computed(rows, terms=retrieval_terms(F.col("text")))
-    return rows.select("pub_id", "idx", "passage_id", F.length("text").alias("n_chars"), F.greatest(F.size("terms"), F.lit(1)).alias("n_terms"),
-                       F.filter("terms", lambda t: F.array_contains(F.col("asked"), t)).alias("kept"))
+    return rows.select("pub_id", "idx", "passage_id", F.length("text").alias("n_chars"), F.greatest(F.size("terms"), F.lit(1)).alias("n_terms"), "terms")
+
 
+def term_statistics(rows: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(publication: passages, average length), (publication, asked term: passage, ``tf``, its length and ``df``).
 
-def term_statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(publication: passages, average length), (publication, term: postings with tf and length)."""
+    Terms are counted per passage before the shuffle and only asked (publication, term) pairs stay.
+    """
     stats = rows.groupBy("pub_id").agg(F.count("*").alias("n"), (F.sum("n_terms") / F.count("*")).alias("average"))
-    tf = rows.select("pub_id", "idx", "n_terms", F.explode("kept").alias("term")).groupBy("pub_id", "term", "idx", "n_terms").agg(F.count("*").alias("tf"))
-    postings = tf.groupBy("pub_id", "term").agg(F.collect_list(F.struct("idx", "tf", "n_terms")).alias("postings"))
-    return stats, postings
+    tf = rows.select("pub_id", "idx", "n_terms", F.explode("terms").alias("term")).groupBy("pub_id", "term", "idx", "n_terms").agg(F.count("*").alias("tf"))
+    tf = stage_table(tf.join(weights.select("pub_id", "term").distinct(), ["pub_id", "term"], "left_semi"), "postings")
+    return stats, tf.join(tf.groupBy("pub_id", "term").agg(F.count("*").alias("df")), ["pub_id", "term"])
 
 
-def bm25(publications: DataFrame, weights: DataFrame) -> DataFrame:
-    """(citation_id, pub_id, idx, passage_id, n_chars, score) for every passage of the cited publication.
+def bm25_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(citation_id, pub_id, idx, score) of the passages that share a term with the citation.
 
-    An inverted-index join on (publication, term); passages without a hit score 0.
+    An inverted-index join on (publication, term). A term that very many citations ask of one publication is dealt over
+    ``SALTS`` parts of the citations; the postings, at most one per passage, are copied to each part.
     """
+    stats, postings = term_statistics(rows, weights)
+    thin = postings.join(stats, "pub_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = weights.withColumn("salt", F.pmod(F.xxhash64("citation_id"), F.lit(SALTS)).cast("int"))
+    hits = dealt.join(thin, ["pub_id", "term", "salt"])
+    part = bm25_weight(F.col("weight"), F.col("tf"), F.col("df"), F.col("n"), F.col("n_terms"), F.col("average"))
+    return hits.groupBy("citation_id", "pub_id", "idx").agg(F.sum(part).alias("score"))
+
+
+def bm25(publications: DataFrame, weights: DataFrame) -> DataFrame:
+    """(citation_id, pub_id, idx, passage_id, n_chars, score) for every passage of the cited publication; 0 without a hit."""
     rows = stage_table(passage_terms(publications, weights), "passage-terms")
-    stats, postings = term_statistics(rows)
-    hits = weights.join(postings, ["pub_id", "term"]).join(stats, "pub_id")
-    hits = hits.select("citation_id", "pub_id", "weight", "n", "average", F.size("postings").alias("df"), F.explode("postings").alias("p"))
-    part = bm25_weight(F.col("weight"), F.col("p.tf"), F.col("df"), F.col("n"), F.col("p.n_terms"), F.col("average"))
-    scores = hits.groupBy("citation_id", "pub_id", F.col("p.idx").alias("idx")).agg(F.sum(part).alias("score"))
     pairs = weights.select("citation_id", "pub_id").distinct().join(rows.select("pub_id", "idx", "passage_id", "n_chars"), "pub_id")
-    return pairs.join(scores, ["citation_id", "pub_id", "idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return pairs.join(bm25_scores(rows, weights), ["citation_id", "pub_id", "idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def rank_passages(scored: DataFrame) -> DataFrame:
@@ -125,18 +136,22 @@ def rank_passages(scored: DataFrame) -> DataFrame:
 
 
 def plan_batches(ranked: DataFrame, budget: int = BATCH_CHARACTERS) -> DataFrame:
-    """Batch number per passage: the opening passage first, then by rank, filled greedily to the budget."""
+    """Batch number per passage: the opening passage first, then by rank, filled greedily to the budget.
+
+    Only the borders of batches are gathered as a citation's passages are read in order; a passage's batch is the number of
+    borders up to its place. So time grows with the passages, not with their square.
+    """
     order = F.struct((F.col("idx") != 0).alias("late"), "rank", "idx", "passage_id", "n_chars")
     lists = ranked.groupBy("citation_id", "pub_id").agg(F.array_sort(F.collect_list(order)).alias("o"))
 
     def step(acc: Column, x: Column) -> Column:
         full = (acc["size"] + x["n_chars"] > budget) & (acc["size"] > 0)
-        number = F.when(full, acc["number"] + 1).otherwise(acc["number"])
-        return F.struct(number.alias("number"), F.when(full, x["n_chars"]).otherwise(acc["size"] + x["n_chars"]).alias("size"), F.array_append(acc["of"], number).alias("of"))
-    start = F.struct(F.lit(0).alias("number"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("of"))
-    numbered = with_computed(lists, of=F.aggregate("o", start, step, lambda a: a["of"]))
-    rows = numbered.select("citation_id", "pub_id", F.inline(F.arrays_zip("o", "of")).alias("x", "batch"))
-    return rows.select("citation_id", "pub_id", "x.idx", "x.passage_id", "x.n_chars", "batch")
+        return F.struct((acc["at"] + 1).alias("at"), F.when(full, x["n_chars"]).otherwise(acc["size"] + x["n_chars"]).alias("size"),
+                        F.when(full, F.array_append(acc["borders"], acc["at"])).otherwise(acc["borders"]).alias("borders"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("borders"))
+    cut = with_computed(lists, borders=F.aggregate("o", start, step, lambda a: a["borders"]))
+    rows = cut.select("citation_id", "pub_id", "borders", F.posexplode("o").alias("at", "x"))
+    return rows.select("citation_id", "pub_id", "x.idx", "x.passage_id", "x.n_chars", F.size(F.filter("borders", lambda b: b <= F.col("at"))).alias("batch"))
 
 
 def select_passages(publications: DataFrame, citations: DataFrame, k: int = 3) -> DataFrame:

@@ -57,9 +57,9 @@ def query_weights(spark, sf):
 
 
 def term_statistics(spark, sf):
-    rows = E.passage_terms(publications(spark, sf), E.query_weights(citations(spark, sf)))
-    stats, postings = E.term_statistics(rows)
-    return postings.join(stats, "pub_id").select("pub_id", "term", F.size("postings").alias("df"), "n", F.round("average", 6).alias("average"))
+    weights = E.query_weights(citations(spark, sf))
+    stats, postings = E.term_statistics(E.passage_terms(publications(spark, sf), weights), weights)
+    return postings.select("pub_id", "term", "df").distinct().join(stats, "pub_id").select("pub_id", "term", "df", "n", F.round("average", 6).alias("average"))
 
 
 def bm25(spark, sf):
