@@ -108,8 +108,9 @@ def declared_language(value: Column) -> Column:
 
 
 def markup_language(html: Column) -> Column:
-    """The language that the page's html tag declares; NULL if none."""
-    return F.nullif(F.regexp_extract(F.substring(html, 1, 1 << 16), r"(?i)<html\b[^>]{0,2000}?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
+    """The language that the page's first html tag declares, wherever it stands; NULL if none."""
+    tag = F.regexp_extract(html, r"(?i)<html\b([^<>]*+)", 1)
+    return F.nullif(F.regexp_extract(tag, r"(?i)\blang\s*+=\s*+[\"']?([A-Za-z-]+)", 1), F.lit(""))
 
 
 def address_host(url: Column) -> Column:
@@ -156,7 +157,8 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, labe
     ``few_hosts`` hosts, else by a salted join.
 
     A row is rejected if its text has no trigram of letters, if none of the languages is likelier than not, or if its language is
-    not in ``accept`` (all by default). NULL or empty texts are rejected with language NULL; NULL, unknown or malformed
+    not in ``accept`` (all by default). A text whose two likeliest classes tie by its trigrams counts as no evidence for
+    reliability and priors; of equal posteriors the first language is named, and rejected. NULL or empty texts are rejected with language NULL; NULL, unknown or malformed
     declarations and NULL hosts are neutral; repeated rows each count; an empty table gives an empty result; without any
     labelled row no text can be told from another and none is accepted; a column of the input with one of the added names is
     replaced.
@@ -174,7 +176,8 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, labe
     @F.pandas_udf("int")
     def text_class(texts: pd.Series) -> pd.Series:
         likely, n = text_likelihoods(texts, model.value)
-        return pd.Series(np.where(n > 0, likely.argmax(axis=1), -1))
+        second, first = np.partition(likely, -2, axis=1)[:, -2:].T
+        return pd.Series(np.where((n > 0) & (first > second), likely.argmax(axis=1), -1))  # a tie is no evidence
 
     said = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in languages]), declared_language(declared)).cast("int"), F.lit(0)) - 1  # -1: nothing usable
     evidence = docs.select(*[c.alias(n) for n, c in _levels(host)], said.alias("said"), text_class(text).alias("best"))

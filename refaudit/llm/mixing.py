@@ -13,7 +13,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 SALTS = 64
 TOLERANCE = 1e-7
-MOST_STEPS = 60
+MOST_STEPS = 200
 
 
 def word_count(text: Column) -> Column:
@@ -49,7 +49,7 @@ def tilt(sizes: DataFrame, sources: DataFrame, most: int = MOST_COPIES) -> DataF
     ``most * q / (q + most - 1)`` with ``q = exp(m * size / largest)``: the entropy-minimal change of the rate 1 that stays
     below ``most``. The taken words grow with ``m``, so each source has one root. Every Newton step is one grouped
     aggregation over the size counts; a step that leaves the bracket found so far is replaced by its middle. The
-    multipliers are written to the shared folder after each step.
+    multipliers are written to the shared folder after each step. Raises if ``MOST_STEPS`` steps do not meet every target.
     """
     state = stage_table(sources.select("_source", "target", "largest", F.lit(0.0).alias("m"), F.lit(-1e12).alias("low"), F.lit(1e12).alias("high"), F.lit(False).alias("done")), "mix-dual")
     x = F.col("size") / F.col("largest")
@@ -70,6 +70,8 @@ def tilt(sizes: DataFrame, sources: DataFrame, most: int = MOST_COPIES) -> DataF
                                         F.when(near, F.col("high")).otherwise(high).alias("high"), near.alias("done")), "mix-dual")
         if state.filter("NOT done").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"the mix has not met every source's target after {MOST_STEPS} steps")
     return sizes.join(state.select("_source", "target", "m", "largest"), "_source").withColumn("_rate", F.round(rate, 9)).drop("m", "largest")
 
 
@@ -95,7 +97,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     Sizes are word counts. The rates that meet each source's target are found on the counts of (source, size), rounded
     there to whole copies, and dealt to the documents of that size: each gets the same number, the first ones by a hash of
     ``doc_id`` one more. Their rank is the rank inside one of ``salts`` parts plus the number of rows in the parts before, so
-    a group of copies or a hot source is ordered in many tasks. Nothing is random: reruns agree.
+    a group of copies or a hot source is ordered in many tasks; rows without id are dealt to parts and ordered by a hash of their text. Nothing is random: reruns agree.
 
     NULL text has size 0; a document of size 0 is taken once (no words). NULL is a source of its own, the last one. Repeated
     rows count each. An empty table gives an empty result; a column of the input with one of the added names is replaced.
@@ -104,7 +106,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     docs, named, restore = shield(docs, added)
     text, source, doc_id = named(text), named(source), named(doc_id)
     group = F.when(F.col(source).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source)))  # NULL last by code point
-    part = F.pmod(F.xxhash64(F.col(doc_id), F.lit(1)), F.lit(salts))
+    unnamed = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text)))  # NULL adds nothing to a hash
+    part = F.pmod(F.xxhash64(F.col(doc_id), unnamed, F.lit(1)), F.lit(salts))
     rows = docs.withColumn("_source", group).withColumn("size", word_count(F.col(text))).withColumn("_part", part)
     parts = stage_table(rows.groupBy("_source", "size", "_part").agg(F.count("*").alias("_rows")), "mix-sizes")
     sizes = stage_table(parts.groupBy("_source", "size").agg(F.sum("_rows").alias("docs")), "mix-sizes")
@@ -116,7 +119,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     plan = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(whole, ["_source", "size"]).join(targets.select("_source", "source_size"), "_source")
     plan = plan.select("_source", "size", "_part", "_before", "source_size", "target", F.expr("_all div docs").alias("_each"), (F.col("_all") % F.col("docs")).alias("_more"))
     plan = stage_table(plan, "mix-plan")
-    rank = F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy(F.xxhash64(F.col(doc_id), F.lit(2)), F.col(doc_id)))
+    rank = F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy(F.xxhash64(F.col(doc_id), F.lit(2)), F.col(doc_id), unnamed))
     out = rows.join(plan, ["_source", "size", "_part"]).withColumn("_rank", rank + F.col("_before"))
     copies = F.col("_each") + F.when(F.col("_rank") <= F.col("_more"), 1).otherwise(0)
     return restore(out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")))

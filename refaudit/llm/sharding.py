@@ -73,7 +73,7 @@ def shard(docs: DataFrame, key: list[str], size: Column, limit: int = SHARD_BYTE
     added = ("shard", "depth", "shard_bytes", "shard_rows", "page")
     plain, _, restore = shield(docs, added)
     own = [c for c in docs.columns if c.lower() not in added]
-    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(own, plain.columns, strict=True)], key_hash(*[F.col(c) for c in key]).alias("_h"), F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(own, plain.columns, strict=True)], key_hash(*[F.col(c) for c in key]).alias("_h"), F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"), F.spark_partition_id().alias("_part"))
     sizes = stage_table(rows.groupBy(F.col("_h").alias("h")).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("rows"), F.max("_bytes").alias("most")), "shard-sizes")
     leaves = sizes.join(directory(sizes, limit), "h").withColumn("q", _prefix("h", F.col("depth")))
     buckets = leaves.groupBy("depth", "q").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
@@ -86,8 +86,7 @@ def shard(docs: DataFrame, key: list[str], size: Column, limit: int = SHARD_BYTE
         return restore(out.withColumn("page", F.lit(0).cast("long")))
     # Overflow pages, for the full keys only.
     single = out.filter("_fit IS NULL OR shard_rows = 1").withColumn("page", F.lit(0).cast("long"))
-    over = out.filter("_fit IS NOT NULL AND shard_rows > 1").withColumn("_part", F.spark_partition_id())
-    over = stage_table(over, "shard-overflow")
+    over = stage_table(out.filter("_fit IS NOT NULL AND shard_rows > 1"), "shard-overflow")
     counts = over.groupBy("_h", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_h", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -17,8 +17,10 @@ ANCHORS = ("the of and to in is that was for it with as be on by are at this fro
            "el los las del se con por su para como al lo").split()
 #: A word that begins with one of these letters opens a signature as well, so that texts poor in common words have some too.
 OPENERS = "dmr"
-#: Ids covered by one ordering bucket where ids are dense.
+#: Rows of one ordering bucket where ids are spread evenly.
 BUCKET = 2048
+#: Ranges of about equally many rows within which buckets have one width.
+RANGES = 256
 
 
 def _trie(words: list[str]) -> str:
@@ -100,20 +102,30 @@ def with_next(docs: DataFrame, order: str, carried: list[str], enrich: Callable[
 
     ``enrich`` adds carried columns that are costly to compute; it runs once, on rows that already know their bucket.
 
-    Rows are ordered inside buckets of consecutive ids, ``BUCKET`` rows on average, and at most so many where ids are dense and
-    unique. The first row of each bucket is copied behind the rows of the bucket before, so the carried columns are shuffled
-    once and no bucket waits for another. Which bucket comes before is read from a table of one row per bucket.
+    Rows are ordered inside buckets of consecutive ids. Cut points, ``RANGES - 1`` at most, give ranges of about equally many rows, and
+    each range is cut into buckets of one width (a power of two) with ``BUCKET`` rows on average. So dense, wide and sparse ids end in
+    small buckets; at worst a bucket holds a range, a ``RANGES``-th of the rows and those of one repeated id. The first row of each bucket
+    is copied behind the rows of the bucket before, so the carried columns are shuffled once and no bucket waits for another. Which bucket
+    comes before is read from a table of one row per bucket.
     """
-    span = docs.agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
-    low, width = span.low or 0, BUCKET * max(1, ((span.high or 0) - (span.low or 0) + 1) // max(1, span.n))
+    n, low, high = docs.agg(F.count(order), F.min(order), F.max(order)).first()
+    parts = min(RANGES, n // BUCKET + 1)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(order, shares, 100 * RANGES)).first()[0])) if shares else []
+    ends = [low or 0, *cuts, (high or 0) + 1]
+    shifts = [max(0, (BUCKET * (b - a) * parts // max(1, n)).bit_length() - 1) for a, b in zip(ends, ends[1:])]
     tie = F.xxhash64(carried[0])
-    bucket = F.coalesce(F.expr(f"(`{order}` - {low}) div {width}"), F.lit(1 << 62))
-    rows = docs.withColumn("_bucket", bucket).withColumn("_tie", tie)
-    heads = rows.groupBy("_bucket").agg(F.min(F.struct(order, "_tie")).alias("_first"))
-    heads = stage_table(heads, "next-heads")
-    wrap = Window.orderBy("_bucket")  # one row per bucket
-    last = heads.agg(F.max("_bucket")).first()[0]
-    heads = heads.select(F.coalesce(F.lag("_bucket").over(wrap), F.lit(last)).alias("_before"), F.col(f"_first.{order}").alias("_order"), F.col("_first._tie").alias("_tie"))
+    found = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col(order)))
+    rows = with_computed(docs, _range=F.when(F.col(order).isNull(), F.lit(RANGES)).otherwise(found))
+    start = F.call_function("shiftright", F.col(order).cast("long"), F.element_at(F.array(*[F.lit(min(k, 63)) for k in shifts]), F.least("_range", F.lit(len(cuts))) + 1))
+    rows = rows.withColumn("_bucket", F.struct("_range", F.coalesce(start, F.lit(0).cast("long")).alias("start"))).drop("_range").withColumn("_tie", tie)
+    heads = stage_table(rows.groupBy("_bucket").agg(F.min(F.struct(order, "_tie")).alias("_first")), "next-heads")
+    last = heads.groupBy(F.col("_bucket._range").alias("_range")).agg(F.max("_bucket").alias("_last"))  # one row per range
+    highest = F.max("_last").over(Window.partitionBy())
+    last = last.select("_range", F.coalesce(F.lag("_last").over(Window.orderBy("_range")), highest).alias("_last"))
+    inside = F.lag("_bucket").over(Window.partitionBy("_bucket._range").orderBy("_bucket"))
+    heads = heads.withColumn("_inside", inside).join(F.broadcast(last), F.col("_bucket._range") == F.col("_range"))
+    heads = heads.select(F.coalesce("_inside", "_last").alias("_before"), F.col(f"_first.{order}").alias("_order"), F.col("_first._tie").alias("_tie"))
     heads = stage_table(heads, "next-heads")
     guards = rows.join(heads, F.col(order).eqNullSafe(heads["_order"]) & (rows["_tie"] == heads["_tie"])).select(*docs.columns, heads["_before"].alias("_bucket"), rows["_tie"], F.lit(1).alias("_guard"))
     both = rows.withColumn("_guard", F.lit(0)).unionByName(guards)

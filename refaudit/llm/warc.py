@@ -204,8 +204,9 @@ def _reader(folder: str):
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """All records of the indexed files, frame by frame; response payloads are checked against their digests."""
-    files = index.select("file").distinct().repartition("file")
+    """All records of the indexed files, frame by frame, one task per file; response payloads are checked against their digests."""
+    files = index.select("file").distinct()
+    files = files.repartition(max(1, files.count()))
     return files.mapInPandas(_reader(folder), "record_id string, file string, frame int, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string")
 
 

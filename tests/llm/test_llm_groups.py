@@ -182,6 +182,27 @@ def test_fingerprints_of_edits(spark):
     assert lone["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("bucket,ranges", [(4, 8), (1, 256), (2048, 256)])
+def test_next_row_whatever_the_ids(spark, monkeypatch, bucket, ranges):
+    """Dense ids beside the widest ones, sparse and repeated ids, rows without id."""
+    monkeypatch.setattr(spotsigs, "BUCKET", bucket)
+    monkeypatch.setattr(spotsigs, "RANGES", ranges)
+    ids = [*range(60), *[7_000_000_000 + 10 ** k for k in range(15)], -(2 ** 63), -9 * 10 ** 18, 4 * 10 ** 18, 2 ** 63 - 1]
+    rows = [(i, f"t{i}") for i in ids] + [(5, "t5"), (None, "none"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = spotsigs.with_next(df, "doc_id", ["text"], lambda d: d).collect()
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]
+    assert sorted((r["text"], r["next_text"]) for r in got) == sorted(zip(order, order[1:] + order[:1]))
+
+
+def test_fingerprints_of_wide_ids(spark):
+    df = spark.createDataFrame([(-9 * 10 ** 18, "the red house of the old town"), (5, "a house"), (9 * 10 ** 18, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in spotsigs.compare_with_edits(df).collect()}
+    assert len(rows) == 3 and rows[5]["edited_sha256"] == hashlib.sha256(b"a hous").hexdigest()
+    lost = spotsigs.compare_with_edits(df.withColumn("doc_id", F.lit(None).cast("long")))
+    assert lost.count() == 3
+
+
 def test_spot_pairs_lose_no_link(spark):
     rng = np.random.default_rng(9)
     common = ["the", "of", "and", "is"]
@@ -237,6 +258,24 @@ def test_shards_match_extendible_hashing(spark):
     assert sharding.shard(df.limit(0), ["doc_id"], F.octet_length("text")).collect() == []
 
 
+def test_hot_key_is_numbered_in_many_tasks(spark, monkeypatch):
+    parts, stage = [], sharding.stage_table
+
+    def watch(df, label):
+        out = stage(df, label)
+        if label == "shard-overflow":
+            parts.append(out.select("_part").distinct().count())
+        return out
+    monkeypatch.setattr(sharding, "stage_table", watch)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(7 if i % 3 == 0 else i, "x" * 10) for i in range(900)], "doc_id long, text string").repartition(6)
+        pages = sharding.shard(df, ["doc_id"], F.length("text"), 100).filter("doc_id = 7").groupBy("page").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert parts == [6] and sorted((r["page"], r["count"]) for r in pages) == [(i, 10) for i in range(30)]
+
+
 def test_deep_shards(spark, monkeypatch):
     """Prefixes longer than one pass looks at."""
     monkeypatch.setattr(sharding, "CHUNK", 3)

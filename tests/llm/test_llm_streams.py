@@ -66,6 +66,18 @@ def test_language_empty_and_markup(speech, spark):
     assert got[0][:] == ("de", "blog.example.de") and got[1][:] == (None, None) and got[2][0] is None
 
 
+def test_language_without_labels(speech):
+    """No text can be told from another: ties are no evidence for anybody."""
+    out = language.identify(speech, F.col("text"), F.col("lang"), F.col("source"), F.lit(None).cast("string")).collect()
+    assert len(out) == speech.count() and not any(r["accepted"] for r in out)
+
+
+def test_declarations_behind_long_preambles(spark):
+    far = "<!-- " + "x" * 70_000 + " --><html " + "data-x='y' " * 500 + 'xml:lang = "de">'
+    pages = spark.createDataFrame([(far,), ("<html" * 20_000 + " lang=fr",), ("<p lang=en>",), ("<html><p lang=en>",)], "html string")
+    assert [r[0] for r in pages.select(language.markup_language(F.col("html"))).collect()] == ["de", None, None, None]
+
+
 def brute_ppm(texts, order=ppm.ORDER):
     trie, counts = collections.defaultdict(collections.Counter), collections.Counter()
     for i, t in texts:
@@ -222,6 +234,13 @@ def test_bundles(spark, tmp_path):
     assert warc.read_bundles(warc.write_bundles(df.limit(0), folder), folder).collect() == []
 
 
+def test_every_file_is_read_by_a_task_of_its_own(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"<p>{i}") for i in range(60)], "page_id long, url string, html string").repartition(6)
+    records = warc.read_bundles(warc.write_bundles(df, str(tmp_path / "w")), str(tmp_path / "w"))
+    tasks = records.groupBy(F.spark_partition_id()).agg(F.count_distinct("file").alias("files")).collect()
+    assert records.count() == 60 and len(tasks) == 6 and all(r["files"] == 1 for r in tasks)
+
+
 def brute_targets(sizes, weights=mixing.WEIGHTS):
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -259,6 +278,20 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).collect() == []
 
 
+def test_mixing_without_ids(spark):
+    rows = [(None, f"w{i} " + "w " * (i % 4), "ab"[i % 5 == 0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [mixing.mix_sources(df.repartition(n), salts=8).select("text", "taken").collect() for n in (2, 7)]
+    assert sorted(runs[0]) == sorted(runs[1]) and len(runs[0]) == 200
+
+
+def test_unmet_targets_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_STEPS", 1)
+    sizes = spark.createDataFrame([("a", 10, 20), ("a", 200, 3)], "_source string, size long, docs long")
+    with pytest.raises(RuntimeError, match="target"):
+        mixing.tilt(sizes, spark.createDataFrame([("a", 400.0, 200)], "_source string, target double, largest long"))
+
+
 def test_tilt_meets_targets_before_rounding(spark):
     sizes = spark.createDataFrame([(s, n, c) for s in "ab" for n, c in ((1, 50), (10, 20), (200, 3))], "_source string, size long, docs long")
     targets = spark.createDataFrame([("a", 400.0, 200), ("b", 2500.0, 200)], "_source string, target double, largest long")
