@@ -269,8 +269,8 @@ def test_hot_key_is_numbered_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(sharding, "stage_table", watch)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = spark.createDataFrame([(7 if i % 3 == 0 else i, "x" * 10) for i in range(900)], "doc_id long, text string").repartition(6)
-        pages = sharding.shard(df, ["doc_id"], F.length("text"), 100).filter("doc_id = 7").groupBy("page").count().collect()
+        df = spark.createDataFrame([(-7 if i % 3 == 0 else i, "x" * 10) for i in range(900)], "doc_id long, text string").repartition(6)
+        pages = sharding.shard(df, ["doc_id"], F.length("text"), 100).filter("doc_id = -7").groupBy("page").count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert parts == [6] and sorted((r["page"], r["count"]) for r in pages) == [(i, 10) for i in range(30)]
