@@ -106,9 +106,10 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     docs, named, restore = shield(docs, added)
     text, source, doc_id = named(text), named(source), named(doc_id)
     group = F.when(F.col(source).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source)))  # NULL last by code point
-    unnamed = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text)))  # NULL adds nothing to a hash
-    part = F.pmod(F.xxhash64(F.col(doc_id), unnamed, F.lit(1)), F.lit(salts))
-    rows = docs.withColumn("_source", group).withColumn("size", word_count(F.col(text))).withColumn("_part", part)
+    # NULL adds nothing to a hash. Computed before the join, so that a caller who drops the text does not shuffle it.
+    unnamed = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text)))
+    part = F.pmod(F.xxhash64(F.col(doc_id), F.col("_unnamed"), F.lit(1)), F.lit(salts))
+    rows = docs.withColumn("_source", group).withColumn("size", word_count(F.col(text))).withColumn("_unnamed", unnamed).withColumn("_part", part)
     parts = stage_table(rows.groupBy("_source", "size", "_part").agg(F.count("*").alias("_rows")), "mix-sizes")
     sizes = stage_table(parts.groupBy("_source", "size").agg(F.sum("_rows").alias("docs")), "mix-sizes")
     sources = sizes.groupBy("_source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.max("size").alias("_largest"))
@@ -119,7 +120,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     plan = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(whole, ["_source", "size"]).join(targets.select("_source", "source_size"), "_source")
     plan = plan.select("_source", "size", "_part", "_before", "source_size", "target", F.expr("_all div docs").alias("_each"), (F.col("_all") % F.col("docs")).alias("_more"))
     plan = stage_table(plan, "mix-plan")
-    rank = F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy(F.xxhash64(F.col(doc_id), F.lit(2)), F.col(doc_id), unnamed))
+    rank = F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy(F.xxhash64(F.col(doc_id), F.lit(2)), F.col(doc_id), F.col("_unnamed")))
     out = rows.join(plan, ["_source", "size", "_part"]).withColumn("_rank", rank + F.col("_before"))
     copies = F.col("_each") + F.when(F.col("_rank") <= F.col("_more"), 1).otherwise(0)
     return restore(out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")))

@@ -278,6 +278,18 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).collect() == []
 
 
+def test_mixing_does_not_shuffle_texts(spark):
+    """Who drops the text of the mix shuffles sizes and ids only, also without broadcast joins."""
+    df = spark.createDataFrame([(i, "word " * (i % 7 + 1), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix_sources(df, salts=4).select("doc_id", "size", "taken")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Join" in plan and "in1" not in plan  # the text under its inner name
+
+
 def test_mixing_without_ids(spark):
     rows = [(None, f"w{i} " + "w " * (i % 4), "ab"[i % 5 == 0]) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
