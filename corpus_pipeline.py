@@ -8,7 +8,7 @@ from refaudit.llm.exact_dedup import deduplicate
 from refaudit.llm.language import known_language
 from refaudit.llm.mixing import mixed
 from refaudit.llm.packing import packed_documents
-from refaudit.llm.shingles import near_deduplicate
+from refaudit.llm.simhash import RADIUS, near_deduplicate
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more."""
-    return near_deduplicate(docs)
+    """One document of each component of operator 1: SimHash fingerprints of three-word shingles, linked at three or fewer differing bits."""
+    return near_deduplicate(docs, radius=RADIUS, prints=1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 
-#: Min-hash bands, entropy balancing and packing have no SQL; tests hold the stages against brute force.
+#: SimHash, entropy balancing and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from refaudit.llm import exact_dedup, sharding, simhash, spotsigs
 from refaudit.llm.common import components
 
@@ -147,6 +148,13 @@ def test_near_deduplicate(spark):
     assert simhash.near_deduplicate(df.limit(0)).collect() == []
 
 
+def test_near_stage_links_by_fingerprints(spark):
+    """The pipeline's stage keeps the smallest id of each component of operator 1, no more and no less."""
+    texts = near_texts(30)
+    out = corpus_pipeline.near(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(brute_components([brute_fingerprint(t) for t in texts], 3)))
+
+
 def test_more_fingerprints_catch_near_copies(spark):
     """Pairs that share four fifths of their five-word shingles, most found; unrelated texts stay apart."""
     rng = np.random.default_rng(3)
