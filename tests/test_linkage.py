@@ -122,3 +122,31 @@ def test_crowded_titles_lose_nothing(spark, monkeypatch):
     assert hot == want
     monkeypatch.setattr(K, "HOT_TITLE_WORKS", 10_000)
     assert pick() == want
+
+
+def test_frequent_words_lose_no_best_work(spark, monkeypatch):
+    """Titles that share frequent words with very many others: few pairs are compared, and the best k are those of comparing all."""
+    monkeypatch.setattr(K, "LEAF_TITLES", 3)
+    rng = random.Random(11)
+    title = lambda i: " ".join([rng.choice(["hot", "blue"]), rng.choice(["rod", "gear"]), f"x{i % 90}", f"y{i % 7}", "analysis"][:rng.choice([2, 4, 5, 5, 5])] + ["more", "of", "it"][:rng.choice([0, 0, 1, 3])])
+    works = [(i, rng.choice(["Crossref", "CORE"]), i % 2, i % 9, title(i), [rng.choice(["ann kern", "kern", "bo li"])], rng.choice([2000, 2001, None]), rng.choice(["", "10.1/a"]), False) for i in range(300)]
+    qs = [(f"q{i}", title(i * 3), rng.choice(["kern", "zed", ""]), rng.choice([2000, None]), rng.choice(["10.1/a", ""])) for i in range(60)]
+    w = spark.createDataFrame(works, "work_id bigint, provider string, provider_rank int, row_rank int, title_norm string, author_norms array<string>, year int, doi string, requires_review boolean")
+    q = spark.createDataFrame(qs, "query_id string, title_norm string, first_author_norm string, year int, doi string")
+    got = {(r.query_id, r.provider, r.work_id, r.score) for r in K.match_by_title(q, w, 3).collect()}
+    want = set()
+    for qid, t, a, y, d in qs:
+        scored = {}
+        for (i, p, pr, rr, wt, names, wy, wd, _r) in works:
+            s, u = set(t.split()), set(wt.split())
+            m = 1.0 if len(wt.split()) >= 4 and t.startswith(wt + " ") else len(s & u) / max(len(s), len(u))
+            if m >= 0.45:
+                n = m * 60 + (20 if a and any(f" {a} " in f" {x} " for x in names) else 0) + (10 if y is not None and y == wy else 0) + (10 if d and d == wd else 0)
+                scored.setdefault(p, []).append((-int(n + 0.5), pr, rr, i))
+        want |= {(qid, p, x[3], -x[0]) for p, rows in scored.items() for x in sorted(rows)[:3]}
+    assert got == want and len(want) > 200
+
+    def compared(n):
+        frame = spark.createDataFrame([(f"hot rod u{i} v{i} w{i % 5} analysis",) for i in range(n)], "title_norm string")
+        return K._shared_sets(K._coded(frame, frame))[0].count()
+    assert compared(400) <= 2 * compared(200) + 400
