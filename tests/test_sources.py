@@ -121,3 +121,12 @@ def test_sinks(spark, tmp_path):
     stored = sinks.with_signature(spark.read.parquet(str(tmp_path / "r")).drop("bucket"), ["doc_id", "pos"])
     new = rows.withColumn("output", F.when(F.col("pos") == 1, F.lit("C")).otherwise(F.col("output")))
     assert [r.pos for r in sinks.changed_only(new, stored, ["doc_id", "pos"]).collect()] == [1]
+
+
+def test_entries_of_a_short_file_are_dealt_over_many_tasks(spark):
+    """A file of parts is one split however many entries it spells out; parsing them must not be one task's work."""
+    from pyspark.sql import functions as F
+
+    from registry.linkage import entries
+    rows = entries(spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 1000
