@@ -58,3 +58,16 @@ def test_language_by_words(spark):
         return n > m or (n == m and bool(re.search("[çğıöşüÇĞÖŞÜ]", t)))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r[1] for r in df.select("i", is_turkish(F.col("t"))).orderBy("i").collect()] == [turkish(t) for t in texts]
+
+
+def test_citations_without_context(spark):
+    """An audit for readers of neither sentence nor context finds the same citations, headings and bibliography left out alike."""
+    from refaudit.plans.audit import analyze
+    texts = [("Introduction", "Heading 1"), ("Ada (2001) and Bo (2002) agree. It holds (Cy, 2003).", "Body"), ("Results (Ada, 2001)", "Heading 2"), ("  ", "Body"),
+             ("See (Adu, 2001; Nobody, 1999).", "Body"), ("References", "Heading 1"), ("Adamson, A. (2001). One.", "Body"), ("Ada, B. (2001). Two.", "Body"), ("Bo, C. (2001). Three.", "Body")]
+    rows = [(1, f"p{i}", C.BODY, i, t, i == 4, False, "g", style) for i, (t, style) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, paragraph_id string, part string, idx int, text string, protected boolean, paragraph_locked boolean, grp string, style string")
+    whole, bare = analyze(df), analyze(df, context=False)
+    assert not {"sentence", "context"} & set(bare.citations.columns)
+    assert sorted(map(str, bare.citations.collect())) == sorted(map(str, whole.citations.drop("sentence", "context").collect())) and bare.citations.count() == 5
+    assert sorted(map(str, bare.findings.collect())) == sorted(map(str, whole.findings.collect()))
