@@ -297,24 +297,26 @@ def _shared_sets(titles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Of the words that two titles share, taken from rare to frequent, the first are a key; if more than ``LEAF_TITLES`` work titles
     have it, the first two are, and so on. At a key that few work titles have, all are compared with the entry titles: ``pairs``.
-    If every set is frequent down to the last word, the shared words are a key themselves: such keys are in ``a_sets`` and
-    ``b_sets`` (id, n, key, shared). Each pair that reaches the floor is in ``pairs`` or shares just the words of a common set.
+    If every set is frequent down to the last word, the shared words are a key themselves: such keys, numbered, are in ``a_sets`` and
+    ``b_sets`` (id, n, shared, set). Each pair that reaches the floor is in ``pairs`` or shares just the words of a common set.
     """
     start = titles.where(F.col("n") <= PAIRED).select("id", "n", "words", "in_a", "in_b", F.expr("cast(array() as array<bigint>)").alias("key"), F.lit(0).alias("at"))
     a, b = start.where("in_a").drop("in_a", "in_b"), start.where("in_b").drop("in_a", "in_b")
     pairs, sets = [], {"a": [], "b": []}
     for size in range(1, MOST_SHARED + 1):
         a, b = _extend(a, size), _extend(b, size)
-        frequent = stage_table(b.groupBy("key").agg(F.count("*").alias("titles")).where(F.col("titles") > LEAF_TITLES), "frequent-words")
+        frequent = b.groupBy("key").agg(F.count("*").alias("titles")).where(F.col("titles") > LEAF_TITLES)
+        frequent = stage_table(frequent.withColumn("set", F.monotonically_increasing_id()), "frequent-words")
         a, b = a.join(frequent, "key", "left"), b.join(frequent, "key", "left")
         if size < MOST_SHARED:
             pairs.append(_met(a.where("titles is null"), b.where("titles is null"), size))
             a, b = a.where("titles is not null").drop("titles"), b.where("titles is not null").drop("titles")
             for name, rows in (("a", a), ("b", b)):
-                sets[name].append(rows.where(_least(F.col("n")) <= size).select("id", "n", "key", F.lit(size).alias("shared")))
+                sets[name].append(rows.where(_least(F.col("n")) <= size).select("id", "n", F.lit(size).alias("shared"), "set"))
+            a, b = a.drop("set"), b.drop("set")
         else:
             pairs.append(_met(a, b, size))
-    return reduce(DataFrame.union, pairs).distinct(), reduce(DataFrame.union, sets["a"]), reduce(DataFrame.union, sets["b"])
+    return reduce(DataFrame.union, pairs), reduce(DataFrame.union, sets["a"]), reduce(DataFrame.union, sets["b"])
 
 
 def _met(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
@@ -330,6 +332,28 @@ def _met(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return met.where((F.col("a_id") != F.col("b_id")) & (shorter * FLOOR_DEN >= longer * FLOOR_NUM) & (most * FLOOR_DEN >= longer * FLOOR_NUM)).select("a_id", "b_id")
 
 
+def _list_score(shared: Column, longer: Column, bonus: Column | int = 0) -> Column:
+    return F.floor(shared / longer * 60 + bonus + 0.5).cast("int")
+
+
+def _sure_scores(a_sets: DataFrame, b_sets: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """(a_id, sure map<provider,score>): at least ``k`` works of the provider score so much for any question under the title.
+
+    A set of shared words vouches for the works of all titles that have it. Taken from short to long, ``k`` of them are there at the
+    length ``reach``, so each scores at least what the set's words are of the longer of ``reach`` and the question's title.
+    """
+    by_set = ["shared", "set", "provider"]
+    longest = b_sets.select(F.col("id").alias("b_id"), F.col("n").alias("b_n"), "shared", "set").join(kept.select("b_id", "provider", "work_id"), "b_id")
+    longest = longest.groupBy(*by_set, "work_id").agg(F.max("b_n").alias("b_n"))
+    counted = longest.groupBy(*by_set, "b_n").agg(F.count("*").alias("works"))
+    upto = counted.withColumn("works", F.sum("works").over(Window.partitionBy(*by_set).orderBy("b_n")))
+    reached = upto.where(F.col("works") >= k).groupBy(*by_set).agg(F.min("b_n").alias("reach"))
+    longer = F.greatest("n", "reach")
+    sure = a_sets.join(reached, ["shared", "set"]).where(F.col("shared") * FLOOR_DEN >= longer * FLOOR_NUM)
+    sure = sure.groupBy(F.col("id").alias("a_id"), "provider").agg(F.max(_list_score(F.col("shared"), longer)).alias("score"))
+    return sure.groupBy("a_id").agg(F.map_from_entries(F.collect_list(F.struct("provider", "score"))).alias("sure"))
+
+
 def match_by_title(qs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best works per question and provider among all title matches at .45 or more.
 
@@ -346,7 +370,9 @@ def match_by_title(qs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     Titles that share frequent words with very many others are indexed in the same way by the set of shared words and the title's length
     (see :func:`_shared_sets`): each work of list (words, length, S) shares at least those words, so it ranks at least as high as
     a later one that shares no more, and the list may be cut to its ``k`` earliest. A work found in several lists counts with its highest score,
-    which is its true one wherever it is among the best ``k``. So no list of all pairs is made, except for titles of more than ``PAIRED`` words and for
+    which is its true one wherever it is among the best ``k``. A list is not asked for providers of which ``k`` works are sure to score more
+    than any of its works (see :func:`_sure_scores`): a work lost by that has a list of more shared words or is not among the best.
+    Titles of works and questions with one DOI are compared one by one, so these lists know only DOIs that more than ``HOT_TITLE_WORKS`` works have. So no list of all pairs is made, except for titles of more than ``PAIRED`` words and for
     words of which more than ``MOST_SHARED`` occur together in very many titles.
     """
     works = _top_works(works.where(F.col("title_norm") != ""), ["provider", "title_norm", "author_norms", "year", "doi", "requires_review"], k)
@@ -358,7 +384,14 @@ def match_by_title(qs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     asked = left.join(number("a_id", "q_title_norm"), "q_title_norm").select("_q", "a_id", "q_first_author", "q_year", "q_doi")
     kept = works.join(number("b_id", "title_norm"), "title_norm").select("_w", "b_id", "provider", "provider_rank", "row_rank", "work_id", "author_norms", "year", "doi")
 
+    hot_doi = works.where(F.col("doi") != "").groupBy("doi").count().where(F.col("count") > HOT_TITLE_WORKS).select("doi", F.lit(True).alias("hot_doi"))
+    asked, kept = asked.join(hot_doi.withColumnRenamed("doi", "q_doi"), "q_doi", "left"), kept.join(hot_doi, "doi", "left")
+    listed_doi = lambda doi: F.when(F.col("hot_doi"), doi).otherwise(F.lit(""))
+    told = lambda df, side, doi: df.where((F.col(doi) != "") & F.col("hot_doi").isNull()).select(f"{side}_id", F.col(doi).alias("doi")).distinct()
+    of_doi = told(asked, "a", "q_doi").join(told(kept, "b", "doi"), "doi").where(F.col("a_id") != F.col("b_id")).select("a_id", "b_id")
+
     near, a_sets, b_sets = _shared_sets(titles)
+    near = near.union(of_doi).distinct()
     words = lambda s: titles.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words"))
     near = near.join(words("a"), "a_id").join(words("b"), "b_id").select(
         "a_id", "b_id", F.size(F.array_intersect("a_words", "b_words")).alias("overlap"), F.greatest(F.size("a_words"), F.size("b_words")).alias("longer"))
@@ -376,22 +409,28 @@ def match_by_title(qs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     of_work = _class_keys(_name_parts(F.col("author_norms")), F.col("year"), F.col("doi"))
     cold = flagged.where(F.col("crowded").isNull()).withColumn("class_key", F.lit(""))
     hot = flagged.where(F.col("crowded")).withColumn("class_key", F.explode(of_work))
-    indexed = cold.unionByName(_top_works(hot, ["provider", "b_id", "class_key"], k)).drop("crowded")
+    indexed = cold.unionByName(_top_works(hot, ["provider", "b_id", "class_key"], k)).drop("crowded", "hot_doi")
 
     of_question = _class_keys(F.array_distinct(F.array(F.lit(""), F.col("q_first_author"))), F.col("q_year"), F.col("q_doi"))
     keys = F.when(F.col("crowded"), of_question).otherwise(F.array(F.lit("")))
-    direct = asked.join(pairs.join(crowded, "b_id", "left"), "a_id").withColumn("class_key", F.explode(keys)).drop("crowded")
+    direct = asked.join(pairs.join(crowded, "b_id", "left"), "a_id").withColumn("class_key", F.explode(keys)).drop("crowded", "hot_doi")
     ranks = ("_q", "_w", "provider", "provider_rank", "row_rank", "work_id", "score")
     direct = score_pairs(direct.join(indexed, ["b_id", "class_key"])).select(*ranks)
 
-    lists = b_sets.select(F.col("id").alias("b_id"), F.col("n").alias("b_n"), "key").join(kept, "b_id").withColumn("class_key", F.explode(of_work))
-    lists = _top_works(lists, ["key", "class_key", "provider", "b_n"], k).select("key", "class_key", "b_n", *ranks[1:-1])
-    wanted = a_sets.select(F.col("id").alias("a_id"), F.col("n").alias("a_n"), "key", "shared").join(asked, "a_id").select("_q", "a_n", "key", "shared", F.explode(of_question).alias("class_key"))
+    lists = b_sets.select(F.col("id").alias("b_id"), F.col("n").alias("b_n"), "shared", "set").join(kept, "b_id")
+    lists = lists.withColumn("class_key", F.explode(_class_keys(_name_parts(F.col("author_norms")), F.col("year"), listed_doi(F.col("doi")))))
+    lists = _top_works(lists, ["shared", "set", "class_key", "provider", "b_n"], k).select("shared", "set", "class_key", "b_n", *ranks[1:-1])
+    wanted = a_sets.select(F.col("id").alias("a_id"), F.col("n").alias("a_n"), "shared", "set").join(_sure_scores(a_sets, b_sets, kept, k), "a_id", "left")
+    of_list = _class_keys(F.array_distinct(F.array(F.lit(""), F.col("q_first_author"))), F.col("q_year"), listed_doi(F.col("q_doi")))
+    wanted = wanted.join(asked, "a_id").select("_q", "a_n", "shared", "set", "sure", F.explode(of_list).alias("class_key"))
     part = F.split("class_key", "\x01")
     bonus = sum((F.when(part[i] != "", p).otherwise(0) for i, p in enumerate((20, 10, 10))), F.lit(0))
+    most = _list_score(F.col("shared"), F.col("a_n"), bonus)
+    done = F.map_keys(F.map_filter("sure", lambda _, score: score > most))
+    wanted = wanted.select("_q", "a_n", "shared", "set", "class_key", bonus.alias("bonus"), F.when(F.size(done) > 0, done).alias("done"))
     longer = F.greatest("a_n", "b_n")
-    listed = wanted.join(lists, ["key", "class_key"]).where(F.col("shared") * FLOOR_DEN >= longer * FLOOR_NUM)
-    listed = listed.withColumn("score", F.floor(F.col("shared") / longer * 60 + bonus + 0.5).cast("int")).select(*ranks)
+    listed = wanted.join(lists, ["shared", "set", "class_key"]).where((F.col("shared") * FLOOR_DEN >= longer * FLOOR_NUM) & ~F.coalesce(F.array_contains("done", F.col("provider")), F.lit(False)))
+    listed = listed.withColumn("score", _list_score(F.col("shared"), longer, F.col("bonus"))).select(*ranks)
 
     # One shuffle by question serves the highest score of each work and the ranking.
     found = direct.unionByName(listed).repartition("_q").groupBy(*ranks[:-1]).agg(F.max("score").alias("score"))

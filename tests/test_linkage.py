@@ -150,3 +150,32 @@ def test_frequent_words_lose_no_best_work(spark, monkeypatch):
         frame = spark.createDataFrame([(f"hot rod u{i} v{i} w{i % 5} analysis",) for i in range(n)], "title_norm string")
         return K._shared_sets(K._coded(frame, frame))[0].count()
     assert compared(400) <= 2 * compared(200) + 400
+
+
+def test_sure_scores_and_dois_lose_no_best_work(spark, monkeypatch):
+    """Lists skip providers that are sure to have better works, and know frequent DOIs only; the best k stay those of comparing all."""
+    monkeypatch.setattr(K, "LEAF_TITLES", 2)
+    rng = random.Random(23)
+    title = lambda i: f"{rng.choice(['hot', 'blue'])} {rng.choice(['rod', 'gear'])} x{i % 3} y{i % 40} analysis"
+    works = [(i, rng.choice(["Crossref", "CORE"]), i % 2, i % 9, title(i), [rng.choice(["kern", "li"])], rng.choice([2000, 2001]), rng.choice(["", "10.1/a", f"10.1/{i % 25}"]), False) for i in range(240)]
+    qs = [(f"q{i}", title(i * 3), rng.choice(["kern", "zed"]), rng.choice([2000, None]), rng.choice(["10.1/a", f"10.1/{i % 25}", ""])) for i in range(40)]
+    w = spark.createDataFrame(works, "work_id bigint, provider string, provider_rank int, row_rank int, title_norm string, author_norms array<string>, year int, doi string, requires_review boolean")
+    q = spark.createDataFrame(qs, "query_id string, title_norm string, first_author_norm string, year int, doi string")
+    want = set()
+    for qid, t, a, y, d in qs:
+        scored = {}
+        for (i, p, pr, rr, wt, names, wy, wd, _r) in works:
+            s, u = set(t.split()), set(wt.split())
+            m = len(s & u) / max(len(s), len(u))
+            if m >= 0.45:
+                n = m * 60 + (20 if a in names else 0) + (10 if y == wy else 0) + (10 if d and d == wd else 0)
+                scored.setdefault(p, []).append((-int(n + 0.5), pr, rr, i))
+        want |= {(qid, p, x[3], -x[0]) for p, rows in scored.items() for x in sorted(rows)[:2]}
+    for hot in (20, 10_000):
+        monkeypatch.setattr(K, "HOT_TITLE_WORKS", hot)
+        assert {(r.query_id, r.provider, r.work_id, r.score) for r in K.match_by_title(q, w, 2).collect()} == want
+    sets = lambda *rows: spark.createDataFrame(rows, "id bigint, n int, shared int, set bigint")
+    kept = spark.createDataFrame([(i, "Crossref", i) for i in range(4)], "b_id bigint, provider string, work_id bigint")
+    sure = K._sure_scores(sets((9, 6, 3, 0), (9, 6, 4, 1)), sets(*[(i, 6, 3, 0) for i in range(4)], (0, 6, 4, 1), (1, 8, 4, 1)), kept, 2)
+    assert [(r.a_id, r.sure) for r in sure.collect()] == [(9, {"Crossref": 30})]
+    assert K._sure_scores(sets((9, 6, 4, 1)), sets((0, 6, 4, 1), (1, 7, 4, 1)), kept, 2).first().sure == {"Crossref": 34}
