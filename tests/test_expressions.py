@@ -91,3 +91,9 @@ def test_web_entries(each):
     assert b is None and (a.url, a.author, tuple(a.date), a.title) == ("https://harbour.example.org/news/silt", "Kaya, D", (2022, 3, 9), "Silt in basins. Who digs it? Harbour Post")
     assert each(web.valid_http_url, "file:///etc/passwd", "https://u:p@example.org/", "http://example.org:8080/", "https://example.org/x") == [False, False, False, True]
     assert each(lambda c: web.pack_paragraphs(c, 10), "aaaa\n\nbbb\n\ncccc\n\ndddddddddddd\n\ne") == [["aaaa\n\nbbb", "cccc", "dddddddddddd", "e"]]
+
+
+def test_folding_evaluates_its_input_once_for_the_jvm(spark, each):
+    plan = spark.range(1).select(text.normalize_title(F.initcap(F.col("id").cast("string"))).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("initcap(") <= 4
+    assert each(text.web_norm, "﻿ΟΔΟΣ﻿α ﬁx İı", None, "é ") == ["οδος α fix ii", "", "e"]
