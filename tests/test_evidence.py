@@ -60,3 +60,14 @@ def test_assessor_hook(spark):
     texts = spark.createDataFrame([(1, "r0", False, [("p", pub)])], "doc_id int, ref_id string, needs_confirmation boolean, passages array<struct<location:string,text:string>>")
     P.register_assessor("echo", lambda c, p: p.select(F.lit(1).alias("doc_id"), F.element_at(F.split("citation_id", "/"), -1).alias("citation_id"), "batch", F.lit("k").alias("claim"), F.lit("supported").alias("verdict"), "passage_id", F.substring("text", 1, 10).alias("quote")))
     assert {r.citation_id: r.verdict for r in P.assess(cites, refs, texts, "echo").collect()} == {"c1": "supported", "c2": "unassessable"}
+
+
+def test_a_passage_is_normalised_once(spark):
+    """Claims meet the key of a quoted passage, not its text; a passage without text holds no quote."""
+    passages = spark.createDataFrame([(1, "P1", "x", "the “calm”  sea"), (1, "P2", "y", None)], "pub_id int, passage_id string, location string, text string")
+    claims = spark.createDataFrame([(1, "P1", "supported", '"calm" sea'), (1, "P1", "partial", "Calm"), (1, "P2", "supported", "­"), (1, "P3", "supported", "sea"), (1, "P1", "not_found", "sea")],
+                                   "pub_id int, passage_id string, verdict string, quote string")
+    out = E.verify_quotes(claims, passages)
+    assert sorted((r.verdict, r.location or "", r.rejected) for r in out.collect()) == [
+        ("not_found", "", False), ("supported", "x", False), ("unassessable", "", True), ("unassessable", "", True), ("unassessable", "", True)]
+    assert "passage_text" not in out._jdf.queryExecution().optimizedPlan().toString()
