@@ -97,3 +97,11 @@ def test_folding_evaluates_its_input_once_for_the_jvm(spark, each):
     plan = spark.range(1).select(text.normalize_title(F.initcap(F.col("id").cast("string"))).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("initcap(") <= 4
     assert each(text.web_norm, "﻿ΟΔΟΣ﻿α ﬁx İı", None, "é ") == ["οδος α fix ii", "", "e"]
+
+
+def test_a_tag_is_read_once(spark):
+    """The last of repeated attributes stays, its entities decoded, and the tag is searched once."""
+    tag = F.concat(F.lit("<meta name='a' content=\"x &amp;lt; y\" Name=b data-n="), F.col("id"), F.lit(">"))
+    out = spark.range(1).select(text.tag_attrs(tag).alias("v"))
+    assert out.first()["v"] == {"content": "x &lt; y", "name": "b", "data-n": "0"}
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
