@@ -179,3 +179,16 @@ def test_sure_scores_and_dois_lose_no_best_work(spark, monkeypatch):
     sure = K._sure_scores(sets((9, 6, 3, 0), (9, 6, 4, 1)), sets(*[(i, 6, 3, 0) for i in range(4)], (0, 6, 4, 1), (1, 8, 4, 1)), kept, 2)
     assert [(r.a_id, r.sure) for r in sure.collect()] == [(9, {"Crossref": 30})]
     assert K._sure_scores(sets((9, 6, 4, 1)), sets((0, 6, 4, 1), (1, 7, 4, 1)), kept, 2).first().sure == {"Crossref": 34}
+
+
+def test_title_pairs_shuffle_titles_not_pairs(spark):
+    """Pairs are settled where two titles meet: nothing above that join shuffles them or drops repeats, and no pair comes twice."""
+    rng = random.Random(11)
+    a, b = _random_titles(rng, 60) + ["x y", "y z"], _random_titles(rng, 60) + ["y x", "z q", " ".join(f"l{i}" for i in range(30))]
+    a.append(" ".join(f"l{i}" for i in range(8, 34)))
+    frame = spark.createDataFrame([(t, True) for t in a] + [(t, False) for t in b], "title_norm string, a boolean")
+    out = K.title_overlaps(K._numbered(frame.where("a").select("title_norm"), frame.where("not a").select("title_norm")))
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "Aggregate" not in above and "Repartition" not in above
+    rows = [(r.q_title_norm, r.title_norm) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and {("x y", "y x"), (a[-1], b[-1])} <= set(rows)
