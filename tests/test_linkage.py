@@ -192,3 +192,14 @@ def test_title_pairs_shuffle_titles_not_pairs(spark):
     assert "Aggregate" not in above and "Repartition" not in above
     rows = [(r.q_title_norm, r.title_norm) for r in out.collect()]
     assert len(rows) == len(set(rows)) and {("x y", "y x"), (a[-1], b[-1])} <= set(rows)
+
+
+def test_small_inputs_stage_no_empty_steps(spark, monkeypatch):
+    """Sets of shared words are not taken further once none is frequent, and without long titles none are numbered for them."""
+    staged, real = [], K.stage_table
+    monkeypatch.setattr(K, "stage_table", lambda df, label: staged.append(label) or real(df, label))
+    refs = spark.createDataFrame([(0, RAW), (1, "Kern, A. (2020). A record of education.")], "ref_id bigint, raw string")
+    qs = K.prepare_references(refs).withColumn("query_id", F.col("ref_id").cast("string"))
+    works = K.prepare_catalog(spark.createDataFrame([work(1), work(2, "ERIC", "A record of education", "Kern", 2020, "")], WORK))
+    assert {(r.query_id, r.work_id) for r in K.match_by_title(qs, works).collect()} == {("0", 1), ("1", 2)}
+    assert staged.count("frequent-words") == staged.count("titles") == 1
